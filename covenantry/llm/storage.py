@@ -26,7 +26,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: the lineage is cut there."""
+    """Write ``df`` as Parquet to the shared folder and read it back: the lineage is cut there.
+
+    The size of what is read back is known, so Spark broadcasts it only if it is below
+    ``spark.sql.autoBroadcastJoinThreshold``."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
@@ -38,16 +41,23 @@ def open_filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_atomically(uri: str, chunks) -> int:
-    """Write byte chunks to a temporary name and rename it, so that a repeated task attempt is harmless.
+class SharedFile:
+    """A new file under a name of its own: a repeated task attempt writes another, and the manifest names one."""
+
+    def __init__(self, folder: str, name: str):
+        system, path = open_filesystem(folder)
+        system.create_dir(path, recursive=True)
+        stem, _, suffix = name.partition(".")
+        own = f"{stem}-{uuid.uuid4().hex[:12]}.{suffix}"
+        self.uri, self.size = f"{folder}/{own}", 0
+        self._out = system.open_output_stream(f"{path}/{own}", compression=None, buffer_size=1 << 20)
+
+    def write(self, data: bytes) -> int:
+        """Append; returns the offset at which ``data`` begins."""
+        at = self.size
+        self._out.write(data)
+        self.size += len(data)
+        return at
 
-    Returns the number of bytes."""
-    system, path = open_filesystem(uri)
-    system.create_dir(path.rpartition("/")[0], recursive=True)
-    attempt, size = f"{path}.{uuid.uuid4().hex}.tmp", 0
-    with system.open_output_stream(attempt, compression=None, buffer_size=1 << 20) as out:
-        for chunk in chunks:
-            out.write(chunk)
-            size += len(chunk)
-    system.move(attempt, path)
-    return size
+    def close(self) -> None:
+        self._out.close()
