@@ -1,7 +1,7 @@
 """WARC archives: one gzip member per record, written and read in sequence by Spark tasks.
 
-Writing: each task streams its rows to archive files in a shared folder, under a temporary name
-that is renamed at the end. Rows with equal payloads are written once, as the response with the
+Writing: each task streams its rows to archive files in a shared folder, under names of its attempt;
+the manifest lists those of the attempts that Spark committed. Rows with equal payloads are written once, as the response with the
 largest id; the others become revisit records that refer to it.
 
 Reading: each file is read front to back in fixed chunks. Members are inflated incrementally with
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import open_filesystem, shared_dir, write_atomically
+from .storage import SharedFile, materialise, open_filesystem, shared_dir
 
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -119,18 +119,20 @@ def read_record(member: bytes) -> tuple[int | None, str | None, int, str, str, i
 def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (binary), refers_to: null for responses, the response's id for revisits.
 
-    Only digests and ids are grouped; the payloads join the (few) repeated digests, by broadcast
-    where Spark sees that they are small and else by a sort-merge join whose hot keys it splits."""
+    Only digests and ids are grouped. The repeated digests are stored first, so that Spark knows
+    their size: small, they are broadcast and no payload is shuffled; else a sort-merge join whose
+    hot keys it splits."""
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     )
     keyed = rows.withColumn("digest", F.sha1("payload"))
-    repeated = (
+    repeated = materialise(
         keyed.filter(F.length("payload") >= min_bytes)
         .groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").select("digest", "response_id")
+        .filter("n > 1").select("digest", "response_id"),
+        "warc-repeated",
     )
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("response_id")), F.col("response_id"))
     return keyed.join(repeated, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
@@ -141,7 +143,7 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
 
     The manifest is stored beside the archives, so reading it again writes nothing again."""
 
-    def archive(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         rows = ((i, u, p, r) for b in batches for i, u, p, r in zip(b["page_id"], b["url"], b["payload"], b["refers_to"], strict=True))
@@ -159,13 +161,15 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: in
                     size, count, pending = size + len(member), count + 1, next(rows, None)
                     yield member
 
-            path = f"{folder}/archives/part-{TaskContext.get().partitionId():06d}-{part:04d}.warc.gz"
-            write_atomically(path, records())
+            archive = SharedFile(f"{folder}/archives", f"part-{TaskContext.get().partitionId():06d}-{part:04d}.warc.gz")
+            for member in records():
+                archive.write(member)
+            archive.close()
+            yield pd.DataFrame({"path": [archive.uri], "records": [count]})
             part += 1
-            yield pd.DataFrame({"path": [path], "records": [count]})
 
     spark = pages.sparkSession
-    manifest = plan_revisits(pages, min_bytes).mapInPandas(archive, "path string, records long")
+    manifest = plan_revisits(pages, min_bytes).mapInPandas(write, "path string, records long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema("path string, records long").parquet(f"{folder}/manifest")
 
