@@ -183,7 +183,8 @@ def verify_units(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD
     """node, n_links, other: per unit a row for each text with links (n_links) and for each edge of its forest (other)."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    held = texts.join(units, "doc_id").repartition(partitions, "unit").sortWithinPartitions("unit")
+    # a merge join at every size: what is broadcast for a small corpus would be another plan for a large one
+    held = texts.join(units.hint("merge"), "doc_id").repartition(partitions, "unit").sortWithinPartitions("unit")
     held = held.select("unit", "node", "side", word_hashes(F.col("text")).alias("words"))
     held = held.filter(F.xxhash64("words") == F.col("node")).select("unit", "node", "side", "words")
 
