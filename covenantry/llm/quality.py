@@ -137,24 +137,24 @@ def oracle_sql() -> str:
     return f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-             list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
-g AS (SELECT *, list_transform(range(0, greatest(len(words) - {WINDOW - 1}, 0)), i -> list_slice(words, i + 1, i + {WINDOW})) AS grams FROM w),
-m AS (SELECT *, map_entries(list_histogram(list_transform(grams, x -> array_to_string(x, ' ')))) AS hist FROM g),
-d AS (SELECT *, list_transform(list_filter(hist, e -> e.value > 1), e -> e.key) AS twice FROM m),
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM t),
+g AS (SELECT *, list_transform(range(0, greatest(len(words) - {WINDOW - 1}, 0)), lambda i: list_slice(words, i + 1, i + {WINDOW})) AS grams FROM w),
+m AS (SELECT *, map_entries(list_histogram(list_transform(grams, lambda x: array_to_string(x, ' ')))) AS hist FROM g),
+d AS (SELECT *, list_transform(list_filter(hist, lambda e: e.value > 1), lambda e: e.key) AS twice FROM m),
 p AS (SELECT *, CASE WHEN len(twice) = 0 THEN [] ELSE
-        list_filter(range(0, len(grams)), i -> list_contains(twice, array_to_string(grams[i + 1], ' '))) END AS places FROM d),
+        list_filter(range(0, len(grams)), lambda i: list_contains(twice, array_to_string(grams[i + 1], ' '))) END AS places FROM d),
 f AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{white}', '', 'g'))::BIGINT AS word_chars,
         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
-        coalesce(list_sum(list_transform(range(0, len(places)), i -> CASE WHEN i + 1 < len(places)
+        coalesce(list_sum(list_transform(range(0, len(places)), lambda i: CASE WHEN i + 1 < len(places)
             THEN least({WINDOW}, places[i + 2] - places[i + 1]) ELSE {WINDOW} END)), 0)::BIGINT AS n_repeat_words,
-        coalesce(list_sum(list_transform(list_filter(lines, x ->
+        coalesce(list_sum(list_transform(list_filter(lines, lambda x:
             len(regexp_extract_all(x, '[!-/:-@\\[-`{{-~]')) * 100 > length(regexp_replace(x, '{white}', '', 'g')) * {MAX_PUNCTUATION_PERCENT}
             OR (length(x) <= {SHORT_LINE} AND (regexp_matches(lower(x), '{phrases}')
-              OR (len(list_filter(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'), y -> y IN ('|', '>', '»', '›', '•', '·'))) >= {MIN_SEPARATORS}
-                AND len(list_filter(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'), y -> y IN ('|', '>', '»', '›', '•', '·'))) * 100
+              OR (len(list_filter(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'), lambda y: y IN ('|', '>', '»', '›', '•', '·'))) >= {MIN_SEPARATORS}
+                AND len(list_filter(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+'), lambda y: y IN ('|', '>', '»', '›', '•', '·'))) * 100
                   >= len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) * {SEPARATOR_WORDS_PERCENT})))),
-            x -> length(regexp_replace(x, '{white}', '', 'g')))), 0)::BIGINT AS lost FROM p),
+            lambda x: length(regexp_replace(x, '{white}', '', 'g')))), 0)::BIGINT AS lost FROM p),
 v AS (SELECT *, n_words < {MIN_WORDS} OR n_repeat_words * 100 > n_words * {MAX_REPEATED_PERCENT} AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (word_chars - lost) * 100 >= word_chars * {MIN_KEPT_PERCENT} AS kept FROM v
