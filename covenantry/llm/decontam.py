@@ -75,7 +75,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # a row's alignments are no more than its seeds that hit
     hits = hits.join(texts.select("item_key", "item"), "item_key").groupBy("row", "row_text")
     aligned = materialise(hits.agg(F.collect_list(F.struct("item_key", "shift", "item")).alias("aligned")), "alignments")
-    held = rows.select("doc_id", "text", *_row_key(F.col("text"))).join(aligned, ["row", "row_text"])
+    held = rows.select("doc_id", "text", *_row_key(F.col("text"))).join(aligned.hint("merge"), ["row", "row_text"])  # one plan at every size
     held = held.select("doc_id", word_hashes(F.col("text")).alias("words"), "aligned")
     check = F.transform("aligned", lambda a: F.struct(a["item_key"].alias("item_key"), _verified(F.col("words"), a["item"], a["shift"]).alias("n_equal")))
     found = held.select("doc_id", F.inline(F.filter(check, lambda x: x["n_equal"].isNotNull())))
