@@ -39,7 +39,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 200
-CHUNK = 256
+CHUNK = 512
 _ODD = np.random.default_rng(20240101).integers(1, 1 << 63, size=(8, MAX_HASHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -125,8 +125,19 @@ def units_of_work(representatives: DataFrame, chunk: int = CHUNK) -> DataFrame:
     buckets = placed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialise(placed.join(buckets, ["band", "hash"]).select("node", "doc_id", F.xxhash64("band", "hash").alias("bucket"), "n"), "shared-buckets")
     homes = shared.groupBy("node", "doc_id").agg(F.max(F.struct("n", "bucket")).alias("home"))
-    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("home.n") / F.lit(chunk)))
-    homes = materialise(homes.select("node", "doc_id", F.xxhash64("home.bucket", part).alias("chunk")), "homes")
+    homes = materialise(homes.select("node", "doc_id", F.col("home.bucket").alias("home")), "homes")
+    # a home joins the most crowded one that it meets in a bucket, so that one group of near copies
+    # fills few chunks; which texts share a chunk decides the traffic, never the result
+    crowd = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
+    seats = shared.join(homes.select("node", "home"), "node").select("bucket", "home").distinct().join(crowd, "home")
+    seats = materialise(seats.select("bucket", "home", F.struct("n", "home").alias("seat")), "seats")
+    tops = seats.groupBy("bucket").agg(F.max("seat").alias("top"))
+    joined = seats.join(tops, "bucket").groupBy("home").agg(F.max("top").alias("top")).select("home", F.col("top.home").alias("joined"))
+    homes = materialise(homes.join(joined, "home").join(crowd, "home"), "joined-homes")
+    crowds = homes.groupBy("joined").agg(F.count(F.lit(1)).alias("all"))
+    own = F.when(F.col("n") <= chunk // 4, F.xxhash64("home")).otherwise(F.xxhash64("node"))  # small homes stay together
+    part = F.pmod(own, F.ceil(F.col("all") / F.lit(chunk)))
+    homes = materialise(homes.join(crowds, "joined").select("node", "doc_id", F.xxhash64("joined", part).alias("chunk")), "chunks")
     met = shared.join(homes.select("node", "chunk"), "node").groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"))
     met = materialise(met, "chunks-of-buckets")
     alone = met.filter("n > 1").select(F.col("chunk").alias("one"), F.col("chunk").alias("two"))
