@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tokens import batches_of
+
 ORDER = 3
 ROWS_PER_LANGUAGE = 400
 TRAIN_CHARACTERS = 50_000
@@ -143,19 +145,16 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for batch in texts:
-            encoded = [x.encode("utf-8", "replace") if x else b"" for x in batch.tolist()]
-            best, score, start, held = np.zeros(len(encoded), int), np.zeros(len(encoded)), 0, 0
-            for i, data in enumerate(encoded):
-                held += len(data)
-                if held >= 1 << 19 or i + 1 == len(encoded):
-                    bits = model.code_lengths(encoded[start : i + 1])
-                    gain = bits - bits.min(axis=1, keepdims=True)
-                    best[start : i + 1] = gain.argmin(axis=1)
-                    score[start : i + 1] = 1 / np.exp2(-np.minimum(gain, 1000)).sum(axis=1)
-                    start, held = i + 1, 0
+        for batch in series:
+            best, score = np.zeros(len(batch), int), np.zeros(len(batch))
+            texts = batch.tolist()
+            for part in batches_of(texts, 1 << 18):
+                bits = model.code_lengths([x.encode("utf-8", "replace") if x else b"" for x in texts[part]])
+                gain = bits - bits.min(axis=1, keepdims=True)
+                best[part] = gain.argmin(axis=1)
+                score[part] = 1 / np.exp2(-np.minimum(gain, 1000)).sum(axis=1)
             yield pd.DataFrame({"lang_pred": np.array(model.languages, dtype=object)[best], "score": score})
 
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -40,6 +40,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 200
 CHUNK = 512
+SLICE_WORDS = 200_000
 _ODD = np.random.default_rng(20240101).integers(1, 1 << 63, size=(8, MAX_HASHES), dtype=np.uint64) | np.uint64(1)
 
 
@@ -107,14 +108,23 @@ def sketch(docs: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("words")
-            offsets = lists.offsets.to_numpy()
-            sizes, flat = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            hashes, counts = shingles(flat, sizes)
-            some = np.flatnonzero(counts)
-            values = band_hashes(hashes, counts[some], bands, rows)
-            column = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], np.where(counts > 0, bands, 0)])), pa.int32()), pa.array(values.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], column], names=["doc_id", "node", "check", "bands"])
+            sizes = np.diff(batch.column("words").offsets.to_numpy())
+            begin = held = 0
+            for i, size in enumerate(sizes.tolist()):  # so many words at a time, so that memory follows them alone
+                held += size
+                if held >= SLICE_WORDS or i + 1 == len(sizes):
+                    yield bands_of(batch.slice(begin, i + 1 - begin))
+                    begin, held = i + 1, 0
+
+    def bands_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = batch.column("words")
+        offsets = lists.offsets.to_numpy()
+        sizes, flat = np.diff(offsets), lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+        hashes, counts = shingles(flat, sizes)
+        some = np.flatnonzero(counts)
+        values = band_hashes(hashes, counts[some], bands, rows)
+        column = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], np.where(counts > 0, bands, 0)])), pa.int32()), pa.array(values.ravel()))
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], column], names=["doc_id", "node", "check", "bands"])
 
     return source.mapInArrow(work, "doc_id long, node long, check long, bands array<long>")
 
