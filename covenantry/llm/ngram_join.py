@@ -285,7 +285,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     classes = similar_classes(docs)
     kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
     kept = materialise(kept.select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"))
+    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"))  # one plan at every size
     out = named.filter("_rows = 1").select(*docs.columns)
     if not kept.filter("_rows > 1").isEmpty():
         out = out.unionByName(named.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
