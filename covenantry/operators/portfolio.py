@@ -57,3 +57,29 @@ def graph_edges(found: DataFrame, facts: DataFrame) -> DataFrame:
     back = party.select(F.col("target").alias("source"), F.lit("COUNTERPARTY_TO").alias("relationship"), F.col("source").alias("target"))
     law = facts.filter("governing_law IS NOT NULL").select(contract.alias("source"), F.lit("GOVERNED_BY").alias("relationship"), F.concat(F.lit("jurisdiction_"), F.regexp_replace(F.lower("governing_law"), " ", "_")).alias("target"))
     return party.unionByName(back).unionByName(law)
+
+
+def graph_nodes(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """node_id, node_type of contracts, parties and jurisdictions, each once."""
+    contract = facts.select(F.concat(F.lit("contract_"), F.col("document_id").cast("string")).alias("node_id"), F.when(F.col("contract_type") == "Amendment", "AMENDMENT").otherwise("CONTRACT").alias("node_type"))
+    party = found.select(F.concat(F.lit("party_"), "party_key").alias("node_id"), F.lit("PARTY").alias("node_type"))
+    law = facts.filter("governing_law IS NOT NULL").select(F.concat(F.lit("jurisdiction_"), F.regexp_replace(F.lower("governing_law"), " ", "_")).alias("node_id"), F.lit("JURISDICTION").alias("node_type"))
+    return contract.unionByName(party.unionByName(law).distinct())
+
+
+def graph_check(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """relationship, n_edges, n_orphans (an end is no node), n_loops."""
+    known = lambda end: nodes.select(F.col("node_id").alias(end), F.lit(True).alias(f"_{end}")).distinct()
+    rows = edges.join(known("source"), "source", "left").join(known("target"), "target", "left")
+    orphan = F.col("_source").isNull() | F.col("_target").isNull()
+    return rows.groupBy("relationship").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(orphan).alias("n_orphans"), F.count_if(F.col("source") == F.col("target")).alias("n_loops"))
+
+
+def comparison(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """party_key, attribute, n_contracts, n_values, differs: how the contracts of a party compare; missing values count as one."""
+    names = ("contract_type", "effective_date", "renewal", "payment_days", "notice_days", "governing_law")
+    pairs = F.array(*(F.struct(F.lit(n).alias("attribute"), F.coalesce(F.lower(F.col(n).cast("string")), F.lit("not specified")).alias("value")) for n in names))
+    rows = found.select("document_id", "party_key").distinct().join(facts, "document_id").select("party_key", F.inline(pairs))
+    # one row per value first, so that a party of a third of the contracts is summed before the shuffle
+    values = rows.groupBy("party_key", "attribute", "value").agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy("party_key", "attribute").agg(F.sum("n").alias("n_contracts"), F.count(F.lit(1)).alias("n_values"), (F.count(F.lit(1)) > 1).alias("differs"))

@@ -53,3 +53,10 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int) -> DataFrame:
     for x in parts[1:]:
         whole = whole.unionByName(x)
     return ranked(whole.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), k)
+
+
+def overlap(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, chunk_id, score, rank by the share of a query's different tokens that a chunk has: a plain stand-in for a reranker."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), F.size(F.array_distinct(tokens(F.col("text")))).alias("of"))
+    held = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+    return ranked(asked.join(held, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("of"), 6).alias("score")), k)
