@@ -14,7 +14,7 @@ def _ci(pattern: str) -> str:
 
 def block_type(text: Column) -> Column:
     """exhibit_marker, signature_block, heading, list_item or paragraph; the first rule that holds decides."""
-    heading = (F.length(text) <= 150) & (text.rlike(_ci(P.HEADING_SECTION)) | text.rlike(P.HEADING_NUMBER))
+    heading = (F.length(text) <= 150) & (text.rlike(_ci(P.HEADING_SECTION)) | text.rlike(P.HEADING_NUMBER) | text.rlike(_ci(P.HEADING_KEYWORD)))
     return (
         F.when((F.length(text) < 120) & text.rlike(_ci(P.HEADING_EXHIBIT)), "exhibit_marker")
         .when((F.length(text) < 300) & text.rlike(_ci(P.SIGNATURE)), "signature_block")
@@ -30,11 +30,17 @@ def section_number(text: Column) -> Column:
     return F.when(F.length(text) <= 150, F.coalesce(F.nullif(F.rtrim(by_word, F.lit(".")), F.lit("")), F.nullif(by_number, F.lit(""))))
 
 
+def section_title(text: Column) -> Column:
+    """A heading's title, empty if it has none; null for other blocks."""
+    heading = lambda p, k: F.when(text.rlike(p), F.trim(F.regexp_extract(text, p, k)))
+    return F.when(F.length(text) <= 150, F.coalesce(heading(_ci(P.HEADING_SECTION), 3), heading(P.HEADING_NUMBER, 3), heading(_ci(P.HEADING_KEYWORD), 1)))
+
+
 def with_sections(blocks: DataFrame) -> DataFrame:
-    """Type every block and carry the last heading's number forward; a heading has its own."""
+    """Type every block and carry the last heading's number and title forward; a heading has its own."""
     order = Window.partitionBy("document_id").orderBy("page_number", "reading_order").rowsBetween(Window.unboundedPreceding, 0)
-    own = blocks.withColumns({"block_type": block_type(F.col("text")), "own": section_number(F.col("text"))})
-    return own.withColumn("section_number", F.last("own", ignorenulls=True).over(order)).drop("own")
+    own = blocks.withColumns({"block_type": block_type(F.col("text")), "own": section_number(F.col("text")), "title": section_title(F.col("text"))})
+    return own.withColumns({"section_number": F.last("own", ignorenulls=True).over(order), "section_title": F.last("title", ignorenulls=True).over(order)}).drop("own", "title")
 
 
 def section_rollup(typed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import chunking, evidence, facts, lifecycle, obligations, portfolio, questions, retrieval
+from ..operators import chunking, evidence, facts, ingest, lifecycle, obligations, portfolio, questions, retrieval
 from ..sources import contracts
 from ..sources.shared import shared_folder
 from ..streaming import events as streams
@@ -41,6 +41,14 @@ def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.lifecycle_events(facts.extract_facts(blocks), obligations.extract_obligations(blocks))
 
 
+def expiration_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.expiration_dates(ingest.with_sections(contracts.contract_blocks(spark, sf_dir)))
+
+
+def amendment_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.amendment_facts(contracts.contract_blocks(spark, sf_dir))
+
+
 def milestones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.milestones(lifecycle_events(spark, sf_dir), F.to_date(F.lit(TODAY)))
 
@@ -122,7 +130,7 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        lifecycle_events, milestones, window_chunks, section_chunks, chunk_statistics, reference_status, claim_status, turn_intents, fused_top,
+        expiration_dates, amendment_facts, lifecycle_events, milestones, window_chunks, section_chunks, chunk_statistics, reference_status, claim_status, turn_intents, fused_top,
         cosine_evaluation, party_comparison, graph_nodes, graph_check, streamed_blocks, streamed_windows,
     )
     return {f.__name__: f for f in found}
@@ -132,6 +140,7 @@ def oracle_sql() -> dict[str, str]:
     """No SQL for chunks: where one ends depends on where the last ended. They are tested against brute force."""
     known = base.oracle_sql()
     q = lambda x: "'" + x.replace("'", "''") + "'"
+    ci = lambda x: q("(?i)" + x)
     claims = CLAIMS_SQL.format(orders="orders")
     life = f"""
 WITH f AS ({known["contract_facts"]}), o AS ({known["contract_obligations"]}), e AS (
@@ -159,6 +168,17 @@ UNION ALL SELECT DISTINCT target, CASE relationship WHEN 'HAS_PARTY' THEN 'PARTY
         for a in ("contract_type", "effective_date", "renewal", "payment_days", "notice_days", "governing_law")
     )
     return {
+        "expiration_dates": f"""
+WITH b AS ({known["contract_blocks"]}), t AS (SELECT *, CASE WHEN length(text) <= 150 THEN CASE WHEN regexp_matches(text, {ci(P.HEADING_SECTION)}) THEN trim(regexp_extract(text, {ci(P.HEADING_SECTION)}, 3))
+    WHEN regexp_matches(text, {q(P.HEADING_NUMBER)}) THEN trim(regexp_extract(text, {q(P.HEADING_NUMBER)}, 3)) WHEN regexp_matches(text, {ci(P.HEADING_KEYWORD)}) THEN regexp_extract(text, {ci(P.HEADING_KEYWORD)}, 1) END END AS own FROM b),
+s AS (SELECT *, lower(last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, reading_order)) AS title,
+  coalesce({", ".join(f"nullif(regexp_extract(text, {ci(d)}, 0), '')" for d in P.DATES)}) AS day FROM t)
+SELECT document_id, (list(day ORDER BY page_number, reading_order))[1] AS expiration_date FROM s
+WHERE (contains(title, 'term') OR contains(title, 'expiration')) AND regexp_matches(text, {ci(P.EXPIRATION_CUE)}) AND day IS NOT NULL GROUP BY 1""",
+        "amendment_facts": " UNION ALL ".join(
+            f"SELECT document_id, reading_order, '{a}' AS action, coalesce(nullif(regexp_extract(text, {ci(p)}, 1), ''), 'General') AS target_section FROM ({known['contract_blocks']}) WHERE regexp_matches(text, {ci(p)})"
+            for a, p in P.AMENDMENT_ACTIONS
+        ),
         "lifecycle_events": life,
         "milestones": f"""
 WITH l AS ({life}), d AS (SELECT event_type, CASE WHEN is_fixed_date THEN date_diff('day', DATE '{TODAY}', try_strptime(date_or_trigger, '%B %d, %Y')::DATE) END AS days FROM l)

@@ -109,20 +109,21 @@ def oracle_sql() -> dict[str, str]:
     )
     any_of = lambda xs: "(" + " OR ".join(f"contains(lower(text), {q(x)})" for x in xs) + ")"
     date = "coalesce(" + ", ".join(f"nullif(regexp_extract(text, {ci(d)}, 0), '')" for d in P.DATES) + ")"
-    kind = "CASE " + " ".join(f"WHEN regexp_matches(text, {ci(p)}) THEN {q(n)}" for n, p in P.CONTRACT_TYPES) + " END"
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(text, {ci(p)}) THEN {k}" for k, (_, p) in enumerate(P.CONTRACT_TYPES, 1)) + " END"
+    kinds = "[" + ", ".join(q(n) for n, _ in P.CONTRACT_TYPES) + "]"
     first = lambda x: f"(list({x} ORDER BY page_number, reading_order) FILTER (WHERE {x} IS NOT NULL))[1]"
     facts_sql = f"""
-WITH b AS ({blocks}), f AS (SELECT *, CASE WHEN page_number = 1 THEN {kind} END AS contract_type,
+WITH b AS ({blocks}), f AS (SELECT *, CASE WHEN page_number = 1 AND reading_order < 6 THEN {kind} END AS kind,
   CASE WHEN page_number <= 2 AND regexp_matches(text, {ci(P.EFFECTIVE_CUE)}) THEN {date} END AS effective_date,
   CASE WHEN {any_of(P.RENEWAL_CUES)} THEN text[1:120] END AS renewal, CASE WHEN {any_of(P.PAYMENT_CUES)} THEN {days(P.PAYMENT_DAYS)} END AS payment_days,
   CASE WHEN contains(lower(text), 'terminat') THEN {days(P.NOTICE_DAYS)} END AS notice_days,
   nullif(trim(regexp_extract(text, {ci(P.GOVERNING_LAW)}, 2)), '') AS governing_law FROM b)
-SELECT document_id, {", ".join(f"{first(x)} AS {x}" for x in ("contract_type", "effective_date", "renewal", "payment_days", "notice_days"))},
+SELECT document_id, {kinds}[min(kind)] AS contract_type, {", ".join(f"{first(x)} AS {x}" for x in ("effective_date", "renewal", "payment_days", "notice_days"))},
   (list(governing_law ORDER BY page_number DESC, reading_order DESC) FILTER (WHERE governing_law IS NOT NULL))[1] AS governing_law FROM f GROUP BY document_id"""
     typed = f"""
 WITH b AS ({blocks}), t AS (SELECT *, CASE WHEN length(text) < 120 AND regexp_matches(text, {ci(P.HEADING_EXHIBIT)}) THEN 'exhibit_marker'
     WHEN length(text) < 300 AND regexp_matches(text, {ci(P.SIGNATURE)}) THEN 'signature_block'
-    WHEN length(text) <= 150 AND (regexp_matches(text, {ci(P.HEADING_SECTION)}) OR regexp_matches(text, {q(P.HEADING_NUMBER)})) THEN 'heading'
+    WHEN length(text) <= 150 AND (regexp_matches(text, {ci(P.HEADING_SECTION)}) OR regexp_matches(text, {q(P.HEADING_NUMBER)}) OR regexp_matches(text, {ci(P.HEADING_KEYWORD)})) THEN 'heading'
     WHEN regexp_matches(text, {ci(P.LIST_ITEM)}) THEN 'list_item' ELSE 'paragraph' END AS block_type,
     CASE WHEN length(text) <= 150 THEN coalesce(nullif(rtrim(regexp_extract(text, {ci(P.HEADING_SECTION)}, 2), '.'), ''), nullif(regexp_extract(text, {q(P.HEADING_NUMBER)}, 1), '')) END AS own FROM b),
 s AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, reading_order) AS section_number FROM t)"""

@@ -20,8 +20,9 @@ SELECT o.o_orderkey AS document_id, o.reading_order, CASE WHEN o.reading_order <
     WHEN 4 THEN CASE o.o_orderkey % 6 WHEN 0 THEN 'Supplier shall provide a monthly report to Customer.' WHEN 1 THEN 'If a force majeure event occurs, Supplier shall notify Customer within 15 days after discovering the breach.'
                 WHEN 2 THEN 'Supplier shall maintain insurance throughout the term.' WHEN 3 THEN 'Customer must return the goods within 10 days after receipt of notice.'
                 WHEN 4 THEN 'Supplier agrees to deliver all goods before June 30, 2027.' ELSE 'Each party shall keep the records in good order.' END
-    WHEN 5 THEN 'Either party may terminate this Agreement upon prior written notice of ' || CASE o.o_orderkey % 3 WHEN 0 THEN 'sixty (60)' WHEN 1 THEN 'thirty (30)' ELSE '90' END || ' days.'
-    WHEN 6 THEN CASE WHEN o.o_orderkey % 2 = 0 THEN 'This Agreement shall automatically renew for successive terms of one year, unless notice of 60 days is given.' ELSE 'This Agreement ends with its term.' END
+    WHEN 5 THEN CASE WHEN o.o_orderkey % 8 = 2 THEN 'Section 4.2 of the Agreement shall be deleted in its entirety and the following shall be inserted; all other terms remain in full force and effect.'
+                WHEN o.o_orderkey % 8 = 6 THEN 'Section 7 of the Agreement shall be amended by adding the following insurance coverage.' ELSE 'Either party may terminate this Agreement upon prior written notice of ' || CASE o.o_orderkey % 3 WHEN 0 THEN 'sixty (60)' WHEN 1 THEN 'thirty (30)' ELSE '90' END || ' days.' END
+    WHEN 6 THEN CASE WHEN o.o_orderkey % 2 = 0 THEN 'This Agreement shall automatically renew for successive terms of one year, unless notice of 60 days is given.' ELSE 'This Agreement shall expire on June 30, ' || CAST(2003 + o.o_orderkey % 5 AS VARCHAR(9)) || '.' END
     ELSE 'This Agreement is governed by the laws of the State of ' || CASE o.o_orderkey % 4 WHEN 0 THEN 'Delaware' WHEN 1 THEN 'Texas' WHEN 2 THEN 'California' ELSE 'Nevada' END || '.' END AS text
 FROM {blocks} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 """
