@@ -38,7 +38,8 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lifecycle_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = contracts.contract_blocks(spark, sf_dir)
-    return lifecycle.lifecycle_events(facts.extract_facts(blocks), obligations.extract_obligations(blocks))
+    expirations, amendments = facts.expiration_dates(ingest.with_sections(blocks)), facts.amendment_facts(blocks)
+    return lifecycle.lifecycle_events(facts.extract_facts(blocks), expirations, amendments, obligations.extract_obligations(blocks))
 
 
 def expiration_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,14 +143,27 @@ def oracle_sql() -> dict[str, str]:
     q = lambda x: "'" + x.replace("'", "''") + "'"
     ci = lambda x: q("(?i)" + x)
     claims = CLAIMS_SQL.format(orders="orders")
+    expirations = f"""
+WITH b AS ({known["contract_blocks"]}), t AS (SELECT *, CASE WHEN length(text) <= 150 THEN CASE WHEN regexp_matches(text, {ci(P.HEADING_SECTION)}) THEN trim(regexp_extract(text, {ci(P.HEADING_SECTION)}, 3))
+    WHEN regexp_matches(text, {q(P.HEADING_NUMBER)}) THEN trim(regexp_extract(text, {q(P.HEADING_NUMBER)}, 3)) WHEN regexp_matches(text, {ci(P.HEADING_KEYWORD)}) THEN regexp_extract(text, {ci(P.HEADING_KEYWORD)}, 1) END END AS own FROM b),
+s AS (SELECT *, lower(last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, reading_order)) AS title,
+  coalesce({", ".join(f"nullif(regexp_extract(text, {ci(d)}, 0), '')" for d in P.DATES)}) AS day FROM t)
+SELECT document_id, (list(day ORDER BY page_number, reading_order))[1] AS expiration_date FROM s
+WHERE (contains(title, 'term') OR contains(title, 'expiration')) AND regexp_matches(text, {ci(P.EXPIRATION_CUE)}) AND day IS NOT NULL GROUP BY 1"""
+    amendments = " UNION ALL ".join(
+        f"SELECT document_id, reading_order, '{a}' AS action, coalesce(nullif(regexp_extract(text, {ci(p)}, 1), ''), 'General') AS target_section FROM ({known['contract_blocks']}) WHERE regexp_matches(text, {ci(p)})"
+        for a, p in P.AMENDMENT_ACTIONS
+    )
     life = f"""
-WITH f AS ({known["contract_facts"]}), o AS ({known["contract_obligations"]}), e AS (
+WITH f AS ({known["contract_facts"]}), x AS ({expirations}), a AS ({amendments}), o AS ({known["contract_obligations"]}), e AS (
   SELECT document_id, 0 AS branch, 'effective_date' AS event_type, effective_date AS date_or_trigger, true AS is_fixed_date, 0 AS reading_order, 0 AS unit FROM f
-  UNION ALL SELECT document_id, 1, 'renewal', renewal[1:100], false, 0, 0 FROM f
-  UNION ALL SELECT document_id, 2, 'notice_deadline', notice_days || ' days prior notice', false, 0, 0 FROM f
-  UNION ALL SELECT document_id, 3, 'payment_deadline', 'Invoice received + ' || payment_days || ' days', false, 0, 0 FROM f
-  UNION ALL SELECT document_id, 4, 'recurring_obligation', action[1:50], false, reading_order, unit FROM o WHERE temporal_type = 'recurring')
-SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY branch, reading_order, unit)::INT AS n, event_type, date_or_trigger, is_fixed_date
+  UNION ALL SELECT document_id, 1, 'expiration', expiration_date, true, 0, 0 FROM x
+  UNION ALL SELECT document_id, 2, 'renewal', renewal[1:100], false, 0, 0 FROM f
+  UNION ALL SELECT document_id, 3, 'notice_deadline', notice_days || ' days prior notice', false, 0, 0 FROM f
+  UNION ALL SELECT document_id, 4, 'payment_deadline', 'Invoice received + ' || payment_days || ' days', false, 0, 0 FROM f
+  UNION ALL SELECT document_id, 5, 'amendment_effective_date', action, false, reading_order, 0 FROM a
+  UNION ALL SELECT document_id, 6, 'recurring_obligation', action[1:50], false, reading_order, unit FROM o WHERE temporal_type = 'recurring')
+SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY branch, reading_order, unit, date_or_trigger)::INT AS n, event_type, date_or_trigger, is_fixed_date
 FROM e WHERE date_or_trigger IS NOT NULL"""
     bounds = " ".join(f"WHEN days <= {w} THEN 'within_{w}'" for w in lifecycle.WINDOWS)
     any_of = lambda x, words: "(" + " OR ".join(f"contains({x}, {q(w)})" for w in words) + ")"
@@ -168,17 +182,8 @@ UNION ALL SELECT DISTINCT target, CASE relationship WHEN 'HAS_PARTY' THEN 'PARTY
         for a in ("contract_type", "effective_date", "renewal", "payment_days", "notice_days", "governing_law")
     )
     return {
-        "expiration_dates": f"""
-WITH b AS ({known["contract_blocks"]}), t AS (SELECT *, CASE WHEN length(text) <= 150 THEN CASE WHEN regexp_matches(text, {ci(P.HEADING_SECTION)}) THEN trim(regexp_extract(text, {ci(P.HEADING_SECTION)}, 3))
-    WHEN regexp_matches(text, {q(P.HEADING_NUMBER)}) THEN trim(regexp_extract(text, {q(P.HEADING_NUMBER)}, 3)) WHEN regexp_matches(text, {ci(P.HEADING_KEYWORD)}) THEN regexp_extract(text, {ci(P.HEADING_KEYWORD)}, 1) END END AS own FROM b),
-s AS (SELECT *, lower(last_value(own IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY page_number, reading_order)) AS title,
-  coalesce({", ".join(f"nullif(regexp_extract(text, {ci(d)}, 0), '')" for d in P.DATES)}) AS day FROM t)
-SELECT document_id, (list(day ORDER BY page_number, reading_order))[1] AS expiration_date FROM s
-WHERE (contains(title, 'term') OR contains(title, 'expiration')) AND regexp_matches(text, {ci(P.EXPIRATION_CUE)}) AND day IS NOT NULL GROUP BY 1""",
-        "amendment_facts": " UNION ALL ".join(
-            f"SELECT document_id, reading_order, '{a}' AS action, coalesce(nullif(regexp_extract(text, {ci(p)}, 1), ''), 'General') AS target_section FROM ({known['contract_blocks']}) WHERE regexp_matches(text, {ci(p)})"
-            for a, p in P.AMENDMENT_ACTIONS
-        ),
+        "expiration_dates": expirations,
+        "amendment_facts": amendments,
         "lifecycle_events": life,
         "milestones": f"""
 WITH l AS ({life}), d AS (SELECT event_type, CASE WHEN is_fixed_date THEN date_diff('day', DATE '{TODAY}', try_strptime(date_or_trigger, '%B %d, %Y')::DATE) END AS days FROM l)

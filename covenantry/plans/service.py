@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import answers, clauses, facts, intake, obligations, registry, retrieval
+from ..operators import answers, clauses, facts, intake, obligations, registry, retrieval, roles
 from ..sources import contracts
 from . import more
 from . import queries as base
@@ -32,6 +32,20 @@ SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'notes.txt' WHEN 1 THEN '../up.pdf' W
   CASE WHEN doc_id % 6 = 3 THEN 26214401 ELSE n_chars END AS n_bytes, CASE WHEN doc_id % 6 = 4 THEN 'plain' ELSE '%PDF-1.7' END AS head
 FROM {documents}
 """
+#: Valid in both: the opening of a contract between two parties for each order.
+OPENINGS_SQL = """
+SELECT o_orderkey AS document_id, CASE o_orderkey % 5 WHEN 0 THEN 'Supply Agreement' WHEN 1 THEN 'Master Services Agreement' WHEN 2 THEN 'Software License Agreement' ELSE 'Agreement' END AS contract_type,
+  'Customer ' || CAST(o_custkey AS VARCHAR(20)) || ' Inc.' AS one, 'Works ' || CAST(o_orderkey AS VARCHAR(20)) || ' LLC' AS two,
+  'Between Customer ' || CAST(o_custkey AS VARCHAR(20)) || ' Inc.' || CASE o_orderkey % 4 WHEN 0 THEN ' ("Customer")' WHEN 1 THEN '' WHEN 2 THEN ' acts as the lender' ELSE '' END
+    || ' and Works ' || CAST(o_orderkey AS VARCHAR(20)) || ' LLC' || CASE o_orderkey % 3 WHEN 0 THEN ' (the "Vendor")' ELSE '' END || ' as agreed.' AS preamble,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'Borrower means the company known as Works ' || CAST(o_orderkey AS VARCHAR(20)) || ' LLC.' END AS definitions
+FROM {orders}
+"""
+
+
+def party_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = spark.sql(OPENINGS_SQL, orders=contracts.table(spark, sf_dir, "orders"))
+    return roles.party_roles(opened.withColumn("parties", F.array("one", "two")))
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +126,7 @@ def retrieval_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         referenced_schedules, clause_risks, upload_decisions, scanned_documents, missing_vectors, open_contract_blocks, contract_summaries, portfolio_totals, fact_rows,
-        party_and_term, obligation_distribution, answer_reports, ranked_evidence, retrieval_difficulty,
+        party_and_term, obligation_distribution, answer_reports, ranked_evidence, retrieval_difficulty, party_roles,
     )
     return {f.__name__: f for f in found}
 
@@ -135,7 +149,16 @@ FROM b LEFT JOIN f USING (document_id) LEFT JOIN o USING (document_id)"""
     overall = "CASE " + " ".join(f"WHEN n_{s.lower()} > 0 THEN '{s}'" for s in answers.PRECEDENCE) + " ELSE 'INSUFFICIENT_EVIDENCE' END"
     stop = ", ".join(q(w) for w in answers.QUESTION_WORDS)
     ranked = known["bm25_top"].replace(f"rank <= {base.TOP}", f"rank <= {POOL}")
+    role = lambda w: f"CASE lower({w}) " + " ".join(f"WHEN '{x}' THEN '{r}'" for r, words in roles.ROLE_WORDS.items() for x in words) + " END"
+    after, before = "substr(preamble, instr(preamble, {n}) + length({n}))", "substr(definitions, 1, instr(definitions, {n}) - 1)"
+    stated = lambda n: f"coalesce({role(f'regexp_extract({after.format(n=n)}, {ci(roles.STATED)}, 1)')}, CASE WHEN contains(definitions, {n}) THEN {role(f'regexp_extract({before.format(n=n)}, {ci(roles.DEFINED)}, 1)')} END)"
+    implied = lambda k: "CASE WHEN s1 IS NULL AND s2 IS NULL THEN CASE " + " ".join(f"WHEN contains(lower(contract_type), '{a[0]}') THEN '{a[k]}'" for a in roles.ARCHETYPES) + " END END"
+    acting = lambda n: role(f"regexp_extract({after.format(n=n)}, {ci(roles.ACTING)}, 1)")
     return {
+        "party_roles": f"""
+WITH s AS (SELECT *, {stated("one")} AS s1, {stated("two")} AS s2 FROM ({OPENINGS_SQL.format(orders="orders")}))
+SELECT document_id, 0::INT AS ord, one AS name, coalesce(s1, {implied(1)}, {acting("one")}) AS role FROM s
+UNION ALL SELECT document_id, 1::INT, two, coalesce(s2, {implied(2)}, {acting("two")}) FROM s""",
         "referenced_schedules": f"""
 WITH r AS (SELECT document_id, unnest(regexp_extract_all(text, {ci(clauses.REFERENCE)}, 1)) AS r FROM ({made})),
 d AS (SELECT DISTINCT document_id, upper(r[1]) || lower(string_split(r, ' ')[1][2:]) || ' ' || string_split(r, ' ')[2] AS reference FROM r)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from covenantry.operators import answers, clauses, intake
+from covenantry.operators import answers, clauses, intake, roles
 from covenantry.plans import service
 from tests.oracle import compare
 
@@ -43,3 +43,20 @@ def test_empty_tables(spark):
     assert clauses.clause_risks(empty).isEmpty() and clauses.referenced_schedules(empty).isEmpty() and intake.scans(empty).isEmpty()
     one = spark.createDataFrame([(1, None, None)], "document_id long, page_number int, text string")
     assert [tuple(r) for r in intake.scans(one).collect()] == [(1, 0.0, True)]
+
+
+def test_party_roles(spark):
+    rows = [
+        (1, None, "This Agreement is between Apex Global Inc. ('Customer') and Vanguard Defense LLC ('Service Provider').", None, ["Apex Global Inc.", "Vanguard Defense LLC"]),
+        (2, "Supply Agreement", "Between A Corp and B Corp.", None, ["A Corp", "B Corp"]),
+        (3, "Supply Agreement", "Between A Corp and B Corp, the buyer.", None, ["A Corp", "B Corp"]),
+        (4, "Other", "A Corp acts as the licensor.", "Licensee means the firm B Corp.", ["A Corp", "B Corp", ""]),
+        (5, "License", None, None, ["A Corp", None]), (6, None, None, None, None), (7, None, "x (the Buyer)", None, []),
+        (8, None, "Between S Corp ('Supplier') and C Corp ('Customer').", None, ["S Corp", "C Corp"]),
+    ]
+    table = spark.createDataFrame(rows, "document_id long, contract_type string, preamble string, definitions string, parties array<string>")
+    got = {(r.document_id, r.ord): r.role for r in roles.party_roles(table).collect()}
+    assert got == {
+        (1, 0): "CUSTOMER", (1, 1): "SERVICE_PROVIDER", (2, 0): None, (2, 1): None, (3, 0): "BUYER", (3, 1): "SUPPLIER", (4, 0): "LICENSOR", (4, 1): "LICENSEE", (4, 2): None,
+        (5, 0): "LICENSOR", (5, 1): "LICENSEE", (8, 0): "SUPPLIER", (8, 1): "CUSTOMER",
+    }
