@@ -41,6 +41,12 @@ SELECT o_orderkey AS document_id, CASE o_orderkey % 5 WHEN 0 THEN 'Supply Agreem
   CASE WHEN o_orderkey % 7 = 0 THEN 'Borrower means the company known as Works ' || CAST(o_orderkey AS VARCHAR(20)) || ' LLC.' END AS definitions
 FROM {orders}
 """
+#: Valid in both: an answer for each order.
+ANSWERS_SQL = """
+SELECT o_orderkey AS answer_id, CASE o_orderkey % 4 WHEN 0 THEN 'Invoices are due in ' || CAST(o_orderkey % 90 AS VARCHAR(9)) || ' days [E1]. The law is stated. It renews [E2][E1]!'
+  WHEN 1 THEN 'The contracts do not say.' WHEN 2 THEN NULL ELSE 'Notice is due.[E3] It ends soon [E4]' END AS text
+FROM {orders}
+"""
 
 
 def party_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,11 +117,33 @@ def answer_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.answer_reports(claims.select(F.floor(F.col("claim_id") / 4).cast("long").alias("answer_id"), "status"))
 
 
-def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
     chunks, asked = base._ranking_inputs(spark, sf_dir)
-    pool = retrieval.bm25(chunks, asked, POOL)
-    spans = pool.select("query_id", "chunk_id", F.col("rank").alias("position")).join(chunks, "chunk_id").select("query_id", F.col("chunk_id").alias("span_id"), "position", "text")
-    return answers.rank_evidence(asked, spans)
+    pool = retrieval.bm25(chunks, asked, k).select("query_id", "chunk_id", F.col("rank").alias("position"))
+    return asked, pool.join(chunks, "chunk_id").select("query_id", F.col("chunk_id").alias("span_id"), "position", "text")
+
+
+def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.rank_evidence(*_spans(spark, sf_dir, POOL))
+
+
+def quoted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.extract_lines(*_spans(spark, sf_dir, base.TOP)).withColumn("line_md5", F.md5("line")).drop("line")
+
+
+def inline_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = spark.sql(ANSWERS_SQL, orders=contracts.table(spark, sf_dir, "orders"))
+    found = said.select("answer_id", F.posexplode(answers.inline_claims(F.col("text"))).alias("n", "c"))
+    return found.select("answer_id", "n", F.col("c.claim").alias("claim"), F.array_join("c.evidence_ids", ",").alias("evidence_ids"))
+
+
+def evidence_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items stand for citations: a supplier's questions cite pages of parts."""
+    items = contracts.table(spark, sf_dir, "lineitem")
+    return answers.bundle(items.select(
+        F.col("l_suppkey").alias("query_id"), F.col("l_partkey").alias("document_id"), F.col("l_linenumber").alias("page_number"), F.lit(0).alias("reading_order"),
+        F.col("l_orderkey").alias("source"), F.col("l_orderkey").alias("rank"),
+    ))
 
 
 def retrieval_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +154,7 @@ def retrieval_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         referenced_schedules, clause_risks, upload_decisions, scanned_documents, missing_vectors, open_contract_blocks, contract_summaries, portfolio_totals, fact_rows,
-        party_and_term, obligation_distribution, answer_reports, ranked_evidence, retrieval_difficulty, party_roles,
+        party_and_term, obligation_distribution, answer_reports, ranked_evidence, retrieval_difficulty, party_roles, quoted_answers, inline_claims, evidence_bundles,
     )
     return {f.__name__: f for f in found}
 
@@ -197,6 +225,18 @@ WITH k AS ({ranked}), w AS (SELECT item_id AS query_id, list_filter(list_distinc
 h AS (SELECT k.query_id, chunk_id AS span_id, rank, len(list_filter(words, lambda t: contains(lower(d.text), t))) AS hits FROM k JOIN w USING (query_id) JOIN documents d ON d.doc_id = chunk_id),
 n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, rank, span_id) AS n FROM h)
 SELECT query_id, span_id, hits::BIGINT AS hits, 'E' || n AS evidence_id FROM n WHERE n <= {answers.MOST_EVIDENCE}""",
+        "quoted_answers": f"""
+WITH k AS ({known["bm25_top"]}), w AS (SELECT item_id AS query_id, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')), lambda t: regexp_full_match(t, '[a-z]{{3,}}') AND t NOT IN ({stop})) AS words FROM benchmark),
+l AS (SELECT query_id, chunk_id AS span_id, rank, unnest(range(len(string_split(text, chr(10)))))::INT AS line_number, trim(unnest(string_split(text, chr(10)))) AS line FROM k JOIN documents d ON d.doc_id = chunk_id),
+h AS (SELECT l.*, len(list_filter(words, lambda t: contains(lower(line), t)))::BIGINT AS hits FROM l JOIN w USING (query_id) WHERE length(line) > {answers.SHORTEST_LINE})
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, rank, line_number, span_id)::INT AS n, span_id, line_number, hits, md5(line) AS line_md5 FROM h WHERE hits > 0 QUALIFY n <= {answers.MOST_LINES}""",
+        "inline_claims": f"""
+WITH a AS (SELECT answer_id, list_filter(string_split(regexp_replace(text, '([.!?](\\[E[0-9]+\\])*)\\s+', '\\1' || chr(30), 'g'), chr(30)), lambda x: regexp_matches(x, '\\[E[0-9]+\\]')) AS s FROM ({ANSWERS_SQL.format(orders="orders")})),
+u AS (SELECT answer_id, unnest(range(len(s)))::INT AS n, unnest(s) AS x FROM a)
+SELECT answer_id, n, trim(regexp_replace(x, '\\s*\\[E[0-9]+\\]', '', 'g')) AS claim, CASE WHEN contains(x, '[E2][E1]') THEN 'E2,E1' ELSE regexp_extract(x, '\\[(E[0-9]+)\\]', 1) END AS evidence_ids FROM u""",
+        "evidence_bundles": """
+SELECT l_suppkey AS query_id, l_partkey AS document_id, l_linenumber AS page_number, 0 AS reading_order, min(l_orderkey) AS first_rank, count(DISTINCT l_orderkey) AS n_sources,
+  array_to_string(list_sort(list_distinct(list(l_orderkey))), ',') AS sources FROM lineitem GROUP BY ALL""",
         "retrieval_difficulty": f"""
 WITH k AS ({known["bm25_top"]}), f AS ({known["fused_top"]}), a AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS t FROM benchmark),
 h AS (SELECT doc_id AS chunk_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS term FROM documents),

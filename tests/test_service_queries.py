@@ -60,3 +60,14 @@ def test_party_roles(spark):
         (1, 0): "CUSTOMER", (1, 1): "SERVICE_PROVIDER", (2, 0): None, (2, 1): None, (3, 0): "BUYER", (3, 1): "SUPPLIER", (4, 0): "LICENSOR", (4, 1): "LICENSEE", (4, 2): None,
         (5, 0): "LICENSOR", (5, 1): "LICENSEE", (8, 0): "SUPPLIER", (8, 1): "CUSTOMER",
     }
+
+
+def test_quoted_lines_and_inline_claims(spark):
+    asked = spark.createDataFrame([(1, "When is payment due?"), (2, "Who is the licensor?"), (3, None)], "query_id long, text string")
+    text = "Payment terms\nEvery payment is due within thirty days.\nLate sums bear interest at one per cent.\nAll payments are made by transfer to the bank."
+    spans = spark.createDataFrame([(1, 7, 1, text), (1, 8, 2, None), (2, 7, 1, text), (3, 7, 1, text)], "query_id long, span_id long, position int, text string")
+    got = [(r.query_id, r.n, r.line_number, r.hits) for r in answers.extract_lines(asked, spans).orderBy("query_id", "n").collect()]
+    assert got == [(1, 1, 1, 2), (1, 2, 3, 1)]
+    said = spark.createDataFrame([("One [E1][E2][E1]. Two.\nThree [E9]",), ("none",), (None,), ("",)], "text string")
+    got = [r[0] for r in said.select(answers.inline_claims(F.col("text"))).collect()]
+    assert [(c.claim, c.evidence_ids) for c in got[0]] == [("One.", ["E1", "E2"]), ("Three", ["E9"])] and got[1:] == [[], None, []]
