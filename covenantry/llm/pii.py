@@ -3,7 +3,8 @@
 Entities found by pattern are replaced by surrogates of the same type, format and script (names: and
 gender), drawn by a keyed hash of the entity's normal form. All occurrences of an entity in the
 corpus get one surrogate (coreference). Surrogates are checked over all entities of the corpus: those
-that two entities share, or that equal a real entity, are drawn anew until all are distinct.
+that two entities share, or that equal a real entity, are drawn anew until all are distinct. From the
+draw ``GROWS_AFTER`` on a surrogate gets longer with each draw, so no number of entities exhausts it.
 
 Only documents with an entity are joined with their surrogates; the others pass through. A text is
 rebuilt from the pieces between its matches.
@@ -22,7 +23,7 @@ from .columns import let
 from .storage import materialise
 
 KEY = "covenantry"  # callers pass a secret one
-MAX_DRAWS = 50
+GROWS_AFTER = 20  # draws in the format of the entity; later ones are longer by a character or syllable each
 
 # Given names by script and gender, titles and the words before a secret.
 MALE = ("James", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Pierre", "Jacques", "Wolfgang", "Jürgen", "Carlos", "Javier")
@@ -47,8 +48,8 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!-?\d)",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/=.-]{6,128}",
-    "access": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[_+/=.-]{0,127}[A-Za-z0-9])[A-Za-z0-9_+/=.-]{6,128}",
+    "access": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
     "name": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}[\p{{Ll}}'-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'-]{{1,30}})?",
 }
@@ -156,7 +157,12 @@ def draw_surrogate(kind: Column, normal: Column, draw: Column, key: str) -> Colu
             )
 
         chars = F.array_join(F.transform(F.filter(F.split(normal, ""), lambda c: c != ""), one), "")
+        # from here on each draw has a place more, after the entity's own (before them in an email)
+        grows = lambda of: F.when(draw > GROWS_AFTER, F.array_join(F.transform(F.sequence(F.lit(1), draw - GROWS_AFTER), lambda k: of(k - 1 + 1000)), "")).otherwise("")
+        more = F.when(kind == "email", grows(lambda i: letter(97, i, 26))).otherwise(grows(lambda i: letter(48, i, 10)))
+        chars = F.when(kind == "email", F.concat(more, chars)).otherwise(F.concat(chars, more))
         octets = F.array_join(F.transform(F.split(normal, r"\."), lambda x, i: (F.pmod(number(i), F.lit(254)) + 1).cast("string")), ".")
+        octets = F.concat(octets, grows(lambda i: F.concat(F.lit("."), (F.pmod(number(i), F.lit(254)) + 1).cast("string"))))
         card = let(chars, lambda x: let(F.concat(F.left(x, F.length(x) - 1), F.lit("0")), lambda y: F.concat(F.left(x, F.length(x) - 1), F.pmod(-_luhn(y), F.lit(10)).cast("string"))))
         iban = let(chars, lambda x: F.concat(F.left(x, F.lit(2)), F.lpad((F.lit(98) - _mod97(F.concat(F.substring(x, 5, 34), F.left(x, F.lit(2)), F.lit("00")))).cast("string"), 2, "0"), F.substring(x, 5, 34)))
         cyrillic = normal.rlike(r"\p{IsCyrillic}")
@@ -166,6 +172,8 @@ def draw_surrogate(kind: Column, normal: Column, draw: Column, key: str) -> Colu
         syllables = lambda heads, tails: F.concat(_pick(heads, number(F.lit(0))), F.when(draw > 1, F.lower(_pick(heads, number(F.lit(1))))).otherwise(""), F.when(draw > 4, F.lower(_pick(heads, number(F.lit(2))))).otherwise(""), F.when(draw > 8, F.lower(_pick(heads, number(F.lit(3))))).otherwise(""), _pick(tails, number(F.lit(4))))
         feminine = F.when(normal.rlike("(?:ова|ева|ина|ая)$"), "а").otherwise("")
         surname = F.when(cyrillic, F.concat(syllables(SURNAME_HEADS_CYRILLIC, SURNAME_TAILS_CYRILLIC), feminine)).otherwise(syllables(SURNAME_HEADS, SURNAME_TAILS))
+        longer = F.when(cyrillic, grows(lambda i: F.lower(_pick(SURNAME_HEADS_CYRILLIC, number(i))))).otherwise(grows(lambda i: F.lower(_pick(SURNAME_HEADS, number(i)))))
+        given, surname = F.concat(given, longer), F.concat(surname, longer)
         return (
             F.when(kind == "ip", octets).when(kind == "card", card).when(kind == "iban", iban)
             .when(kind.startswith("given_"), given).when(kind == "surname", surname).otherwise(chars)
@@ -175,7 +183,7 @@ def draw_surrogate(kind: Column, normal: Column, draw: Column, key: str) -> Colu
 
 
 def _render(kind: Column, value: Column, surrogate: Column) -> Column:
-    """The surrogate in the format of one occurrence: its separators and its case."""
+    """The surrogate in the format of one occurrence: its separators and its case; what is longer follows."""
 
     def fill(a: Column, c: Column) -> Column:
         own = F.substring(surrogate, a["i"] + 1, F.lit(1))
@@ -184,14 +192,14 @@ def _render(kind: Column, value: Column, surrogate: Column) -> Column:
         return F.struct(F.concat(a["out"], put).alias("out"), (a["i"] + F.when(counts, 1).otherwise(0)).alias("i"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
-    spaced = F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), start, fill, lambda a: a["out"])
+    spaced = F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), start, fill, lambda a: F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.length(surrogate))))
     return F.when(kind.isin("ip", "surname", "given_m", "given_f"), surrogate).otherwise(spaced)
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, normal, surrogate of all distinct entities (kind, normal); surrogates are distinct and no entity's own."""
     state = materialise(entities.select("kind", "normal").distinct().withColumn("draws", F.lit(0)), "entities")
-    for _ in range(MAX_DRAWS):
+    while True:
         drawn = materialise(state.withColumn("surrogate", draw_surrogate(F.col("kind"), F.col("normal"), F.col("draws"), key)), "surrogates")
         owners = drawn.groupBy("kind", "surrogate").agg(F.min("normal").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "surrogate", "owner")
         real = drawn.select(F.col("kind"), F.col("normal").alias("surrogate"))
@@ -200,7 +208,6 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         if taken.isEmpty():
             return drawn.select("kind", "normal", "surrogate")
         state = drawn.join(taken, ["kind", "normal"], "left").select("kind", "normal", (F.col("draws") + F.coalesce("again", F.lit(0))).alias("draws"))
-    raise RuntimeError(f"entities without a surrogate of their own after {MAX_DRAWS} draws")
 
 
 def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:

@@ -88,3 +88,21 @@ def test_whole_table(spark):
 
 def test_plan_has_no_python(documents):
     assert "Python" not in pii.replace_entities(documents)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_values_without_letters_or_digits_are_no_secrets(docs_of):
+    rows = [(1, "Password: ________"), (2, "api_key = ......"), (3, "Token:\n----------"), (4, "sk-" + "-_" * 12), (5, "Password: ____abc1")]
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of(rows), "k").collect()}
+    assert [got[k].text for k in range(1, 5)] == [t for _, t in rows[:4]] and [got[k].n_entities for k in range(1, 6)] == [0, 0, 0, 0, 1]
+    assert re.fullmatch(r"Password: ____[a-z]{3}\d", got[5].text) and got[5].text != rows[4][1]
+
+
+def test_more_entities_than_their_format_has_values(spark, docs_of):
+    few = [("secret", f"_____{c}") for c in "abcdefghijklmnopqrstuvwxyz"] + [("hex", "0123456789abcdef" * 2)]
+    names = [("given_m", f"Имя{chr(1072 + k % 32)}{chr(1072 + k // 32 % 32)}{chr(1072 + k // 1024)}") for k in range(9000)]
+    got = pii.assign_surrogates(spark.createDataFrame(few + names, "kind string, normal string"), "k").collect()
+    assert len(got) == len(few) + len(names) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(few + names)
+    rows = [(k, f"password={v}") for k, (_, v) in enumerate(few[:26])]
+    texts = [r.text for r in pii.replace_entities(docs_of(rows), "k").collect()]
+    assert len(set(texts)) == 26 and not set(texts) & {t for _, t in rows} and all(t.startswith("password=_____") for t in texts)
