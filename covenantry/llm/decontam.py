@@ -59,14 +59,17 @@ def _verified(words: Column, item: Column, shift: Column) -> Column:
     return F.when(best >= need, best)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_equal (equal words of the best window): a row per contaminated document and item."""
-    items = materialise(
+def _items(benchmark: DataFrame) -> DataFrame:
+    return materialise(
         benchmark.select(F.col("item_id").alias("item_id"), word_hashes(text_of()).alias("item"))
         .filter(F.size("item") >= SPAN)
         .withColumn("item_key", F.xxhash64("item")),
         "benchmark-items",
     )
+
+
+def _overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """row, row_text, doc_id, item_key, n_equal of the verified alignments of every row."""
     texts = items.dropDuplicates(["item_key"])
     bench = materialise(texts.select("item_key", F.inline(_seeds(F.col("item")))).select("h", F.col("p").alias("item_at"), "item_key"), "benchmark-seeds")
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_of().alias("text"))
@@ -76,14 +79,21 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.join(texts.select("item_key", "item"), "item_key").groupBy("row", "row_text")
     aligned = materialise(hits.agg(F.collect_list(F.struct("item_key", "shift", "item")).alias("aligned")), "alignments")
     held = rows.select("doc_id", "text", *_row_key(F.col("text"))).join(aligned.hint("merge"), ["row", "row_text"])  # one plan at every size
-    held = held.select("doc_id", word_hashes(F.col("text")).alias("words"), "aligned")
+    held = held.select("row", "row_text", "doc_id", word_hashes(F.col("text")).alias("words"), "aligned")
     check = F.transform("aligned", lambda a: F.struct(a["item_key"].alias("item_key"), _verified(F.col("words"), a["item"], a["shift"]).alias("n_equal")))
-    found = held.select("doc_id", F.inline(F.filter(check, lambda x: x["n_equal"].isNotNull())))
-    best = found.groupBy("doc_id", "item_key").agg(F.max("n_equal").alias("n_equal"))
+    return held.select("row", "row_text", "doc_id", F.inline(F.filter(check, lambda x: x["n_equal"].isNotNull())))
+
+
+def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_equal (equal words of the best window): a row per contaminated document and item."""
+    items = _items(benchmark)
+    best = _overlaps(docs, items).groupBy("doc_id", "item_key").agg(F.max("n_equal").alias("n_equal"))
     return best.join(items.select("item_key", "item_id"), "item_key").groupBy("doc_id", "item_id").agg(F.max("n_equal").cast("long").alias("n_equal"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no verified overlap with any item; all columns stay."""
-    bad = materialise(find_overlaps(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of ``docs`` whose own text has no verified overlap with any item, whatever other rows of their doc_id have; all columns stay."""
+    found = _overlaps(docs, _items(benchmark)).select(F.col("row").alias("_row"), F.col("row_text").alias("_row_text"))
+    bad = materialise(found.distinct(), "contaminated")
+    row, row_text = _row_key(text_of())
+    return docs.join(bad, (row == F.col("_row")) & (row_text == F.col("_row_text")), "left_anti")

@@ -68,3 +68,12 @@ def test_empty_tables(spark, docs_of):
     assert decontam.find_overlaps(docs_of([]), bench).count() == 0
     assert decontam.find_overlaps(docs_of([(1, "a b c d e f g h i j k l")]), bench.limit(0)).count() == 0
     assert decontam.remove_contaminated(docs_of([(1, "x"), (None, None)]), bench).count() == 2
+
+
+def test_only_rows_whose_own_text_overlaps_go(spark, docs_of):
+    passage = " ".join(f"p{k}" for k in range(20))
+    clean = " ".join(f"c{k}" for k in range(20))
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    rows = [(None, passage), (None, clean), (None, None), (7, f"x {passage} y"), (7, clean), (7, clean), (8, clean)]
+    got = decontam.remove_contaminated(docs_of(rows), bench).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows if passage not in (t or ""))
