@@ -254,10 +254,8 @@ def verify_units(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD
     return held.mapInArrow(work, "node long, n_links long, other long")
 
 
-def similar_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id (least doc_id of the class), n_links, n_copies of every row of ``docs``.
-
-    n_links: different texts of similarity 0.8 or more; n_copies: other rows with the same normalised text."""
+def _classed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, node, check, root (of the class), class_id, n_links, n_copies of every row of ``docs``; rows that are compared with none have no root."""
     rows = materialise(sketch(docs), "sketches")
     usable = rows.filter("doc_id IS NOT NULL AND size(bands) > 0")
     texts = materialise(usable.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "texts")
@@ -269,24 +267,41 @@ def similar_classes(docs: DataFrame) -> DataFrame:
     # the class's least doc_id; texts of no other class keep their own
     least = joined.filter("n_links > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
     classes = materialise(
-        joined.join(least, "root", "left").select("node", "check", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies")),
+        joined.join(least, "root", "left").select("node", "check", "root", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies")),
         "classes",
     )
-    classed = usable.select("doc_id", "node", "check").join(classes, ["node", "check"]).select("doc_id", "class_id", "n_links", "n_copies")
+    classed = usable.select("doc_id", "node", "check").join(classes, ["node", "check"]).select("doc_id", "node", "check", "root", "class_id", "n_links", "n_copies")
     alone = rows.filter("doc_id IS NULL OR size(bands) = 0")
     none = F.lit(0).cast("long")
-    return classed.union(alone.select("doc_id", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
+    return classed.union(alone.select("doc_id", "node", "check", F.lit(None).cast("long"), F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_copies")))
+
+
+def similar_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id (least doc_id of the class), n_links, n_copies of every row of ``docs``.
+
+    n_links: different texts of similarity 0.8 or more; n_copies: other rows with the same normalised text."""
+    return _classed_rows(docs).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class; rows without a doc_id all stay. All columns stay.
-
-    If equal rows (doc_id and text) share that doc_id, one of them stays."""
-    classes = similar_classes(docs)
-    kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
-    kept = materialise(kept.select(F.col("doc_id").alias("_kept"), "_rows"), "kept")
-    named = docs.join(kept.hint("merge"), F.col("doc_id").cast("long") == F.col("_kept"))  # one plan at every size
-    out = named.filter("_rows = 1").select(*docs.columns)
-    if not kept.filter("_rows > 1").isEmpty():
-        out = out.unionByName(named.filter("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    """One row of each class of ``docs``, that of the least doc_id; rows without a doc_id all stay. All columns stay.
+
+    If several rows of the class have that doc_id, one of them stays: of the text whose hashes are least.
+    Of texts without words, equal rows (doc_id and text) count as one."""
+    rows = materialise(_classed_rows(docs).filter("doc_id IS NOT NULL"), "classed-rows")
+    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    named = rows.filter("root IS NOT NULL AND doc_id = class_id").groupBy("root", "doc_id").agg(F.min(F.struct("node", "check")).alias("text"))
+    wordless = rows.filter("root IS NULL").select("doc_id", "node", "check").distinct()
+    kept = named.select("doc_id", "text.node", "text.check").unionByName(wordless).join(times, "doc_id")
+    kept = materialise(kept.select(F.col("doc_id").alias("_kept"), F.col("node").alias("_node"), F.col("check").alias("_check"), "_rows"), "kept")
+    same = F.col("doc_id").cast("long") == F.col("_kept")
+    out = docs.join(kept.filter("_rows = 1").hint("merge"), same).select(*docs.columns)  # one plan at every size
+    several = kept.filter("_rows > 1")
+    if not several.isEmpty():  # a doc_id that repeats does not tell rows apart, so their texts do
+        words = word_hashes(text_of())
+        held = docs.join(several.select("_kept").distinct().hint("merge"), same, "left_semi").withColumns({"_words": F.xxhash64(words), "_again": F.xxhash64(F.lit(WORDS), words)})
+        held = held.withColumn("_raw", F.when(F.size(words) == 0, F.col("text")))
+        held = held.dropDuplicates(["doc_id", "_words", "_again", "_raw"])
+        found = held.join(several, same & (F.col("_words") == F.col("_node")) & (F.col("_again") == F.col("_check")), "left_semi")
+        out = out.unionByName(found.select(*docs.columns))
     return out.unionByName(docs.filter("doc_id IS NULL"))

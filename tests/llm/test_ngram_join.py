@@ -117,3 +117,13 @@ def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(300, 299), (299, 298), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 1 for k in range(1, 61)} | {k: 100 for k in range(100, 150)} | {k: 298 for k in (298, 299, 300)}
+
+
+def test_one_row_stays_where_a_doc_id_repeats(docs_of):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(50)) for c in "abc")
+    near = two.replace("b25 ", "other ")
+    rows = [(1, one), (5, one), (5, two), (6, three), (6, three.upper()), (6, three.replace(" ", ", ")), (7, two), (7, near), (8, ""), (8, ""), (8, None), (9, "...")]
+    kept = [(r.doc_id, r.text) for r in ngram_join.keep_one_of_each(docs_of(rows)).collect()]
+    assert sorted(i for i, _ in kept) == [1, 5, 6, 8, 8, 9] and (5, two) in kept and (5, one) not in kept
+    twice = [(3, two), (3, near), (4, two)]
+    assert [r.doc_id for r in ngram_join.keep_one_of_each(docs_of(twice)).collect()] == [3]
