@@ -6,6 +6,8 @@ corpus get one surrogate (coreference). Surrogates are checked over all entities
 that two entities share, or that equal a real entity, are drawn anew until all are distinct. From the
 draw ``GROWS_AFTER`` on a surrogate gets longer with each draw, so no number of entities exhausts it.
 
+Names are found after a title; their words are then replaced in the whole document, with a title or not.
+
 Only documents with an entity are joined with their surrogates; the others pass through. A text is
 rebuilt from the pieces between its matches.
 
@@ -40,18 +42,33 @@ TITLES = (*MALE_TITLES, *FEMALE_TITLES, "Dr", "Prof")
 SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "api-key", "apikey")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_TITLE = r"(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? "
+_TITLE = r"(?:(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ){1,3}"
+_PARTICLE = "(?:von|van|der|den|de|la|del|di|da|du|le|zu)"
+_NAME = r"\p{Lu}(?:\p{L}{1,30}(?:['’-]\p{L}{2,30}){0,3}|(?:['’-]\p{L}{2,30}){1,3})"
+_NAME_PART = rf"(?:{_PARTICLE} ){{0,3}}(?:{_NAME}|\p{{Lu}}\.)"
+_MENTION = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
+_COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})[ .-]?(?:\(0\) ?)?"
+# National groupings, longer ones first: by pairs; an area and a number; unseparated or in any groups after a country code.
+_PHONE = "|".join((
+    rf"(?:{_COUNTRY}\d|0[1-9])(?:[ .-]\d\d){{4}}",
+    rf"(?:{_COUNTRY})?[6-9]\d\d(?:[ .-]\d\d){{3}}",
+    r"0\d\d[ .-]\d{3}(?:[ .-]\d\d){2}",
+    rf"(?:{_COUNTRY}\(?\d{{2,5}}\)?[ /.-]|0\d{{2,4}}[ /-]|\(0\d{{1,4}}\)[ -]?)\d{{6,8}}",
+    rf"{_COUNTRY}\d{{7,12}}",
+    rf"(?!\+1[ .-]){_COUNTRY}\(?\d{{1,4}}\)?(?:[ .-]\d{{2,4}}){{2,4}}",
+    r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}",
+))
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!-?\d)",
-    "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])",
+    "phone": rf"(?<![\w.+-])(?:{_PHONE})(?![\w-])",
     "secret": r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[_+/=.-]{0,127}[A-Za-z0-9])[A-Za-z0-9_+/=.-]{6,128}",
     "access": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}[\p{{Ll}}'-]{{1,30}}(?: \p{{Lu}}[\p{{Ll}}'-]{{1,30}})?",
+    "name": rf"(?<!\p{{L}}){_TITLE}{_NAME_PART}(?: {_NAME_PART}){{0,3}}",
 }
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: No text without one of these has an entity; the test is cheap.
@@ -75,10 +92,10 @@ def _words(*words: str) -> Column:
 
 
 def _prefix(kind: Column, match: Column) -> Column:
-    """What of a match stays: a title, a country code, the word before a secret, a key's tag."""
+    """What of a match stays: titles, a country code or the zero in its place, the word before a secret, a key's tag."""
     return (
         F.when(kind == "name", F.regexp_extract(match, rf"\A{_TITLE}", 0))
-        .when(kind == "phone", F.regexp_extract(match, r"\A(?:\+\d{1,3}[ .-]?)?", 0))
+        .when(kind == "phone", F.regexp_extract(match, rf"\A(?:{_COUNTRY})?\(?0?", 0))
         .when(kind == "secret", F.regexp_extract(match, r"\A[^=:]+[=:]\s*[\"']?", 0))
         .when(kind == "access", F.regexp_extract(match, r"\A(?:AKIA|gh[pousr]_|sk-)", 0))
         .otherwise("")
@@ -90,7 +107,7 @@ def _name_type(title: Column, word: Column, last: Column) -> Column:
     male, female = F.array_contains(_words(*MALE, *MALE_CYRILLIC), word), F.array_contains(_words(*FEMALE, *FEMALE_CYRILLIC), word)
     by_title = F.when(title.rlike(r"\A(?:" + "|".join(MALE_TITLES) + r")\.? "), "m").when(title.rlike(r"\A(?:" + "|".join(FEMALE_TITLES) + r")\.? "), "f").otherwise("m")
     which = F.when(male, "m").when(female, "f").otherwise(by_title)
-    return F.when(~last | male | female, given(which)).otherwise("surname")
+    return F.when(word.rlike(rf"\A{_PARTICLE}\z"), "particle").when(~last | male | female, given(which)).otherwise("surname")
 
 
 def entities_of(match: Column) -> Column:
@@ -221,6 +238,7 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     keys = [F.xxhash64(text).alias("_row"), F.length(text).alias("_size")]
     parts = matched.select(*keys, matches.alias("m")).select("_row", "_size", F.inline(F.array_distinct(F.flatten(F.col("m.parts")))))
     parts = parts.withColumn("normal", normal_form(F.col("kind"), F.col("value")))
+    parts = parts.filter("kind != 'particle'")
     parts = materialise(parts.filter((F.col("kind") != "card") | (_luhn(F.col("normal")) % 10 == 0)).distinct(), "entity-occurrences")
     mapping = assign_surrogates(parts, key)
     rendered = parts.join(mapping, ["kind", "normal"]).select("_row", "_size", F.concat("kind", F.lit("|"), "value").alias("of"), _render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("by"))
@@ -230,9 +248,21 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
     known = lambda p: F.element_at(F.col("_map"), F.concat(p["kind"], F.lit("|"), p["value"]))
     whole = lambda m: F.concat(m["prefix"], F.array_join(F.transform(m["parts"], lambda p: F.coalesce(known(p), p["value"])), " "))
     between = F.split(text, ANY, -1)
-    rebuilt = let(matches, lambda m: let(between, lambda b: F.struct(
-        F.array_join(F.transform(b, lambda x, i: F.concat(x, F.when(i < F.size(m), whole(F.get(m, i))).otherwise(""))), "").alias("text"),
-        F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.when(F.exists(x["parts"], lambda p: known(p).isNotNull()), 1).otherwise(0)).alias("n"),
+    named = F.exists(F.map_keys("_map"), lambda k: k.startswith("surname|") | k.startswith("given_"))
+    mention = lambda w: F.coalesce(*(F.element_at(F.col("_map"), F.concat(F.lit(f"{k}|"), w)) for k in ("surname", "given_m", "given_f")))
+
+    def untitled(x: Column) -> Column:
+        """A piece between matches, with the row's names in it replaced, and how many these are."""
+        put = F.transform(F.regexp_extract_all(x, F.lit(_MENTION), F.lit(0)), lambda w: F.struct(w.alias("w"), mention(w).alias("by")))
+        filled = let(put, lambda w: F.struct(
+            F.array_join(F.transform(F.split(x, _MENTION, -1), lambda g, i: F.concat(g, F.when(i < F.size(w), F.coalesce(F.get(w, i)["by"], F.get(w, i)["w"])).otherwise(""))), "").alias("text"),
+            F.size(F.filter(w, lambda p: p["by"].isNotNull())).cast("long").alias("n"),
+        ))
+        return F.when(F.coalesce(named, F.lit(False)), filled).otherwise(F.struct(x.alias("text"), F.lit(0).cast("long").alias("n")))
+
+    rebuilt = let(matches, lambda m: let(F.transform(between, untitled), lambda b: F.struct(
+        F.array_join(F.transform(b, lambda x, i: F.concat(x["text"], F.when(i < F.size(m), whole(F.get(m, i))).otherwise(""))), "").alias("text"),
+        (F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.when(F.exists(x["parts"], lambda p: known(p).isNotNull()), 1).otherwise(0)) + F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("n"),
     )))
     held = held.withColumn("_new", rebuilt)
     columns = [F.col("_new.text").alias("text") if x == "text" else F.col(x) for x in names]

@@ -106,3 +106,29 @@ def test_more_entities_than_their_format_has_values(spark, docs_of):
     rows = [(k, f"password={v}") for k, (_, v) in enumerate(few[:26])]
     texts = [r.text for r in pii.replace_entities(docs_of(rows), "k").collect()]
     assert len(set(texts)) == 26 and not set(texts) & {t for _, t in rows} and all(t.startswith("password=_____") for t in texts)
+
+
+def test_national_phone_numbers(docs_of):
+    numbers = ["+33 1 23 45 67 89", "01 23 45 67 89", "+49 30 1234567", "030 12345678", "+49 170 1234567", "+34 612345678", "+12025550123", "612 34 56 78", "(030) 12345678", "+49 (0)30 1234567"]
+    rows = [(k, f"Call {x}, or not.") for k, x in enumerate(numbers)] + [(90, "On 2024-01-02, 10:30, pages 12 14 and 0.25 of 1234567.")]
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of(rows), "k").collect()}
+    shape = lambda x: re.sub(r"\d", "d", x)
+    for k, x in enumerate(numbers):
+        assert got[k].n_entities == 1 and got[k].text != rows[k][1] and shape(got[k].text) == shape(rows[k][1]), x
+    found = {x: got[k].text[5:-9] for k, x in enumerate(numbers)}
+    assert found["+33 1 23 45 67 89"][4:] == found["01 23 45 67 89"][1:] and found["+12025550123"].startswith("+1") and found["(030) 12345678"].startswith("(0")
+    assert got[90].text == rows[-1][1]
+
+
+def test_long_names_and_mentions_without_a_title(docs_of):
+    rows = [
+        (1, "Mr. John Fitzgerald Kennedy spoke. Kennedy's aide, Fitzgerald and Kennedy-Smith left."),
+        (2, "Miller said so; Kennedy did not."),
+        (3, "Herr Dr. von Braun and Mrs. J. O'Neil met Mr. McDonald. Braun wrote to McDonald."),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of(rows), "k").collect()}
+    one = re.fullmatch(r"Mr\. (\S+) (\S+) (\S+) spoke\. (\S+)'s aide, (\S+) and Kennedy-Smith left\.", got[1].text)
+    assert one and one[3] == one[4] != "Kennedy" and one[2] == one[5] != "Fitzgerald" and got[1].n_entities == 3
+    assert got[2].text == rows[1][1] and got[2].n_entities == 0
+    three = re.fullmatch(r"Herr Dr\. von (\S+) and Mrs\. (\S+) (\S+) met Mr\. (\S+)\. (\S+) wrote to (\S+)\.", got[3].text)
+    assert three and three[1] == three[5] and three[4] == three[6] and not {*three.groups()} & {"Braun", "J.", "O'Neil", "McDonald"} and got[3].n_entities == 5
