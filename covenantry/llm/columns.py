@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,3 +24,13 @@ def normal_words(text: Column) -> Column:
 
 def word_hashes(text: Column) -> Column:
     return F.transform(normal_words(text), lambda w: F.xxhash64(w))
+
+
+def boxed(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of ``docs`` as one struct ``doc``, so that no name of theirs can clash with those added."""
+    return docs.select(F.struct("*").alias("doc"), *more)
+
+
+def unboxed(rows: DataFrame, *more: Column) -> DataFrame:
+    """The columns of ``doc`` again, and what else is named."""
+    return rows.select("doc.*", *more)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import discard, store
 
 
 def _stars(pairs: DataFrame, least_of_all: bool) -> DataFrame:
@@ -30,9 +30,12 @@ def _stars(pairs: DataFrame, least_of_all: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: every node of an edge (a, b) with the least node of its component."""
     pairs = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct()
-    state = None
+    state = before = None
     while True:
-        pairs = materialise(_stars(_stars(pairs, True), False), "components")
+        pairs, path = store(_stars(_stars(pairs, True), False), "components")
+        if before:
+            discard(before)  # no later job reads it
+        before = path
         now = pairs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
         if now == state:
             break

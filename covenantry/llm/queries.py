@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": quality.oracle_sql()}
+    return {"op3_quality": quality.oracle_sql(), "op7_decontamination": decontam.oracle_sql()}

@@ -1,7 +1,8 @@
 """The shared folder: where operators put what must outlive a lost executor.
 
 A cluster names the folder in ``spark.checkpoint.dir``; every executor and the driver see it.
-Only where that setting is absent (tests, a laptop) is a temporary folder chosen.
+Only where that setting is absent and the master is local (tests, a laptop) is a temporary folder chosen;
+on a cluster its absence is an error, since a folder of one machine is lost with it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder (as a URI) for one run of an operator, below the session's shared folder."""
     base = spark.conf.get(_SETTING, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {_SETTING} to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _fallback.setdefault(app, "file://" + tempfile.mkdtemp(prefix="covenantry-"))
     return f"{base.rstrip('/')}/covenantry/{purpose}-{uuid.uuid4().hex}"
@@ -30,10 +33,21 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 
     The size of what is read back is known, so Spark broadcasts it only if it is below
     ``spark.sql.autoBroadcastJoinThreshold``."""
+    return store(df, purpose)[0]
+
+
+def store(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """As ``materialise``, and the folder, for callers that ``discard`` what no later job reads."""
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(path: str) -> None:
+    """Remove a stored folder."""
+    system, name = open_filesystem(path)
+    system.delete_dir(name)
 
 
 def open_filesystem(uri: str) -> tuple[fs.FileSystem, str]:
