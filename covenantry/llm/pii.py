@@ -6,26 +6,29 @@ corpus get one surrogate (coreference). Surrogates are checked over all entities
 that two entities share, or that equal a real entity, are drawn anew until all are distinct. From the
 draw ``GROWS_AFTER`` on a surrogate gets longer with each draw, so no number of entities exhausts it.
 
-Names are found after a title; their words are then replaced in the whole document, with a title or not.
+Names are found after a title or from a given name of the fixed list on; their words are then replaced
+in the whole document, with a title or not.
 
-Only documents with an entity are joined with their surrogates; the others pass through. A text is
-rebuilt from the pieces between its matches.
+Each text is searched once: the search marks the matches, and the marked texts are stored with their
+rows. Only documents with an entity are joined with their surrogates; the others pass through.
 
 Defined cases: null text stays null; texts without an entity are returned as they are; digit runs
-that fail the Luhn test are no card numbers and stay; rows that repeat a doc_id are treated one by
-one; an empty table gives no rows; extra columns stay, except ``n_entities``, which is replaced.
+that fail the Luhn test are no card numbers and stay; secrets, addresses and hexadecimal keys have no
+greatest length; rows that repeat a doc_id are treated one by one; an empty table gives no rows; extra
+columns stay, whatever their names, except that of the count, which is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .columns import let
+from .columns import boxed, let
 from .storage import materialise
 
-KEY = "covenantry"  # callers pass a secret one
-GROWS_AFTER = 20  # draws in the format of the entity; later ones are longer by a character or syllable each
+KEY = "covenantry"  # where the session names no secret one
+KEY_SETTING = "spark.covenantry.pii.key"
+GROWS_AFTER = 4  # draws in the format of the entity; later ones are longer by a character or syllable each
 
 # Given names by script and gender, titles and the words before a secret.
 MALE = ("James", "Robert", "Michael", "William", "David", "Richard", "Joseph", "Thomas", "Charles", "Daniel", "Pierre", "Jacques", "Wolfgang", "Jürgen", "Carlos", "Javier")
@@ -36,20 +39,25 @@ SURNAME_HEADS = ("Al", "Bar", "Cor", "Del", "Fen", "Gar", "Hol", "Kel", "Lor", "
 SURNAME_TAILS = ("bert", "den", "field", "ford", "gate", "ham", "land", "ley", "man", "mont", "nell", "row", "son", "ton", "well", "wick")
 SURNAME_HEADS_CYRILLIC = ("Бел", "Вол", "Гор", "Дав", "Зим", "Ков", "Лав", "Мор")
 SURNAME_TAILS_CYRILLIC = ("ин", "ов", "ев", "аков", "енков", "ихин", "унов", "атов")
-MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Господин")
-FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа")
+MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Господин")
+FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа")
 TITLES = (*MALE_TITLES, *FEMALE_TITLES, "Dr", "Prof")
+PHONE_WORDS = ("tel", "telephone", "phone", "mobile", "cell", "fax", "tél", "téléphone", "telefon", "handy", "teléfono")
 SECRET_WORDS = ("password", "passwd", "secret", "token", "api_key", "api-key", "apikey")
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _TITLE = r"(?:(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + r")\.? ){1,3}"
 _PARTICLE = "(?:von|van|der|den|de|la|del|di|da|du|le|zu)"
-_NAME = r"\p{Lu}(?:\p{L}{1,30}(?:['’-]\p{L}{2,30}){0,3}|(?:['’-]\p{L}{2,30}){1,3})"
+_LETTERS = r"[\p{L}\p{M}]"
+_NAME = rf"\p{{Lu}}(?:{_LETTERS}++(?:['’-]{_LETTERS}{{2,}}+){{0,7}}|(?:['’-]{_LETTERS}{{2,}}+){{1,7}})"
+_GIVEN = "(?:" + "|".join((*MALE, *FEMALE, *MALE_CYRILLIC, *FEMALE_CYRILLIC)) + ")"
 _NAME_PART = rf"(?:{_PARTICLE} ){{0,3}}(?:{_NAME}|\p{{Lu}}\.)"
-_MENTION = rf"(?<![\p{{L}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
+_MENTION = rf"(?<![\p{{L}}\p{{M}}\p{{N}}]){_NAME}(?![\p{{L}}\p{{N}}])"
 _COUNTRY = r"\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})[ .-]?(?:\(0\) ?)?"
 # National groupings, longer ones first: by pairs; an area and a number; unseparated or in any groups after a country code.
+_PHONE_WORD = r"(?i:" + "|".join(sorted(PHONE_WORDS, key=len, reverse=True)) + r")[.:]{0,2} {0,2}"
 _PHONE = "|".join((
+    rf"{_PHONE_WORD}\d{{7,12}}",
     rf"(?:{_COUNTRY}\d|0[1-9])(?:[ .-]\d\d){{4}}",
     rf"(?:{_COUNTRY})?[6-9]\d\d(?:[ .-]\d\d){{3}}",
     r"0\d\d[ .-]\d{3}(?:[ .-]\d\d){2}",
@@ -59,25 +67,34 @@ _PHONE = "|".join((
     r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}",
 ))
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,6}[A-Za-z]{2,24}",
+    "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{M}\p{N}-]{1,63}\.){1,126}[\p{L}]{2,63}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ipv6": r"(?<![\w:.])(?=[A-Fa-f:]{0,39}[0-9])(?=[0-9A-Fa-f:]{0,36}[0-9A-Fa-f]{3})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!-?\d)",
     "phone": rf"(?<![\w.+-])(?:{_PHONE})(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[_+/=.-]{0,127}[A-Za-z0-9])[A-Za-z0-9_+/=.-]{6,128}",
-    "access": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])",
-    "name": rf"(?<!\p{{L}}){_TITLE}{_NAME_PART}(?: {_NAME_PART}){{0,3}}",
+    "secret": r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[^\p{L}\p{N}\p{Cc}\s\"'<>,;]*+[\p{L}\p{N}])[^\p{Cc}\s\"'<>,;]{6,}+",
+    "access": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
+    "hex": r"(?<![A-Za-z0-9])(?:(?=[0-9]*+[a-f])[0-9a-f]{32,}+|[0-9]{32,64}+)(?![A-Za-z0-9])",
+    "name": rf"(?<![\p{{L}}\p{{M}}])(?:{_TITLE}{_NAME_PART}(?: {_NAME_PART}){{0,3}}|{_GIVEN}(?: {_NAME_PART}){{1,3}})",
 }
+_CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
 #: No text without one of these has an entity; the test is cheap.
-_HINT = "[@0-9]|" + "|".join(TITLES) + "|(?i:" + "|".join(SECRET_WORDS) + ")|gh[pousr]_|sk-|[a-f]{32}"
-_LITERAL = (MALE, FEMALE, MALE_CYRILLIC, FEMALE_CYRILLIC)
+_HINT = "[@0-9]|" + "|".join(TITLES) + f"|{_GIVEN} |(?i:" + "|".join(SECRET_WORDS) + ")|gh[pousr]_|sk-|[a-f]{32}"
+# Before these controls, of which none is a letter, digit or white space, \x01 marks what it is: itself, a match's begin or end.
+_ITSELF, _BEGIN, _END = "\x01\x02", "\x01\x03", "\x01\x04"
 
 
-def has_entity(text: Column) -> Column:
-    return F.coalesce(text.rlike(_HINT) & text.rlike(ANY), F.lit(False))
+def marked(text: Column) -> Column:
+    """The text with its matches between marks; null if it has none."""
+    found = F.regexp_replace(F.replace(text, F.lit("\x01"), F.lit(_ITSELF)), ANY, f"{_BEGIN}$0{_END}")
+    return F.when(text.rlike(_HINT), let(found, lambda m: F.when(m.contains(_BEGIN), m)))
+
+
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, KEY)
 
 
 def _type_of(match: Column) -> Column:
@@ -95,7 +112,7 @@ def _prefix(kind: Column, match: Column) -> Column:
     """What of a match stays: titles, a country code or the zero in its place, the word before a secret, a key's tag."""
     return (
         F.when(kind == "name", F.regexp_extract(match, rf"\A{_TITLE}", 0))
-        .when(kind == "phone", F.regexp_extract(match, rf"\A(?:{_COUNTRY})?\(?0?", 0))
+        .when(kind == "phone", F.regexp_extract(match, rf"\A(?:{_PHONE_WORD})?(?:{_COUNTRY})?\(?0?", 0))
         .when(kind == "secret", F.regexp_extract(match, r"\A[^=:]+[=:]\s*[\"']?", 0))
         .when(kind == "access", F.regexp_extract(match, r"\A(?:AKIA|gh[pousr]_|sk-)", 0))
         .otherwise("")
@@ -127,7 +144,7 @@ def normal_form(kind: Column, value: Column) -> Column:
     return (
         F.when(kind.isin("phone", "card", "ssn"), F.regexp_replace(value, r"\D", ""))
         .when(kind == "iban", F.replace(value, F.lit(" "), F.lit("")))
-        .when(kind.isin("email", "hex"), F.lower(value))
+        .when(kind.isin("email", "hex", "ipv6"), F.lower(value))
         .otherwise(value)
     )
 
@@ -146,6 +163,10 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(0), step)
 
 
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def _pick(words: tuple[str, ...], number: Column) -> Column:
     return F.element_at(_words(*words), (F.pmod(number, F.lit(len(words))) + 1).cast("int"))
 
@@ -157,23 +178,26 @@ def draw_surrogate(kind: Column, normal: Column, draw: Column, key: str) -> Colu
     def build(seed: Column) -> Column:
         number = lambda i: F.pmod(F.xxhash64(seed, i), F.lit(1 << 40))
         letter = lambda base, i, n: F.char(F.lit(base) + F.pmod(number(i), F.lit(n)))
-        hexed = kind == "hex"
+        hexed = kind.isin("hex", "ipv6")
         hexed = hexed | ((kind == "secret") & normal.rlike(r"\A[0-9a-f]+\z"))
         # as long a tail of an email as names the top level stays
-        tail = F.when(kind == "email", F.length(F.regexp_extract(normal, r"\.[a-z]+$", 0))).otherwise(0)
+        tail = F.when(kind == "email", F.length(F.regexp_extract(normal, r"\.\p{L}+$", 0))).otherwise(0)
         head = F.when(kind == "card", 1).when(kind == "iban", 2).otherwise(0)
 
-        def one(c: Column, i: Column) -> Column:
+        def one(c: Column, i: Column, stop: Column, hexed: Column) -> Column:
             digit = F.when((i == 0) & (kind == "phone"), letter(50, i, 8)).otherwise(letter(48, i, 10))
             return (
-                F.when((i < head) | (i >= F.length(normal) - tail), c)
+                F.when((i < head) | (i >= stop), c)
                 .when(c.rlike("[0-9]"), F.when(hexed, F.substring(F.lit("0123456789abcdef"), (F.pmod(number(i), F.lit(16)) + 1).cast("int"), F.lit(1))).otherwise(digit))
                 .when(c.rlike("[a-z]"), F.when(hexed, F.substring(F.lit("0123456789abcdef"), (F.pmod(number(i), F.lit(16)) + 1).cast("int"), F.lit(1))).otherwise(letter(97, i, 26)))
                 .when(c.rlike("[A-Z]"), letter(65, i, 26))
+                .when(c.rlike(r"\p{IsCyrillic}"), F.substring(F.lit(_CYRILLIC), (F.pmod(number(i), F.lit(len(_CYRILLIC))) + 1).cast("int"), F.lit(1)))
+                .when(c.rlike(r"\p{L}"), letter(97, i, 26))
                 .otherwise(c)
             )
 
-        chars = F.array_join(F.transform(F.filter(F.split(normal, ""), lambda c: c != ""), one), "")
+        once = F.struct((F.length(normal) - tail).alias("stop"), hexed.alias("hexed"))  # not for each character again
+        chars = let(once, lambda o: F.array_join(F.transform(_characters(normal), lambda c, i: one(c, i, o["stop"], o["hexed"])), ""))
         # from here on each draw has a place more, after the entity's own (before them in an email)
         grows = lambda of: F.when(draw > GROWS_AFTER, F.array_join(F.transform(F.sequence(F.lit(1), draw - GROWS_AFTER), lambda k: of(k - 1 + 1000)), "")).otherwise("")
         more = F.when(kind == "email", grows(lambda i: letter(97, i, 26))).otherwise(grows(lambda i: letter(48, i, 10)))
@@ -203,14 +227,19 @@ def _render(kind: Column, value: Column, surrogate: Column) -> Column:
     """The surrogate in the format of one occurrence: its separators and its case; what is longer follows."""
 
     def fill(a: Column, c: Column) -> Column:
-        own = F.substring(surrogate, a["i"] + 1, F.lit(1))
-        counts = F.when(kind == "iban", c != " ").otherwise(F.when(kind.isin("phone", "card", "ssn"), c.rlike("[0-9]")).otherwise(True))
-        put = F.when(counts, F.when(c.rlike("[A-Z]"), F.upper(own)).otherwise(own)).otherwise(c)
+        counts = F.when(kind == "iban", c != " ").otherwise(c.rlike("[0-9]"))
+        put = F.when(counts, F.substring(surrogate, a["i"] + 1, F.lit(1))).otherwise(c)
         return F.struct(F.concat(a["out"], put).alias("out"), (a["i"] + F.when(counts, 1).otherwise(0)).alias("i"))
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("i"))
-    spaced = F.aggregate(F.filter(F.split(value, ""), lambda c: c != ""), start, fill, lambda a: F.concat(a["out"], F.substring(surrogate, a["i"] + 1, F.length(surrogate))))
-    return F.when(kind.isin("ip", "surname", "given_m", "given_f"), surrogate).otherwise(spaced)
+    start, rest = F.struct(F.lit("").alias("out"), F.lit(0).alias("i")), lambda begin: F.substring(surrogate, begin + 1, F.length(surrogate))
+    spaced = F.aggregate(_characters(value), start, fill, lambda a: F.concat(a["out"], rest(a["i"])))  # of some dozens of characters
+    capitals = (kind == "ipv6") & value.rlike("[A-F]") & ~value.rlike("[a-f]")
+    cased = let(capitals, lambda up: F.zip_with(_characters(value), _characters(F.left(surrogate, F.length(value))), lambda c, own: F.when(c.rlike("[A-Z]") | up, F.upper(own)).otherwise(own)))
+    return (
+        F.when(kind.isin("ip", "surname", "given_m", "given_f"), surrogate)
+        .when(kind.isin("phone", "card", "ssn", "iban"), spaced)
+        .otherwise(F.concat(F.array_join(cased, ""), rest(F.length(value))))
+    )
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -227,29 +256,28 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         state = drawn.join(taken, ["kind", "normal"], "left").select("kind", "normal", (F.col("draws") + F.coalesce("again", F.lit(0))).alias("draws"))
 
 
-def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with surrogates in ``text``, and n_entities: the occurrences replaced."""
-    names = [x for x in docs.columns if x != "n_entities"]
-    source = docs.select(*names)
-    text = F.col("text")
-    clean = source.filter(~has_entity(text)).withColumn("n_entities", F.lit(0).cast("long"))
-    matches = F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), entities_of)
-    matched = source.filter(has_entity(text))
-    keys = [F.xxhash64(text).alias("_row"), F.length(text).alias("_size")]
-    parts = matched.select(*keys, matches.alias("m")).select("_row", "_size", F.inline(F.array_distinct(F.flatten(F.col("m.parts")))))
-    parts = parts.withColumn("normal", normal_form(F.col("kind"), F.col("value")))
-    parts = parts.filter("kind != 'particle'")
+def replace_entities(docs: DataFrame, key: str | None = None, count: str | None = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text``, and the occurrences replaced in the column ``count``, if it is to have one."""
+    key = session_key(docs.sparkSession) if key is None else key
+    rows = materialise(boxed(docs, marked(F.col("text").cast("string")).alias("marked")), "marked-texts")
+    text = F.col("doc.text")
+    matched = rows.filter("marked IS NOT NULL").select("doc", F.xxhash64(text).alias("row"), F.length(text).alias("size"), F.split("marked", f"{_BEGIN}|{_END}", -1).alias("pieces"))
+    nth = lambda rest: F.filter("pieces", lambda x, i: i % 2 == rest)  # noqa: E731  matches come at every second place
+    between = F.transform(nth(0), lambda x: F.replace(x, F.lit(_ITSELF), F.lit("\x01")))
+    matches = F.transform(nth(1), entities_of)
+
+    parts = matched.select("row", "size", matches.alias("m")).select("row", "size", F.inline(F.array_distinct(F.flatten(F.col("m.parts")))))
+    parts = parts.withColumn("normal", normal_form(F.col("kind"), F.col("value"))).filter("kind != 'particle'")
     parts = materialise(parts.filter((F.col("kind") != "card") | (_luhn(F.col("normal")) % 10 == 0)).distinct(), "entity-occurrences")
     mapping = assign_surrogates(parts, key)
-    rendered = parts.join(mapping, ["kind", "normal"]).select("_row", "_size", F.concat("kind", F.lit("|"), "value").alias("of"), _render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("by"))
-    maps = rendered.distinct().groupBy("_row", "_size").agg(F.map_from_entries(F.collect_list(F.struct("of", "by"))).alias("_map"))
-    held = matched.withColumns({"_row": keys[0], "_size": keys[1]}).join(materialise(maps, "surrogates-of-rows"), ["_row", "_size"], "left")
+    rendered = parts.join(mapping, ["kind", "normal"]).select("row", "size", F.concat("kind", F.lit("|"), "value").alias("of"), _render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("by"))
+    maps = rendered.distinct().groupBy("row", "size").agg(F.map_from_entries(F.collect_list(F.struct("of", "by"))).alias("map"))  # of one text
+    held = matched.join(materialise(maps, "surrogates-of-rows"), ["row", "size"], "left")
 
-    known = lambda p: F.element_at(F.col("_map"), F.concat(p["kind"], F.lit("|"), p["value"]))
+    known = lambda p: F.element_at("map", F.concat(p["kind"], F.lit("|"), p["value"]))
     whole = lambda m: F.concat(m["prefix"], F.array_join(F.transform(m["parts"], lambda p: F.coalesce(known(p), p["value"])), " "))
-    between = F.split(text, ANY, -1)
-    named = F.exists(F.map_keys("_map"), lambda k: k.startswith("surname|") | k.startswith("given_"))
-    mention = lambda w: F.coalesce(*(F.element_at(F.col("_map"), F.concat(F.lit(f"{k}|"), w)) for k in ("surname", "given_m", "given_f")))
+    named = F.exists(F.map_keys("map"), lambda k: k.startswith("surname|") | k.startswith("given_"))
+    mention = lambda w: F.coalesce(*(F.element_at("map", F.concat(F.lit(f"{k}|"), w)) for k in ("surname", "given_m", "given_f")))
 
     def untitled(x: Column) -> Column:
         """A piece between matches, with the row's names in it replaced, and how many these are."""
@@ -264,6 +292,10 @@ def replace_entities(docs: DataFrame, key: str = KEY) -> DataFrame:
         F.array_join(F.transform(b, lambda x, i: F.concat(x["text"], F.when(i < F.size(m), whole(F.get(m, i))).otherwise(""))), "").alias("text"),
         (F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.when(F.exists(x["parts"], lambda p: known(p).isNotNull()), 1).otherwise(0)) + F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("n"),
     )))
-    held = held.withColumn("_new", rebuilt)
-    columns = [F.col("_new.text").alias("text") if x == "text" else F.col(x) for x in names]
-    return clean.unionByName(held.select(*columns, F.col("_new.n").alias("n_entities")))
+
+    def out(rows: DataFrame, text: Column, n: Column) -> DataFrame:
+        own = [text.alias(x) if x == "text" else F.col("doc").getField(x).alias(x) for x in docs.columns if x != count]
+        return rows.select(*own, *([n.alias(count)] if count else []))
+
+    clean = out(rows.filter("marked IS NULL"), text, F.lit(0).cast("long"))
+    return clean.unionByName(out(held.select("doc", rebuilt.alias("new")), F.col("new.text"), F.col("new.n")))

@@ -132,3 +132,59 @@ def test_long_names_and_mentions_without_a_title(docs_of):
     assert got[2].text == rows[1][1] and got[2].n_entities == 0
     three = re.fullmatch(r"Herr Dr\. von (\S+) and Mrs\. (\S+) (\S+) met Mr\. (\S+)\. (\S+) wrote to (\S+)\.", got[3].text)
     assert three and three[1] == three[5] and three[4] == three[6] and not {*three.groups()} & {"Braun", "J.", "O'Neil", "McDonald"} and got[3].n_entities == 5
+
+
+def test_nothing_of_a_long_entity_stays(docs_of):
+    long = "Ab1/" * 5000
+    rows = [
+        (1, f"token={long}"),
+        (2, f"mail {'x' * 300}@mail.example.org now"),
+        (3, "Mr. O'Brien and Dr. Anna-Maria Schmidt met Prof. Jose\u0301 Garci\u0301a; later Schmidt, O'Brien and Garci\u0301a left."),
+        (4, "key " + "0123456789abcdef" * 20),
+        (5, "password: P@ss!w0rd#1; müller.jörg@example.de, иван@пример.рф"),
+        (6, "host 2001:db8::ff00:42:8329 and FE80:0:0:0:202:B3FF:FE1E:8329, not 10:30:45 or a[1::2]"),
+        (7, "Tel: 5551234567, or 5551234567 alone"),
+        (8, "We saw Mary Thompson. Thompson waved. Maryland is far."),
+        (9, "Mme Curie et Mlle Dupont-Martin"),
+        (10, "a\x01Mr. Miller\x01\x02 x@y.org \x01"),
+        (11, "a@" + "b." * 20_000),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of(rows), "k").collect()}
+    assert re.fullmatch(r"token=(?:[A-Z][a-z]\d/){5000}", got[1].text) and not set(re.findall("...", got[1].text[6:])) <= {"Ab1", "b1/", "1/A", "/Ab"}
+    assert "x" * 20 not in got[2].text and re.fullmatch(r"mail [a-z]{300}@[a-z]{4}\.[a-z]{7}\.org now", got[2].text)
+    assert not any(x in got[3].text for x in ("Brien", "Anna", "Maria", "Schmidt", "Jose", "Garc")) and got[3].n_entities == 6
+    assert re.fullmatch(r"key [0-9a-f]{320}", got[4].text) and "0123456789abcdef" * 2 not in got[4].text
+    assert not any(x in got[5].text for x in ("P@ss", "w0rd", "müller", "jörg", "иван", "пример")) and re.search(r"[a-z]{6}\.[a-z]{4}@[a-z]{7}\.de, [а-я]{4}@[а-я]{6}\.рф", got[5].text)
+    assert got[6].n_entities == 2 and got[6].text.endswith(", not 10:30:45 or a[1::2]") and "8329" not in got[6].text and re.search(r"and [0-9A-F]{4}(:[0-9A-F]){3}:[0-9A-F]{3}(:[0-9A-F]{4}){3},", got[6].text)
+    assert re.fullmatch(r"Tel: \d{10}, or 5551234567 alone", got[7].text) and "Tel: 5551234567" not in got[7].text
+    assert "Thompson" not in got[8].text and got[8].text.endswith("Maryland is far.") and got[8].n_entities == 2
+    assert got[9].n_entities == 2 and "Curie" not in got[9].text and "Dupont" not in got[9].text
+    assert re.fullmatch("a\x01Mr\\. [A-Z][a-z]+\x01\x02 [a-z]@[a-z]\\.org \x01", got[10].text) and got[11].text == rows[10][1]
+
+
+def test_columns_of_any_name_stay(spark):
+    clash = {x: f"own {x}" for x in ("marked", "pieces", "row", "size", "map", "new", "kind", "value", "surrogate", "_row", "doc")}
+    df = spark.createDataFrame([(1, "Mail a@b.org", *clash.values()), (2, "none", *clash.values())], ["doc_id", "text", *clash])
+    got = pii.replace_entities(df, "k", None).collect()
+    assert sorted(got[0].asDict()) == sorted(df.columns) and all(r[k] == v for r in got for k, v in clash.items())
+    assert {r.doc_id: r.text != t for r in got for t in ("Mail a@b.org", "none") if r.doc_id == (1 if "@" in t else 2)} == {1: True, 2: False}
+
+
+def test_distinct_names_of_every_script_and_gender(spark):
+    letters = {"surname": "abcdefghijklmnopqrstuvwxyz", "given_f": "абвгдежзийклмнопрстуфхцчшщ", "given_m": "абвгдежзийклмнопрстуфхцчшщ"}
+    rows = [(kind, "X" + x[k // 676 % 26] + x[k // 26 % 26] + x[k % 26] + x[k // 17576]) for kind, x in letters.items() for k in range(12_000)]
+    got = pii.assign_surrogates(spark.createDataFrame(rows, "kind string, normal string"), "k")
+    assert got.count() == len(rows) == got.select("kind", "surrogate").distinct().count()
+
+
+def test_whole_table_against_a_detector_of_its_own(spark):
+    """Formats and n_entities of every row, by plain Python: other patterns than the operator's, one at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kinds = (r"[\w.+-]+@\w[\w.-]*\w", r"\+?\d* ?\(\d{3}\) \d{3}-\d{4}", r"\bAKIA\w{16}\b", r"(?<=password=)[0-9a-f]+", r"(?<![\w.=])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])", r"(?<![\w=])[0-9a-f]{40}\b", r"(?<=token=)[0-9a-f]{6,}", r"(?<![\w-])\d{13,19}(?![\w-])", r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])")
+    counted = 0
+    for r in pii.replace_entities(docs).join(docs.select("doc_id", F.col("text").alias("before")), "doc_id").collect():
+        found = [x for k in kinds for x in re.findall(k, r.before) if not (x.isdigit() and len(x) > 12 and not luhn(x))]
+        assert r.n_entities == len(found), (r.doc_id, found)
+        assert not [x for x in found if x in r.text]
+        counted += len(found)
+    assert counted > 50
