@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,10 @@ from .html_tree import Tree, parse
 # Tags and words in class, id or role that speak for or against content.
 CONTENT_TAGS = ("article", "main")
 TEXT_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figure", "figcaption", "table", "td", "th", "dl", "dd", "dt")
-OTHER_TAGS = ("nav", "header", "footer", "aside", "form", "button", "fieldset", "menu", "dialog", "head")
+OTHER_TAGS = (
+    "nav", "header", "footer", "aside", "form", "button", "fieldset", "menu", "dialog", "head",
+    "select", "option", "template", "noscript", "svg", "canvas", "audio", "video",
+)
 LIST_TAGS = ("ul", "ol", "li")
 CONTENT_WORDS = ("article", "articlebody", "content", "entry", "main", "post", "story", "text", "body", "prose")
 OTHER_WORDS = (
@@ -45,7 +48,7 @@ NODE_FEATURES = 19
 EDGE_KINDS = 4  # text run; paragraph-like or list; content or other section; rest
 
 
-@cache
+@lru_cache(maxsize=1 << 16)
 def _hint_bits(hint: str) -> int:
     words = set(_SPLIT.split(hint))
     return 1 * bool(words & set(CONTENT_WORDS)) | 2 * bool(words & set(OTHER_WORDS)) | 4 * bool(words & set(COMMENT_WORDS))

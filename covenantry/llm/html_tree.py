@@ -1,26 +1,27 @@
-"""Pages as trees: elements and, as leaves, runs of text that no block boundary interrupts."""
+"""Pages as trees: elements and, as leaves, runs of text that no block boundary interrupts.
+
+Time is in proportion to a page's length whatever its markup: a scan goes forward only, what does not
+come again is remembered, and the places of open elements are kept by tag."""
 
 from __future__ import annotations
 
 import html
 import re
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+_TAG_AS_IT_STANDS = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+_COMMENT_END = re.compile(r"--!?>")
 _HINTS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'\bdata-content="([01])"')
 _WHITE = re.compile(r"\s+")
+_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math object audio video canvas select".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())  # what they hold is no markup and no text of the page
+ENCLOSING = frozenset("audio canvas noscript object select svg template video".split())  # one that is never ended has nothing in it
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
+    "a abbr acronym annotation b bdi bdo big cite code data del dfn em font i ins kbd label mark math mfrac mi mn mo mover mrow ms msqrt mstyle msub msubsup msup mtext munder nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split()
@@ -35,6 +36,7 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+MAX_DEPTH = 512  # as in browsers: what is nested deeper hangs on the element at that depth
 
 
 class Tree:
@@ -51,11 +53,19 @@ class Tree:
         return len(self.parent) - 1
 
 
+def _lower(page: str) -> str:
+    """In lower case where that is ASCII, so that places stay."""
+    return page.translate(_ASCII_LOWER)
+
+
 def parse(page: str) -> Tree:
-    """The tree of a page. Unknown or unclosed markup never fails; what is left open ends with the page."""
+    """The tree of a page. Unknown or unclosed markup never fails; what is left open ends with the page.
+
+    Once a tag's quote is never closed, quotes of later tags are not looked at."""
     tree = Tree()
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements; inline ones have the node of their block
-    anchors, run, linked = 0, [], 0
+    stack: list[tuple[str, int, int]] = [("#page", 0, 0)]  # tag, node and depth of open elements; inline ones have those of their block
+    places: dict[str, list[int]] = {"#page": [0]}  # of open elements in the stack
+    run, linked = [], 0
 
     def end_run() -> None:
         nonlocal run, linked
@@ -68,70 +78,103 @@ def parse(page: str) -> Tree:
     def text(value: str) -> None:
         nonlocal linked
         run.append(value)
-        if anchors:
+        if places.get("a"):
             linked += len(value.strip())
 
     def close(k: int) -> None:
         """End the element at ``stack[k]`` and all within."""
-        nonlocal anchors
-        if any(t not in INLINE for t, _ in stack[k:]):
+        gone = [tag for tag, _, _ in stack[k:]]
+        if any(tag not in INLINE for tag in gone):
             end_run()
-        anchors -= sum(t == "a" for t, _ in stack[k:])
+        for tag in gone:
+            places[tag].pop()
         del stack[k:]
 
-    def find(tags: set[str] | frozenset[str], stop: set[str]) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stop:
-                return 0
-        return 0
+    def find(tags, stop) -> int:
+        """The innermost open element with one of the tags, if none of ``stop`` is within it; else 0."""
+        last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=0)
+        k = last(tags)
+        return k if k > last(stop) else 0
+
+    def push(tag: str, node: int, depth: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node, depth))
 
+    last_end, closed = page.rfind(">"), True  # no tag ends after it; whether all quotes so far were closed
+    lower, last_ends = None, {}
     at = 0
     while True:
-        token = _TOKEN.search(page, at)
-        if token is None:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last_end:
             text(page[at:])
             break
-        if token.start() > at:
-            text(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            if token[0].startswith("<![CDATA["):
-                text(html.escape(token[0][9:].removesuffix("]]>")))
+        if page.startswith(("<!", "<?"), begin):
+            text(page[at:begin])
+            if page.startswith("<!--", begin):
+                over = _COMMENT_END.search(page, begin + 4)
+                at = over.end() if over else len(page)
+            elif page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin)
+                text(html.escape(page[begin + 9 : end if end >= 0 else len(page)]))
+                at = end + 3 if end >= 0 else len(page)
+            else:
+                at = page.find(">", begin) + 1
             continue
+        token = _TAG.match(page, begin + 1) if closed else None
+        if token is None:
+            token = _TAG_AS_IT_STANDS.match(page, begin + 1)
+            if token is not None:
+                closed = False
+        if token is None:  # no tag at all
+            text(page[at : begin + 1])
+            at = begin + 1
+            continue
+        if begin > at:
+            text(page[at:begin])
+        at = token.end()
         tag = token[2].lower()
         if token[1]:
             if tag == "br":
                 text(" ")
-            elif k := find({tag}, set() if tag not in INLINE else {"table", "td"}):
+            elif k := find((tag,), () if tag not in INLINE else ("table", "td")):
                 close(k)
             continue
         if tag in RAW:
-            ends = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = ends.end() if ends else (at if token[3].rstrip().endswith("/") else len(page))
+            if lower is None:
+                lower = _lower(page)
+            end = lower.find(f"</{tag}", at)
+            while end >= 0 and lower[end + 2 + len(tag) : end + 3 + len(tag)].isalnum():
+                end = lower.find(f"</{tag}", end + 2)
+            over = page.find(">", end) if end >= 0 else -1
+            at = over + 1 if over >= 0 else at if token[3].rstrip().endswith("/") else len(page)
             continue
         if tag == "br" or tag == "img":
             text(" ")
             continue
-        if tag in CLOSES_P and (k := find({"p"}, {"button", "table", "td", "#page"})):
+        if tag in CLOSES_P and (k := find(("p",), ("button", "table", "td"))):
             close(k)
         if tag in _CLOSES and (k := find(*_CLOSES[tag])):
             close(k)
-        if tag == "a" and anchors and (k := find({"a"}, {"table", "td"})):
+        if tag == "a" and places.get("a") and (k := find(("a",), ("table", "td"))):
             close(k)
         if tag in INLINE:
-            if tag == "a":
-                anchors += 1
-            stack.append((tag, stack[-1][1]))
+            push(tag, *stack[-1][1:])
             continue
         end_run()
         if tag in VOID:
             continue
+        if tag in ENCLOSING:
+            if tag not in last_ends:
+                lower = _lower(page) if lower is None else lower
+                last_ends[tag] = lower.rfind(f"</{tag}")
+            if last_ends[tag] < at or token[3].rstrip().endswith("/"):
+                continue
         attributes = token[3]
         hint = " ".join("".join(x) for x in _HINTS.findall(attributes)).lower() if attributes else ""
         marked = _LABEL.search(attributes) if attributes else None
-        node = tree.add(stack[-1][1], tag, hint, int(marked[1]) if marked else None)
-        stack.append((tag, node))
+        _, above, depth = stack[-1]
+        if depth < MAX_DEPTH:
+            above, depth = tree.add(above, tag, hint, int(marked[1]) if marked else None), depth + 1
+        push(tag, above, depth)
     end_run()
     return tree

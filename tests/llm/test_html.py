@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import numpy as np
 
@@ -78,3 +79,25 @@ def test_edge_cases(spark):
     assert by[1, "u"].text == "" and by[2, "u"].n_chars == 0
     assert by[4, "u"].text == ("long words, here. " * 30_000).strip()
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_time_is_in_proportion_to_a_page_whatever_its_markup():
+    for unit in ("<a ", '<a "', "<a '>", "<div>", "<p>", "<li><a>", "<!--x-->", "<![CDATA[", "<!", "<script>x</script>", "</div>", "<b><td>", "&amp", "<a b='\"><c \"'>"):
+        spent = []
+        for size in (250_000, 1_000_000):
+            page = unit * (size // len(unit)) + "end >"
+            began = time.process_time()
+            parse(page)
+            spent.append(time.process_time() - began)
+        assert spent[1] < 8 * spent[0] + 0.5, (unit, spent)
+
+
+def test_markup_without_its_end_loses_nothing():
+    p = "This is a sentence of the article, and it goes on for some time. Then it ends."
+    for broken in ("<video src=x>", "<select><option>one", '<a href="x>', "<object>", "<svg>", "<noscript>"):
+        page = f"<article><h1>Title of it</h1><p>{p}</p>{broken}</p></select><p>{p}</p></article>"
+        assert texts(page)[0].count("goes on for some time") == 2, broken
+    page = f"<article><p>{p}</p><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold, and so on.</p><p>{p}</p></article>"
+    assert "Let x=2 hold, and so on." in texts(page)[0]
+    deep = "<div>" * 5000 + f"<p>{p}</p>"
+    assert len(parse(deep).parent) < 600 and "goes on" in texts(deep)[0]
