@@ -4,9 +4,15 @@ Writing: each task streams its rows to archive files in a shared folder, under n
 the manifest lists those of the attempts that Spark committed. Rows with equal payloads are written once, as the response with the
 largest id; the others become revisit records that refer to it.
 
-Reading: each file is read front to back in fixed chunks. Members are inflated incrementally with
-zlib, a record's header block gives the length of its content, and block and payload digests are
-verified. No more than one record is held.
+Reading: each file is read front to back in fixed chunks. Members are inflated incrementally with zlib;
+a record's header gives the length of its content, which is framed while it is inflated, and its block
+and payload digests (SHA-1, where a record has them) are verified on the way. Of a record only the
+header, and the payload where it is asked for, is held.
+
+Archives of others: records of any type are framed and verified, and those that are no response or
+revisit are passed over; ids that are not ours give a null page_id and refers_to, and stay as record_id;
+digests of other kinds are not verified; a record without Content-Length, or of another length, is an
+error, as is a member of several records.
 
 Defined cases: null payload = empty payload; null id sorts below every id; rows that repeat the
 largest id of their payload are all responses; an empty table gives no archive and no rows; other
@@ -26,10 +32,11 @@ from pyspark.sql import functions as F
 
 from .storage import SharedFile, materialise, open_filesystem, shared_dir
 
-RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_DATE = "2024-01-01T00:00:00Z"  # records carry no fetch time; a fixed one keeps files reproducible
 CHUNK = 1 << 16
+MAX_HEADER = 1 << 20  # bytes; longer ones are damage
 
 
 class WarcError(ValueError):
@@ -65,55 +72,186 @@ def format_record(page_id: int | None, url: str | None, payload: bytes, refers_t
     return packer.compress("\r\n".join(head).encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def iter_members(stream) -> Iterator[bytes]:
-    """The inflated gzip members of a stream, read in chunks; one member is held at a time."""
-    data = stream.read(CHUNK)
-    while data:
-        inflate, parts = zlib.decompressobj(31), []
-        while not inflate.eof:
-            if not data:
+class Member:
+    """One gzip member of a stream, inflated step by step; ``rest`` is what was read beyond its end."""
+
+    def __init__(self, stream, data: bytes):
+        self._stream, self._inflate, self._raw, self._ready, self.rest = stream, zlib.decompressobj(31), data, b"", b""
+
+    def _more(self) -> bool:
+        """Inflate up to ``CHUNK`` further bytes; False at the member's end."""
+        while not self._inflate.eof:
+            raw = self._inflate.unconsumed_tail or self._raw or self._stream.read(CHUNK)
+            self._raw = b""
+            if not raw:
                 raise WarcError("the archive ends within a gzip member")
             try:
-                parts.append(inflate.decompress(data))
+                found = self._inflate.decompress(raw, CHUNK)
             except zlib.error as error:
                 raise WarcError(f"not a gzip member: {error}") from error
-            data = inflate.unused_data if inflate.eof else stream.read(CHUNK)
-        yield b"".join(parts)
-        data = data or stream.read(CHUNK)
-
-
-def parse_record(member: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers (lower-case names) and content of a record; framing and block digest are verified."""
-    head, gap, rest = member.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not gap or not lines[0].startswith("WARC/"):
+            if self._inflate.eof:
+                self.rest = self._inflate.unused_data
+            if found:
+                self._ready += found
+                return True
+        return False
+
+    def until(self, mark: bytes) -> bytes:
+        """All up to a mark, which is passed over."""
+        begin = 0
+        while (at := self._ready.find(mark, begin)) < 0:
+            begin = max(0, len(self._ready) - len(mark) + 1)
+            if len(self._ready) > MAX_HEADER or not self._more():
+                raise WarcError("no WARC header")
+        found, self._ready = self._ready[:at], self._ready[at + len(mark) :]
+        return found
+
+    def take(self, size: int) -> Iterator[bytes]:
+        """So many bytes, in parts."""
+        while size:
+            if not self._ready and not self._more():
+                raise WarcError("the content's length differs from Content-Length")
+            part, self._ready = self._ready[:size], self._ready[size:]
+            size -= len(part)
+            yield part
+
+    def tail(self) -> bytes:
+        """What is left of it, if it is little."""
+        while len(self._ready) <= 4 and self._more():
+            pass
+        return self._ready
+
+
+def parse_header(head: bytes) -> dict[str, str]:
+    """Header fields by their names in lower case; a line that begins with white space continues the one before."""
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
         raise WarcError("no WARC header")
-    headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines[1:])}
-    length = int(headers.get("content-length", -1))
-    if length < 0 or rest[length:] != b"\r\n\r\n":
+    headers: dict[str, str] = {}
+    name = ""
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            headers[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            headers[name] = value.strip()
+    return headers
+
+
+def _agrees(declared: str | None, found) -> bool:
+    """Whether a digest field, if it is a SHA-1 in base32 or hexadecimal, is that of the data."""
+    kind, _, value = (declared or "").partition(":")
+    if kind.lower() != "sha1" or len(value) not in (32, 40):
+        return True
+    return value.lower() == found.hexdigest() if len(value) == 40 else value.upper() == base64.b32encode(found.digest()).decode()
+
+
+class Payload:
+    """The payload of a block given in parts: what follows the HTTP header of ``application/http``, else all."""
+
+    def __init__(self, http: bool, keep: bool):
+        self.head, self._open = b"", http
+        self.size, self.sha1, self.parts = 0, hashlib.sha1(), [] if keep else None
+
+    def add(self, part: bytes) -> None:
+        if self._open:
+            self.head += part
+            at = self.head.find(b"\r\n\r\n", max(0, len(self.head) - len(part) - 3))
+            if at < 0 and len(self.head) <= MAX_HEADER:
+                return
+            # without an end it is no HTTP header, but payload
+            part, self.head, self._open = (self.head[at + 4 :], self.head[:at], False) if at >= 0 else (self.head, b"", False)
+        self.size += len(part)
+        self.sha1.update(part)
+        if self.parts is not None:
+            self.parts.append(part)
+
+    def declared(self) -> int | None:
+        for line in self.head.split(b"\r\n")[1:]:
+            name, _, value = line.partition(b":")
+            if name.strip().lower() == b"content-length" and value.strip().isdigit():
+                return int(value)
+        return None
+
+
+class Inflated(Member):
+    """A member that is inflated already."""
+
+    def __init__(self, data: bytes):
+        self._ready = data
+
+    def _more(self) -> bool:
+        return False
+
+
+def frame_record(member: Member, keep: bool) -> tuple[dict[str, str], Payload]:
+    """Header fields and payload of a member's record, verified; ``keep``: with the payload's bytes."""
+    headers = parse_header(member.until(b"\r\n\r\n"))
+    length = headers.get("content-length", "")
+    if not length.isdigit():
+        raise WarcError("no Content-Length")
+    kind, block = headers.get("warc-type", ""), hashlib.sha1()
+    payload = Payload(headers.get("content-type", "").startswith("application/http"), keep and kind in ("response", "revisit"))
+    for part in member.take(int(length)):
+        block.update(part)
+        payload.add(part)
+    if member.tail() != b"\r\n\r\n":
         raise WarcError("the content's length differs from Content-Length")
-    block = rest[:length]
-    if headers.get("warc-block-digest", "") != f"sha1:{sha1_base32(block)}":
+    if not _agrees(headers.get("warc-block-digest"), block):
         raise WarcError(f"block digest of {headers.get('warc-record-id')} differs")
-    return headers, block
+    if kind == "response" and not _agrees(headers.get("warc-payload-digest"), payload.sha1):
+        raise WarcError(f"payload digest of {headers.get('warc-record-id')} differs")
+    return headers, payload
+
+
+def _members(stream) -> Iterator[Member]:
+    """The gzip members of a stream; each must be read to its end before the next."""
+    data = stream.read(CHUNK)
+    while data:
+        member = Member(stream, data)
+        yield member
+        data = member.rest or stream.read(CHUNK)
+
+
+def iter_members(stream) -> Iterator[bytes]:
+    """The inflated gzip members of a stream, each whole."""
+    for member in _members(stream):
+        parts = []
+        while member._more():
+            parts.append(member._ready)
+            member._ready = b""
+        yield b"".join(parts)
+
+
+def iter_records(stream, keep: bool = True) -> Iterator[tuple[dict[str, str], Payload]]:
+    """Header fields and payload of each record of a stream."""
+    for member in _members(stream):
+        yield frame_record(member, keep)
 
 
 def _page(urn: str | None) -> int | None:
     number = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(number) if number else None
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def record_row(headers: dict[str, str], payload: Payload) -> tuple | None:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, record_id and the payload (None in a
+    revisit) of a response or revisit; a revisit has the length and digest it declares. Other records give None."""
+    kind = headers.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return None
+    revisit, declared = kind == "revisit", payload.declared()
+    own = base64.b32encode(payload.sha1.digest()).decode()
+    digest = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None if revisit else own
+    identity = headers.get("warc-record-id")
+    return (_page(identity), headers.get("warc-target-uri") or None, declared if revisit else payload.size, digest,
+            kind, _page(headers.get("warc-refers-to")), identity, None if revisit or payload.parts is None else b"".join(payload.parts))
 
 
-def read_record(member: bytes) -> tuple[int | None, str | None, int, str, str, int | None, bytes | None]:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to and the payload (None in a revisit)."""
-    headers, block = parse_record(member)
-    http, _, payload = block.partition(b"\r\n\r\n")
-    declared = next(int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-    digest = headers["warc-payload-digest"].removeprefix("sha1:")
-    revisit = headers["warc-type"] == "revisit"
-    if not revisit and (len(payload) != declared or sha1_base32(payload) != digest):
-        raise WarcError(f"payload of {headers.get('warc-record-id')} differs from its digest or length")
-    return (_page(headers["warc-record-id"]), headers["warc-target-uri"] or None, declared, digest,
-            headers["warc-type"], _page(headers.get("warc-refers-to")), None if revisit else payload)
+def read_record(member: bytes) -> tuple | None:
+    """The row of an inflated member."""
+    return record_row(*frame_record(Inflated(member), True))
 
 
 def plan_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -183,10 +321,12 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
             rows: list[tuple] = []
             held = 0
             with system.open_input_stream(name, compression=None, buffer_size=CHUNK) as stream:
-                for member in iter_members(stream):
-                    row = read_record(member)
+                for headers, payload in iter_records(stream, with_payload):
+                    row = record_row(headers, payload)
+                    if row is None:
+                        continue
                     rows.append(row if with_payload else row[:-1])
-                    held += len(member) if with_payload else 100
+                    held += payload.size if with_payload else 100
                     if held > 1 << 22:
                         yield frame(rows)
                         rows, held = [], 0
@@ -196,7 +336,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=names)
-        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+        return out.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
 
     return manifest.select("path").mapInPandas(scan, RECORD_SCHEMA + ", payload binary" * with_payload)
 

@@ -60,3 +60,34 @@ def test_damage_is_found():
         warc.read_record(gzip.decompress(good).replace(b"payload", b"pAyload"))
     with pytest.raises(warc.WarcError):
         warc.read_record(gzip.decompress(good)[:-1])
+
+
+def foreign(kind, head="", body=b"", http=True):
+    block = (b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" if http else b"") + body
+    kind = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:1-2>\r\n{head}Content-Type: {'application/http; msgtype=response' if http else 'application/warc-fields'}\r\nContent-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(kind.encode() + block + b"\r\n\r\n")
+
+
+def test_archives_of_others():
+    body = b"<p>x\r\n\r\ny</p>" * 50_000
+    good = foreign("warcinfo", body=b"software: x\r\n", http=False) + foreign("request") + foreign("response", "WARC-Target-URI: http://x\r\n /folded\r\n", body) + foreign("response", "WARC-Block-Digest: md5:abc\r\n", b"z")
+    rows = [warc.record_row(*x) for x in warc.iter_records(io.BytesIO(good))]
+    assert rows[:2] == [None, None]
+    assert rows[2] == (None, "http://x /folded", len(body), warc.sha1_base32(body), "response", None, "<urn:uuid:1-2>", body)
+    assert rows[3][2:4] == (1, warc.sha1_base32(b"z"))
+    assert [len(p.parts or ()) for _, p in warc.iter_records(io.BytesIO(good), keep=False)] == [0] * 4
+    for bad in ("WARC-Block-Digest: sha1:" + "A" * 32, "WARC-Payload-Digest: sha1:" + "0" * 40):
+        with pytest.raises(warc.WarcError):
+            list(warc.iter_records(io.BytesIO(foreign("response", bad + "\r\n", b"z"))))
+
+
+def test_a_large_record_is_framed_in_parts():
+    """A record that inflates to 200 MB is read in steps; only what is asked for is held."""
+    import tracemalloc
+
+    data = foreign("response", body=b"0" * 200_000_000)
+    tracemalloc.start()
+    ((_, payload),) = warc.iter_records(io.BytesIO(data), keep=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert payload.size == 200_000_000 and peak < 5_000_000
