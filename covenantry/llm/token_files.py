@@ -28,6 +28,7 @@ from .storage import SharedFile, materialise, open_filesystem, shared_dir
 from .tokens import PieceEncoder, batches_of
 
 END_ID = 2
+SHARD_BYTES = 1 << 28
 MASK_DELTA = 0xA282EAD8
 MANIFEST = "shard int, path string, index_path string, records long, tokens long, bytes long"
 ROWS = "shard int, nth long, doc_id long, before long, n_tokens long, ids_crc32 long"
@@ -85,9 +86,12 @@ def read_record(path: str, index_path: str, nth: int) -> tuple[int | None, np.nd
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, shards: int | None = None) -> DataFrame:
     """Write all ``docs`` below ``folder``; returns the stored manifest, a row per file.
 
-    ``shards``: the session's number of shuffle partitions where not given."""
+    ``shards``: where not given, so many that each has some ``SHARD_BYTES`` of text, and no fewer than the
+    session's shuffle partitions."""
     spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext

@@ -4,7 +4,8 @@ A text is cut only where the tokenizer's own pre-tokenizer always cuts, so that
 pieces, put together, are the ids of the text. Pieces are known by keys that cost nothing to make: a
 bare word stands for itself (white space dropped) or for itself with a space before it; words that
 begin a text or a line, and pieces of texts with other white space, have a mark before them. Texts
-with characters on whose class the two regex engines disagree (U+001C..U+001F) are encoded whole.
+with characters on whose class the two regex engines disagree (U+001C..U+001F), and texts in which an
+added token of the vocabulary stands, are encoded whole; the library decides what such a token is.
 """
 
 from __future__ import annotations
@@ -52,11 +53,13 @@ def _piece_without_space(key: str) -> str:
 
 
 class PieceEncoder:
-    """Little-endian unsigned 32-bit ids of texts."""
+    """Little-endian unsigned 32-bit ids of texts, as the library's own call gives them without special tokens added.
+
+    ``added_as_text``: added tokens in a text are ordinary text."""
 
     _workers: dict[str, PieceEncoder] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_as_text: bool = False):
         import json
         import os
 
@@ -64,8 +67,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        steps = json.loads(self._tokenizer.to_str())["pre_tokenizer"]
+        self._tokenizer.encode_special_tokens = added_as_text
+        vocabulary = json.loads(self._tokenizer.to_str())
+        steps, added = vocabulary["pre_tokenizer"], vocabulary["added_tokens"]
+        # a normalizer can make such a token of other text; then it is sought in the normalised text too
+        self._added = [] if added_as_text else [x["content"] for x in added]
+        self._normalised = bool(vocabulary["normalizer"]) and any(x["normalized"] for x in added)
         first = steps.get("pretokenizers", [steps])[0]
         if first["type"] == "Split" and first["behavior"] == "Removed":
             self._keys, self._piece = _keys_without_space, _piece_without_space
@@ -82,6 +89,11 @@ class PieceEncoder:
             cls._workers[path] = cls(path)
         return cls._workers[path]
 
+    def _has_added(self, text: str) -> bool:
+        if any(x in text for x in self._added):
+            return True
+        return self._normalised and any(x in self._tokenizer.normalizer.normalize_str(text) for x in self._added)
+
     def _encode(self, keys: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast([self._piece(x) for x in keys], add_special_tokens=False)
         ids = [array("I", x.ids) for x in found]
@@ -92,7 +104,7 @@ class PieceEncoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         cache, flat, ends = self._cache, [], []
         for text in texts:
-            flat += self._keys(text)
+            flat += _whole(text) if self._has_added(text) else self._keys(text)
             ends.append(len(flat))
         values = list(map(cache.get, flat))
         absent = [i for i, x in enumerate(values) if x is None]

@@ -16,12 +16,11 @@ from covenantry.llm.storage import open_filesystem, shared_dir
 from covenantry.llm.tokens import PieceEncoder
 
 BYTES, WORDS = (public_tokenizers.path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
-ODD = ["", " ", "  a", "a  b\n\n c ", "tab\tx\r\ny", "nbsp\xa0x  y", "\x1cq\x1f z", "I'll we've 'tis", "é ́x", "ΑΣ ΑΣΑ Σ", "<|endoftext|> x", "日本語 テスト", "x" * 5000, "1234 5.6", "\n\nq", " \n x", "🙂 ok"]
+ODD = ["", " ", "  a", "a  b\n\n c ", "tab\tx\r\ny", "nbsp\xa0x  y", "\x1cq\x1f z", "I'll we've 'tis", "é ́x", "ΑΣ ΑΣΑ Σ", "<|endoftext|> x", "a<|endoftext|>b <|startoftext|> <|ENDOFTEXT|>", "日本語 テスト", "x" * 5000, "1234 5.6", "\n\nq", " \n x", "🙂 ok"]
 
 
 def reference(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -33,6 +32,14 @@ def test_pieces_give_the_ids_of_whole_texts(path, documents):
     assert PieceEncoder(path).encode(texts) == reference(path, texts)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_as_text(path):
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    want = [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch(ODD, add_special_tokens=False)]
+    assert PieceEncoder(path, added_as_text=True).encode(ODD) == want != reference(path, ODD)
+
+
 def test_token_files_round_trip(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     start, want = 0, []
