@@ -6,12 +6,15 @@ total plus distinct) and is then predicted by the next shorter context, seen sym
 to a uniform distribution. With the counts frozen, every context's whole distribution is computed
 once; scoring a text adds up exact code lengths, by table lookups over whole batches.
 
-Training reads a bounded sample of labelled rows: about ``ROWS_PER_LANGUAGE`` per language, drawn by
-a hash of doc_id, of texts up to ``TRAIN_CHARACTERS``. Prediction covers every whole text.
+Training reads a bounded sample of labelled rows: the ``LANGUAGES`` most frequent values of ``lang``, about
+``ROWS_PER_LANGUAGE`` of each, drawn by a hash of doc_id, of texts up to ``TRAIN_CHARACTERS``, and no
+more than ``SAMPLE_CHARACTERS`` in all. The table of code lengths has at most ``TABLE_BYTES``: where more
+contexts were seen, the rarer ones are left to shorter contexts. Prediction covers every whole text.
 
 Defined cases: null text or one without a letter gives ``und`` with score 0, as does every text if
 nothing could be learned; rows with a null lang are not learned from; a null doc_id counts as the
-empty string; ties go to the language that sorts first; other columns are ignored.
+empty string; ties go to the language that sorts first; rows that repeat are judged one by one; an empty
+table gives no rows; other columns stay, except lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .columns import boxed, unboxed
 from .tokens import batches_of
 
 ORDER = 3
 ROWS_PER_LANGUAGE = 400
 TRAIN_CHARACTERS = 50_000
+LANGUAGES = 200
+SAMPLE_CHARACTERS = 50_000_000
+TABLE_BYTES = 1 << 29
 MIN_CONTEXT = 3  # longer contexts seen less often, over all languages, are left to the shorter ones
 UNDETERMINED = "und"
 _START = 0  # symbol of the place before a text; 1: any byte not seen in training
@@ -36,7 +43,7 @@ _START = 0  # symbol of the place before a text; 1: any byte not seen in trainin
 class Model:
     """Frozen code lengths: ``bits[node * symbols + symbol]`` has one column per language."""
 
-    def __init__(self, texts: dict[str, list[str]]):
+    def __init__(self, texts: dict[str, list[str]], table_bytes: int = TABLE_BYTES):
         self.languages = sorted(texts)
         streams = {k: [np.frombuffer(x.encode(), dtype=np.uint8) for x in v] for k, v in texts.items()}
         seen = np.unique(np.concatenate([np.zeros(0, np.uint8), *(x for v in streams.values() for x in v)]))
@@ -45,7 +52,12 @@ class Model:
         self.symbols = n = 2 + len(seen)
         counts = [self._counts([self.symbol[x] for x in streams[k]]) for k in self.languages]
         # nodes by order; context codes are base-n numbers, the nearest byte last
-        self.nodes = [self._contexts([c[o] for c in counts], o) for o in range(ORDER + 1)]
+        least = MIN_CONTEXT
+        while True:
+            self.nodes = [self._contexts([c[o] for c in counts], o, least) for o in range(ORDER + 1)]
+            if sum(map(len, self.nodes)) * n * len(self.languages) * 4 <= table_bytes or not len(self.nodes[-1]):
+                break
+            least *= 2
         starts = np.cumsum([0, *map(len, self.nodes)])
         table = np.empty((starts[-1], n, len(self.languages)), dtype=np.float32)
         for k, count in enumerate(counts):
@@ -69,10 +81,10 @@ class Model:
                 found[o].append(code)
         return [np.unique(np.concatenate([np.zeros(0, np.int64), *x]), return_counts=True) for x in found]
 
-    def _contexts(self, counts, order: int) -> np.ndarray:
+    def _contexts(self, counts, order: int, least: int) -> np.ndarray:
         codes, where = np.unique(np.concatenate([c // self.symbols for c, _ in counts]), return_inverse=True)
         total = np.bincount(where, weights=np.concatenate([t for _, t in counts]), minlength=len(codes))
-        return codes[total >= MIN_CONTEXT] if order > 1 else codes
+        return codes[total >= least] if order > 1 else codes
 
     def _distributions(self, nodes, codes, times, shorter, order) -> np.ndarray:
         n = self.symbols
@@ -126,12 +138,17 @@ class Model:
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, characters: int = TRAIN_CHARACTERS) -> Model | None:
     """A model from a bounded sample of ``docs`` (doc_id, text, lang); None if there is nothing to learn from."""
-    usable = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= characters) & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows_of_lang"))
+    rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    usable = rows.filter(F.col("lang").isNotNull() & (F.length("text") <= characters) & F.col("text").rlike(r"\p{L}"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return None
+    # a language's share of the sample, by rows and by characters
+    share = {r["lang"]: min(1.0, rows_per_language / r["n"], SAMPLE_CHARACTERS / len(sizes) / r["characters"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1_000_000)) / 1e6
-    sample = usable.join(F.broadcast(counts), "lang").filter(draw < rows_per_language / F.col("rows_of_lang"))  # a row per language
+    chosen = F.element_at(F.create_map(*(F.lit(x) for pair in share.items() for x in pair)), F.col("lang"))  # null beyond the languages learned
     texts: dict[str, list[str]] = {}
-    for row in sample.select("lang", "text").orderBy("lang", F.xxhash64("text")).collect():
+    for row in usable.filter(draw < chosen).select("lang", "text").orderBy("lang", F.xxhash64("text")).collect():
         texts.setdefault(row["lang"], []).append(row["text"])
     return Model(texts) if texts else None
 
@@ -139,9 +156,8 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, character
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Add lang_pred and score (the posterior of the best language under equal priors) to doc_id, text and what else ``docs`` has."""
     own = docs.drop("lang_pred", "score")
-    und = own.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     if model is None:
-        return und
+        return own.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double")
@@ -157,14 +173,14 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 score[part] = 1 / np.exp2(-np.minimum(gain, 1000)).sum(axis=1)
             yield pd.DataFrame({"lang_pred": np.array(model.languages, dtype=object)[best], "score": score})
 
-    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    found = own.withColumn("_found", predict(F.when(lettered, F.col("text"))))
-    return found.withColumns(
-        {
-            "lang_pred": F.when(lettered, F.col("_found.lang_pred")).otherwise(UNDETERMINED),
-            "score": F.when(lettered, F.col("_found.score")).otherwise(0.0),
-        }
-    ).drop("_found")
+    text = F.col("doc.text")
+    lettered = F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    found = boxed(own).withColumn("found", predict(F.when(lettered, text)))
+    return unboxed(
+        found,
+        F.when(lettered, F.col("found.lang_pred")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(lettered, F.col("found.score")).otherwise(0.0).alias("score"),
+    )
 
 
 def held_out(doc_id: str = "doc_id"):
