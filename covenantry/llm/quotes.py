@@ -3,12 +3,14 @@
 Lines that begin with ``>`` are quotes; their number of marks is the level. The lines and sentences
 of a quoted passage, normalised, are hashed and joined to the messages of the same conversation; a
 passage belongs to the first message that has it as text of its own. A message replies to the one
-from which its shallowest linked level quotes most. Replies chain to threads; within a conversation,
-the order is thread by thread and, within one, by turn, so that a message follows what it answers.
-The messages come out without quotes, one row each, in chat markup.
+from which its shallowest linked level quotes most. Replies chain to threads, which are trees. A
+conversation in reply order is thread by thread and, within one, depth first: after each message come
+its replies by turn, each followed by its own. The messages come out without quotes, one row each, in
+chat markup; sorted by conversation, thread and place they are the conversations.
 
-A conversation is never collected: originals are found by a minimum per (conversation, hash), and
-threads by pointer jumping over the links alone.
+A conversation is never collected: originals are found by a minimum per (conversation, hash), threads by
+pointer jumping over the links alone, and places by ranking the list of a walk around each tree, again
+by pointer jumping. The rounds grow with the logarithm of the longest thread.
 
 Defined cases: null text = empty text; a null conv_id or turn has no links; rows that repeat a turn
 share its links; a quote of nothing in the conversation, or of a later turn, links nothing; a null
@@ -17,14 +19,15 @@ role is "unknown"; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import let, text_of
 from .storage import materialise
 
 _MARKS = r"^[ \t]*>(?:[ \t]*>)*"
-_ATTRIBUTION = r"(?i)^[ \t]*(?:on|am|le|el)\b.{0,200}\b(?:wrote|schrieb|écrit|escribió)\b.{0,80}:[ \t]*$"
+_ATTRIBUTION = r"(?iu)^[ \t]*(?:on|am|le|el)\b.*?\b(?:wrote|schrieb|écrit|escribió)\b"
+_COLON = r":[ \t]*$"
 OPEN, CLOSE, END = "<|", "|>", "<|end|>"
 
 
@@ -41,7 +44,7 @@ def lines_of(text: Column) -> Column:
 
 def own_text(lines: Column) -> Column:
     """The text without quotes, and without the line that introduces a quote."""
-    introduces = lambda x, i: x["line"].rlike(_ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
+    introduces = lambda x, i: x["line"].rlike(_COLON) & x["line"].rlike(_ATTRIBUTION) & (F.coalesce(F.get(lines, i + 1)["level"], F.lit(0)) > 0)
     kept = F.filter(lines, lambda x, i: (x["level"] == 0) & ~introduces(x, i))
     return F.regexp_replace(F.trim(F.array_join(F.transform(kept, lambda x: x["line"]), "\n")), r"^\s+|\s+$", "")
 
@@ -86,18 +89,59 @@ def threads(links: DataFrame) -> DataFrame:
         )
 
 
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with ``at``: the place of each in the order, from 0. Nothing but counts per partition is summed up."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    stored = materialise(dealt.withColumn("at", F.monotonically_increasing_id()), "numbered")  # partition and place in it
+    part = F.shiftright("at", 33)
+    sizes = stored.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select("part", before.alias("begin"))  # a row per partition
+    placed = stored.withColumn("part", part).join(F.broadcast(begins), "part")
+    return placed.select(*rows.columns, (F.col("begin") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("at"))
+
+
+def places(chains: DataFrame) -> DataFrame:
+    """conv_id, turn, place: each message of a thread with replies by its place, depth first, from 0 (the thread's first).
+
+    A walk around a tree goes down to each message and up again after its last reply; the place of a
+    message is how often the walk went down before it."""
+    kin = materialise(_numbered(chains.select("conv_id", "turn", F.col("reply_to").alias("above")), "conv_id", "above", "turn"), "replies")
+    following = kin.select("conv_id", "above", F.col("turn").alias("sister"), (F.col("at") - 1).alias("at"))  # of the same message
+    eldest = kin.groupBy("conv_id", F.col("above").alias("turn")).agg(F.min("turn").alias("child"))
+    roots = chains.select("conv_id", F.col("thread").alias("turn")).distinct()
+    nodes = kin.join(following, ["conv_id", "above", "at"], "left").select("conv_id", "turn", "above", "sister")
+    nodes = nodes.unionByName(roots.select("conv_id", "turn", F.lit(None).cast("long").alias("above"), F.lit(None).cast("long").alias("sister")))
+    nodes = nodes.join(eldest, ["conv_id", "turn"], "left")
+    step = lambda turn, up: F.struct(turn.alias("turn"), F.lit(up).alias("up"))
+    down = F.struct(F.lit(0).alias("up"), F.coalesce(F.when(F.col("child").isNotNull(), step(F.col("child"), 0)), step(F.col("turn"), 1)).alias("next"), F.lit(1).cast("long").alias("n"))
+    back = F.when(F.col("sister").isNotNull(), step(F.col("sister"), 0)).when(F.col("above").isNotNull(), step(F.col("above"), 1))
+    up = F.struct(F.lit(1).alias("up"), back.alias("next"), F.lit(0).cast("long").alias("n"))
+    walk = materialise(nodes.select("conv_id", "turn", F.inline(F.array(down, up))), "walk")
+    while not walk.filter("next IS NOT NULL").isEmpty():
+        ahead = walk.select("conv_id", F.col("turn").alias("t"), F.col("up").alias("u"), F.col("next").alias("further"), F.col("n").alias("more"))
+        met = walk.select("conv_id", "turn", "up", "n", F.col("next.turn").alias("t"), F.col("next.up").alias("u")).join(ahead, ["conv_id", "t", "u"], "left")
+        walk = materialise(met.select("conv_id", "turn", "up", F.col("further").alias("next"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "walk")
+    left = walk.filter("up = 0").select("conv_id", "turn", "n")  # how often the walk goes down from here on
+    threads_of = chains.select("conv_id", "turn", "thread").unionByName(roots.withColumn("thread", F.col("turn")))
+    sizes = left.join(roots, ["conv_id", "turn"], "left_semi").select("conv_id", F.col("turn").alias("thread"), F.col("n").alias("all"))
+    return left.join(threads_of, ["conv_id", "turn"]).join(sizes, ["conv_id", "thread"]).select("conv_id", "turn", (F.col("all") - F.col("n")).alias("place"))
+
+
 def format_chat(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (own), n_quoted_lines, reply_to, thread, depth, formatted of every message.
+    """conv_id, turn, role, text (own), n_quoted_lines, reply_to, thread, depth, place, formatted of every message.
 
-    Sort a conversation by (thread, turn) for its reply order."""
-    chains = threads(link_quotes(messages)).select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "reply_to", "thread", "depth")
+    Sort by (conv_id, thread, place) for the conversations in reply order."""
+    links = threads(link_quotes(messages))
+    found = materialise(places(links), "places") if not links.isEmpty() else links.select("conv_id", "turn", "depth").toDF("conv_id", "turn", "place")
+    chains = found.join(links, ["conv_id", "turn"], "left").select(F.col("conv_id").alias("of_conv"), F.col("turn").alias("of_turn"), "reply_to", "thread", "depth", "place")
     rows = messages.select(
         F.col("conv_id").alias("conv_id"),
         F.col("turn").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         let(lines_of(text_of()), lambda x: F.struct(own_text(x).alias("text"), F.size(F.filter(x, lambda y: y["level"] > 0)).cast("long").alias("n"))).alias("m"),
     )
-    joined = rows.join(chains, (F.col("conv_id") == F.col("_conv")) & (F.col("turn") == F.col("_turn")), "left")
+    joined = rows.join(chains, (F.col("conv_id") == F.col("of_conv")) & (F.col("turn") == F.col("of_turn")), "left")
     safe = lambda x: F.replace(x, F.lit(OPEN), F.lit("< |"))  # noqa: E731  no text can pass for markup
     return joined.select(
         "conv_id",
@@ -108,5 +152,11 @@ def format_chat(messages: DataFrame) -> DataFrame:
         "reply_to",
         F.coalesce("thread", "turn").alias("thread"),
         F.coalesce("depth", F.lit(0)).cast("long").alias("depth"),
+        F.coalesce("place", F.lit(0)).cast("long").alias("place"),
         F.concat(F.lit(OPEN), safe(F.col("role")), F.lit(CLOSE + "\n"), safe(F.col("m.text")), F.lit("\n" + END + "\n")).alias("formatted"),
     )
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """The rows of ``format_chat`` in the order of conversations, each in reply order."""
+    return format_chat(messages).orderBy("conv_id", "thread", "place", "turn", "role", "text")

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from covenantry.llm import quotes
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, hash long"
@@ -53,3 +56,76 @@ def test_whole_table_has_a_row_per_message(spark):
     out = quotes.format_chat(table)
     assert sorted((r.conv_id, r.turn, r.role) for r in out.collect()) == sorted((r.conv_id, r.turn, r.role) for r in table.collect())
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def brute(rows):
+    """(conv, turn) -> (own text, reply_to, thread, depth, place), message by message."""
+    quote = re.compile(r"^[ \t]*>(?:[ \t]*>)*")
+    norm = lambda x: " ".join(re.sub(r"[\W_]+", " ", x.lower()).split())
+
+    def units(text):
+        parts = text.split("\n") + re.split(r"(?<=[.!?]) ", re.sub(r"\s+", " ", text))
+        return {norm(x) for x in parts} - {""}
+
+    talks = {}
+    for conv, turn, _, text in rows:
+        lines = [(len(re.findall(">", m[0])), x[m.end() :].strip(" ")) if (m := quote.match(x)) else (0, x) for x in (text or "").split("\n")]
+        talks.setdefault(conv, {})[turn] = lines
+    out = {}
+    for conv, talk in talks.items():
+        own = {t: "\n".join(x for k, x in lines if k == 0).strip() for t, lines in talk.items()}
+        reply = {}
+        for t, lines in talk.items():
+            for level in sorted({k for k, _ in lines} - {0}):
+                weight = {}
+                for u in units("\n".join(x for k, x in lines if k == level)):
+                    first = min((s for s in talk if u in units(own[s])), default=None)
+                    if first is not None and first < t:
+                        weight[first] = weight.get(first, 0) + len(u)
+                if weight:
+                    reply[t] = max(weight, key=lambda s: (weight[s], s))
+                    break
+
+        def root(t, reply=reply):
+            depth = 0
+            while t in reply:
+                t, depth = reply[t], depth + 1
+            return t, depth
+
+        def walk(t, reply=reply):
+            yield t
+            for s in sorted(s for s in reply if reply[s] == t):
+                yield from walk(s)
+
+        place = {t: k for r in {root(t)[0] for t in talk} for k, t in enumerate(walk(r))}
+        for t in talk:
+            out[conv, t] = (own[t], reply.get(t), *root(t), place[t])
+    return out
+
+
+def test_made_threads_against_brute_force(spark):
+    draw = random.Random(9)
+    rows = []
+    for conv in range(25):
+        said = []
+        for turn in range(draw.randint(1, 14)):
+            own = f"Message {conv} {draw.randint(0, 30)} says so. And more of {turn}!"
+            quoted = ""
+            if said and draw.random() < 0.75:
+                old = draw.choice(said)
+                passage = draw.choice([old, old.split(". ")[0] + ".", old.upper()])
+                quoted = "\n".join("> " * draw.choice([1, 1, 2]) + x for x in passage.split("\n")) + "\n"
+                if draw.random() < 0.4:
+                    quoted += "> > " + draw.choice(said) + "\n"
+            said.append(own)
+            rows.append((conv, turn * 3, "user", quoted + own))
+    got = run(spark, rows)
+    want = brute(rows)
+    assert {k: (r.text, r.reply_to, r.thread, r.depth, r.place) for k, r in got.items()} == want
+    assert max(w[3] for w in want.values()) >= 3 and sum(w[1] is not None for w in want.values()) > 60
+
+
+def test_conversations_come_depth_first(spark):
+    rows = [(1, 0, "u", "first one"), (1, 1, "u", "> first one\nanswer a"), (1, 2, "u", "> first one\nanswer b"), (1, 3, "u", "> answer a\nanswer c"), (1, 4, "u", "apart"), (1, 5, "u", "> answer b\nanswer d")]
+    df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
+    assert [r.turn for r in quotes.conversations(df).collect()] == [0, 1, 3, 2, 5, 4]
