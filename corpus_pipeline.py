@@ -1,7 +1,13 @@
 """A training corpus in five stages; each is an operator of ``covenantry.llm``.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all rows of its predecessor,
-written as Parquet and read again. All but the last return the columns of ``documents``."""
+written as Parquet and read again. All but the last return the columns of ``documents``.
+
+Defined cases: a document with null text, or without a letter, has no language and goes in the first stage;
+rows that repeat a doc_id are told apart by their texts; rows with a null doc_id are compared with none in
+the second stage and stay; ties (several copies with the least doc_id) leave one row; an empty table gives
+an empty one of the same columns; extra columns stay as they are, whatever their names, up to the last
+stage; the texts are whole in all stages."""
 
 from __future__ import annotations
 
@@ -9,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covenantry.llm import decontam, langid, ngram_join, packing, pii
+from covenantry.llm.columns import boxed, unboxed
 from covenantry.llm.storage import shared_dir
 
 MIN_SCORE = 0.5
@@ -18,9 +25,8 @@ ORACLE_SQL = None  # no stage but the decontamination has a form in SQL; the tes
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language, or whose best language is not the likelier one, go."""
     model = langid.train(docs.filter(~langid.held_out()))
-    found = langid.identify(docs.withColumn("_lang", F.col("lang")), model)
-    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE))
-    return kept.select(*docs.columns)
+    found = langid.identify(boxed(docs, F.col("text").alias("text")), model)
+    return unboxed(found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data get surrogates; n_chars follows the text."""
-    changed = pii.replace_entities(docs).select(*docs.columns)
+    changed = pii.replace_entities(docs, count=None)
     return changed.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else changed
 
 
