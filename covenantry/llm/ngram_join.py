@@ -7,14 +7,21 @@ from the wanted recall at that similarity.
 1. One pass gives each row the key of its normalised text and its band hashes. Rows with one key are
    copies; only one of them, the representative, goes on.
 2. Band hashes are shuffled. Each representative makes its home in the largest bucket it shares, and
-   homes are cut into chunks of some ``CHUNK`` texts. A bucket nominates the pairs of chunks that
-   meet in it, never the pairs of texts.
+   homes are cut into chunks of some ``CHUNK`` texts and some ``CHUNK_WORDS`` words. A bucket nominates
+   the pairs of chunks that meet in it, never the pairs of texts.
 3. A pair of chunks is one unit of work: its texts' full shingle sets are intersected all against
    all, in blocks. A unit returns a count of links per text and a spanning forest of its links, so
    the rows it makes are as many as its texts, not the square of them. A pair of texts belongs to
    one unit, hence every link counts once.
 4. Components of the forests are the classes.
 
+Where only the classes are wanted, each home's texts are first verified against one of them. What is
+linked to it is of one class, so chunks of such texts are not compared with each other any more: a group
+of near copies takes one comparison per text, and only texts that differ from it meet all others.
+
+Buckets and homes of more than a thousandth of the rows are under a thousand; joins take them apart and
+broadcast their side of one row each, so that no large key lands in one task.
+
 Defined cases: null text = text without words; such texts, of no shingle, have no links and no
 copies; a text of one to four words is one shingle; rows with a null doc_id are compared with none
 and get a null class_id; rows that repeat a doc_id are compared by their texts; an empty table gives
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import text_of, word_hashes
+from .columns import boxed, text_of, unboxed, word_hashes
 from .components import components
 from .storage import materialise
 
@@ -40,6 +47,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 200
 CHUNK = 512
+CHUNK_WORDS = 1 << 20
 SLICE_WORDS = 200_000
 _ODD = np.random.default_rng(20240101).integers(1, 1 << 63, size=(8, MAX_HASHES), dtype=np.uint64) | np.uint64(1)
 
@@ -100,11 +108,11 @@ def band_hashes(hashes: np.ndarray, counts: np.ndarray, bands: int, rows: int) -
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, key (struct of two hashes of the normalised text; null without words) and bands of every row."""
+    """doc_id, node and check (two hashes of the normalised text), n_words and bands (none without words) of every row."""
     bands, rows = choose_bands()
     words = word_hashes(text_of())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
-    source = source.select("doc_id", F.xxhash64("words").alias("node"), F.xxhash64(F.lit(WORDS), "words").alias("check"), "words")
+    source = source.select("doc_id", F.xxhash64("words").alias("node"), F.xxhash64(F.lit(WORDS), "words").alias("check"), F.size("words").cast("long").alias("n_words"), "words")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,40 +132,80 @@ def sketch(docs: DataFrame) -> DataFrame:
         some = np.flatnonzero(counts)
         values = band_hashes(hashes, counts[some], bands, rows)
         column = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate([[0], np.where(counts > 0, bands, 0)])), pa.int32()), pa.array(values.ravel()))
-        return pa.RecordBatch.from_arrays([*batch.columns[:3], column], names=["doc_id", "node", "check", "bands"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], column], names=["doc_id", "node", "check", "n_words", "bands"])
+
+    return source.mapInArrow(work, "doc_id long, node long, check long, n_words long, bands array<long>")
 
-    return source.mapInArrow(work, "doc_id long, node long, check long, bands array<long>")
 
+def _join_by(rows: DataFrame, info: DataFrame, key: str) -> DataFrame:
+    """``rows`` with what ``info`` has of their key: it has one row per key, and in ``n`` how many rows have that."""
+    total = info.agg(F.sum("n")).first()[0] or 0
+    many = info.filter(F.col("n") > total / 1000)  # under a thousand keys
+    rest = rows.join(F.broadcast(many.select(key)), key, "left_anti").join(info.filter(F.col("n") <= total / 1000), key)
+    return rows.join(F.broadcast(many), key).unionByName(rest)
 
-def units_of_work(representatives: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """node, doc_id, unit, side (0: both chunks are its own; 1 and 2: first and second) from node, doc_id, bands."""
-    placed = representatives.select("node", "doc_id", F.posexplode("bands").alias("band", "hash"))
-    buckets = placed.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = materialise(placed.join(buckets, ["band", "hash"]).select("node", "doc_id", F.xxhash64("band", "hash").alias("bucket"), "n"), "shared-buckets")
-    homes = shared.groupBy("node", "doc_id").agg(F.max(F.struct("n", "bucket")).alias("home"))
-    homes = materialise(homes.select("node", "doc_id", F.col("home.bucket").alias("home")), "homes")
+
+def _homes(representatives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of node, doc_id, n_words, bands: (node, bucket) of texts that share one, and node, doc_id, n_words, home, home_n, home_words, joined."""
+    placed = representatives.select("node", "doc_id", "n_words", F.posexplode("bands").alias("band", "hash"))
+    placed = placed.select("node", "doc_id", "n_words", F.xxhash64("band", "hash").alias("bucket"))
+    buckets = materialise(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    shared = materialise(_join_by(placed, buckets, "bucket"), "shared-buckets")
+    homes = shared.groupBy("node", "doc_id", "n_words").agg(F.max(F.struct("n", "bucket")).alias("home"))
+    homes = materialise(homes.select("node", "doc_id", "n_words", F.col("home.bucket").alias("home")), "homes")
     # a home joins the most crowded one that it meets in a bucket, so that one group of near copies
     # fills few chunks; which texts share a chunk decides the traffic, never the result
-    crowd = homes.groupBy("home").agg(F.count(F.lit(1)).alias("n"))
-    seats = shared.join(homes.select("node", "home"), "node").select("bucket", "home").distinct().join(crowd, "home")
-    seats = materialise(seats.select("bucket", "home", F.struct("n", "home").alias("seat")), "seats")
+    crowd = materialise(homes.groupBy("home").agg(F.count(F.lit(1)).alias("crowd"), F.sum("n_words").alias("home_words")), "crowds")
+    seats = materialise(shared.join(homes.select("node", "home"), "node").select("bucket", "home").distinct(), "seats")
+    sized = seats.groupBy("home").agg(F.count(F.lit(1)).alias("n")).join(crowd, "home")
+    seats = _join_by(seats, materialise(sized, "sized-seats"), "home").select("bucket", "home", F.struct("crowd", "home").alias("seat"))
+    seats = materialise(seats, "seats-by-crowd")
     tops = seats.groupBy("bucket").agg(F.max("seat").alias("top"))
     joined = seats.join(tops, "bucket").groupBy("home").agg(F.max("top").alias("top")).select("home", F.col("top.home").alias("joined"))
-    homes = materialise(homes.join(joined, "home").join(crowd, "home"), "joined-homes")
-    crowds = homes.groupBy("joined").agg(F.count(F.lit(1)).alias("all"))
-    own = F.when(F.col("n") <= chunk // 4, F.xxhash64("home")).otherwise(F.xxhash64("node"))  # small homes stay together
-    part = F.pmod(own, F.ceil(F.col("all") / F.lit(chunk)))
-    homes = materialise(homes.join(crowds, "joined").select("node", "doc_id", F.xxhash64("joined", part).alias("chunk")), "chunks")
-    met = shared.join(homes.select("node", "chunk"), "node").groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    info = materialise(joined.join(crowd, "home").withColumn("n", F.col("crowd")), "joined-homes")
+    homes = _join_by(homes, info, "home").select("node", "doc_id", "n_words", "home", F.col("crowd").alias("home_n"), "home_words", "joined")
+    return shared.select("node", "bucket"), materialise(homes, "homes-joined")
+
+
+def _chunks(homes: DataFrame, chunk: int) -> DataFrame:
+    """``homes`` with their chunk; small homes stay together, and texts linked to their home's first (if ``linked`` is there) apart."""
+    crowds = materialise(homes.groupBy("joined").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words")), "sizes")
+    small = (F.col("home_n") <= chunk // 4) & (F.col("home_words") <= CHUNK_WORDS // 4)
+    part = F.pmod(F.when(small, F.xxhash64("home")).otherwise(F.xxhash64("node")), F.ceil(F.greatest(F.col("n") / F.lit(chunk), F.col("words") / F.lit(CHUNK_WORDS))))
+    apart = ["linked"] if "linked" in homes.columns else []
+    return materialise(_join_by(homes, crowds, "joined").withColumn("chunk", F.xxhash64("joined", part, *apart)).drop("n", "words"), "chunks")
+
+
+def _units(shared: DataFrame, homes: DataFrame) -> DataFrame:
+    """node, unit, side (0: both chunks are its own; 1 and 2: first and second) of ``homes`` in their chunks."""
+    of = F.when(F.col("linked"), F.col("joined")) if "linked" in homes.columns else F.lit(None).cast("long")  # known to be of one class
+    met = shared.join(homes.select("node", "chunk", of.alias("known")), "node").groupBy("bucket", "chunk").agg(F.count(F.lit(1)).alias("n"), F.first("known").alias("known"))
     met = materialise(met, "chunks-of-buckets")
-    alone = met.filter("n > 1").select(F.col("chunk").alias("one"), F.col("chunk").alias("two"))
-    other = met.select("bucket", F.col("chunk").alias("two"))
-    two = met.select("bucket", F.col("chunk").alias("one")).join(other, "bucket").filter("one < two").select("one", "two")
+    alone = met.filter("n > 1 AND known IS NULL").select(F.col("chunk").alias("one"), F.col("chunk").alias("two"))
+    other = met.select("bucket", F.col("chunk").alias("two"), F.col("known").alias("too"))
+    two = met.select("bucket", F.col("chunk").alias("one"), "known").join(other, "bucket").filter("one < two AND (known IS NULL OR too IS NULL OR known != too)").select("one", "two")
     units = materialise(alone.union(two).distinct().select("one", "two", F.xxhash64("one", "two").alias("unit")), "units")
     sides = units.filter("one = two").select(F.col("one").alias("chunk"), "unit", F.lit(0).alias("side")).unionByName(
         units.filter("one < two").select("unit", F.inline(F.array(F.struct(F.col("one").alias("chunk"), F.lit(1).alias("side")), F.struct(F.col("two").alias("chunk"), F.lit(2).alias("side")))))
     )
-    return homes.join(sides, "chunk").select("node", "doc_id", "unit", "side")
+    return materialise(homes.select("node", "chunk").join(sides, "chunk").select("node", "unit", "side"), "unit-texts")
+
+
+def units_of_work(representatives: DataFrame, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The texts that share a bucket, in chunks, and the units of work of all their pairs."""
+    shared, homes = _homes(representatives)
+    homes = _chunks(homes, chunk)
+    return homes, _units(shared, homes)
+
+
+def _stars(homes: DataFrame) -> DataFrame:
+    """node, unit, side: the texts of each chunk against the first text of their joined home."""
+    firsts = homes.groupBy("joined").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    firsts = materialise(firsts, "first-texts")
+    unit = F.xxhash64("chunk").alias("unit")
+    others = _join_by(homes.select("node", "joined", "chunk"), firsts, "joined").filter("node != first").select("node", unit, F.lit(2).alias("side"))
+    chunks = homes.select("joined", "chunk").distinct().join(firsts, "joined").select(F.col("first").alias("node"), unit, F.lit(1).alias("side"))
+    return materialise(others.unionByName(chunks), "stars")
 
 
 def _links(sets: list[np.ndarray], sides: np.ndarray, threshold: float) -> np.ndarray:
@@ -200,14 +248,18 @@ def _forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
     return [(x, root(x)) for x in range(n) if root(x) != x]
 
 
-def verify_units(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """node, n_links, other: per unit a row for each text with links (n_links) and for each edge of its forest (other)."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def words_of(docs: DataFrame, homes: DataFrame) -> DataFrame:
+    """node, words (hashes) of the texts in ``homes``, stored."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     # a merge join at every size: what is broadcast for a small corpus would be another plan for a large one
-    held = texts.join(units.hint("merge"), "doc_id").repartition(partitions, "unit").sortWithinPartitions("unit")
-    held = held.select("unit", "node", "side", word_hashes(F.col("text")).alias("words"))
-    held = held.filter(F.xxhash64("words") == F.col("node")).select("unit", "node", "side", "words")
+    held = texts.join(homes.select("node", "doc_id").hint("merge"), "doc_id").select("doc_id", "node", word_hashes(F.col("text")).alias("words"))
+    held = held.filter(F.xxhash64("words") == F.col("node")).dropDuplicates(["doc_id", "node"])
+    return materialise(held.select("node", "words"), "words")
+
+
+def verify_units(words: DataFrame, units: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """node, n_links, other: per unit a row for each text with links (n_links) and for each edge of its forest (other)."""
+    held = words.join(units.hint("merge"), "node").repartition("unit").sortWithinPartitions("unit").select("unit", "node", "side", "words")
 
     def solve(nodes: list[int], sides: list[int], sets: list[np.ndarray]) -> tuple[list, list, list]:
         nodes, first = np.unique(np.array(nodes, dtype=np.int64), return_index=True)  # rows may repeat
@@ -254,22 +306,36 @@ def verify_units(docs: DataFrame, units: DataFrame, threshold: float = THRESHOLD
     return held.mapInArrow(work, "node long, n_links long, other long")
 
 
-def _classed_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, node, check, root (of the class), class_id, n_links, n_copies of every row of ``docs``; rows that are compared with none have no root."""
+def _verified(docs: DataFrame, texts: DataFrame, counts: bool) -> tuple[DataFrame | None, DataFrame]:
+    """(node, n_links) of texts with links, if ``counts``, and edges (a, b) whose components are the classes."""
+    edges = lambda found: found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    if counts:
+        homes, units = units_of_work(texts)
+        found = materialise(verify_units(words_of(docs, homes), units), "links")
+        return found.filter("other IS NULL").groupBy("node").agg(F.sum("n_links").alias("n_links")), edges(found)
+    shared, homes = _homes(texts)
+    homes = _chunks(homes, CHUNK)
+    words = words_of(docs, homes)
+    stars = materialise(verify_units(words, _stars(homes)), "star-links")
+    linked = stars.filter("other IS NULL").select("node").distinct().withColumn("linked", F.lit(True))
+    homes = homes.drop("chunk").join(linked, "node", "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    found = materialise(verify_units(words, _units(shared, _chunks(homes, CHUNK))), "links")
+    return None, edges(stars).union(edges(found))
+
+
+def _classed_rows(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """doc_id, node, check, root (of the class), class_id, n_links (null without ``counts``), n_copies of every row of ``docs``; rows that are compared with none have no root."""
     rows = materialise(sketch(docs), "sketches")
     usable = rows.filter("doc_id IS NOT NULL AND size(bands) > 0")
-    texts = materialise(usable.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands")), "texts")
-    units = materialise(units_of_work(texts.select("node", "doc_id", "bands")), "unit-texts")
-    found = materialise(verify_units(docs, units), "links")
-    links = found.filter("other IS NULL").groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    roots = components(found.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    joined = texts.select("node", "check", "doc_id", "n").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    texts = usable.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
+    texts = materialise(texts, "texts")
+    links, edges = _verified(docs, texts.select("node", "doc_id", "n_words", "bands"), counts)
+    joined = texts.select("node", "check", "doc_id", "n").join(components(edges), "node", "left")
     # the class's least doc_id; texts of no other class keep their own
-    least = joined.filter("n_links > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
-    classes = materialise(
-        joined.join(least, "root", "left").select("node", "check", "root", F.coalesce("least", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (F.col("n") - 1).alias("n_copies")),
-        "classes",
-    )
+    least = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+    joined = joined.join(least, "root", "left").withColumn("root", F.coalesce("root", "node"))
+    joined = joined.join(links, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long")) if counts else joined.withColumn("n_links", F.lit(None).cast("long"))
+    classes = materialise(joined.select("node", "check", "root", F.coalesce("least", "doc_id").alias("class_id"), "n_links", (F.col("n") - 1).alias("n_copies")), "classes")
     classed = usable.select("doc_id", "node", "check").join(classes, ["node", "check"]).select("doc_id", "node", "check", "root", "class_id", "n_links", "n_copies")
     alone = rows.filter("doc_id IS NULL OR size(bands) = 0")
     none = F.lit(0).cast("long")
@@ -288,20 +354,19 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
 
     If several rows of the class have that doc_id, one of them stays: of the text whose hashes are least.
     Of texts without words, equal rows (doc_id and text) count as one."""
-    rows = materialise(_classed_rows(docs).filter("doc_id IS NOT NULL"), "classed-rows")
-    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = materialise(_classed_rows(docs, counts=False).filter("doc_id IS NOT NULL"), "classed-rows")
+    times = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"))
     named = rows.filter("root IS NOT NULL AND doc_id = class_id").groupBy("root", "doc_id").agg(F.min(F.struct("node", "check")).alias("text"))
     wordless = rows.filter("root IS NULL").select("doc_id", "node", "check").distinct()
     kept = named.select("doc_id", "text.node", "text.check").unionByName(wordless).join(times, "doc_id")
-    kept = materialise(kept.select(F.col("doc_id").alias("_kept"), F.col("node").alias("_node"), F.col("check").alias("_check"), "_rows"), "kept")
-    same = F.col("doc_id").cast("long") == F.col("_kept")
-    out = docs.join(kept.filter("_rows = 1").hint("merge"), same).select(*docs.columns)  # one plan at every size
-    several = kept.filter("_rows > 1")
+    kept = materialise(kept.select(F.col("doc_id").alias("id"), "node", "check", "n_rows"), "kept")
+    held = boxed(docs, F.col("doc_id").cast("long").alias("id"))
+    out = unboxed(held.join(kept.filter("n_rows = 1").hint("merge"), "id"))  # one plan at every size
+    several = kept.filter("n_rows > 1")
     if not several.isEmpty():  # a doc_id that repeats does not tell rows apart, so their texts do
-        words = word_hashes(text_of())
-        held = docs.join(several.select("_kept").distinct().hint("merge"), same, "left_semi").withColumns({"_words": F.xxhash64(words), "_again": F.xxhash64(F.lit(WORDS), words)})
-        held = held.withColumn("_raw", F.when(F.size(words) == 0, F.col("text")))
-        held = held.dropDuplicates(["doc_id", "_words", "_again", "_raw"])
-        found = held.join(several, same & (F.col("_words") == F.col("_node")) & (F.col("_again") == F.col("_check")), "left_semi")
-        out = out.unionByName(found.select(*docs.columns))
+        words = word_hashes(F.coalesce(F.col("doc.text").cast("string"), F.lit("")))
+        again = held.join(several.select("id").distinct().hint("merge"), "id", "left_semi")
+        again = again.select("doc", "id", F.xxhash64(words).alias("node"), F.xxhash64(F.lit(WORDS), words).alias("check"), F.when(F.size(words) == 0, F.col("doc.text")).alias("raw"))
+        found = again.dropDuplicates(["id", "node", "check", "raw"]).join(several.select("id", "node", "check"), ["id", "node", "check"], "left_semi")
+        out = out.unionByName(unboxed(found))
     return out.unionByName(docs.filter("doc_id IS NULL"))

@@ -100,6 +100,43 @@ def test_repeated_rows_and_null_ids(docs_of):
     assert ngram_join.similar_classes(docs_of([])).count() == 0
 
 
+def test_classes_without_counts_are_the_same(docs_of, monkeypatch):
+    """One row of each class stays, whether all pairs are verified or only those with the first of a home."""
+    monkeypatch.setattr(ngram_join, "CHUNK", 16)
+    rows = made(5, 40, 5)
+    draw = random.Random(6)
+    base = [f"x{k}" for k in range(100)]
+    for k in range(120):  # a chain: neighbours are linked, the ends are not
+        base[draw.randrange(100)] = f"y{k}"
+        rows.append((2 * 10**7 + k, " ".join(base)))
+    want = brute(rows)
+    assert sorted(r.doc_id for r in ngram_join.keep_one_of_each(docs_of(rows)).collect()) == sorted({c for c, _, _ in want.values()})
+    assert {r.doc_id: r.class_id for r in ngram_join._classed_rows(docs_of(rows), counts=False).collect()} == {i: c for i, (c, _, _) in want.items()}
+
+
+def test_chunks_follow_the_words_of_long_texts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_WORDS", 20_000)
+    draw = random.Random(8)
+    base = [f"w{draw.randrange(5000)}" for _ in range(8000)]
+    rows = []
+    for k in range(12):
+        own = list(base)
+        own[draw.randrange(8000)] = f"z{k}"
+        rows.append((k, " ".join(own)))
+    texts = ngram_join.sketch(docs_of(rows)).selectExpr("node", "doc_id", "n_words", "bands")
+    homes, _ = ngram_join.units_of_work(texts)
+    assert max(r["sum(n_words)"] for r in homes.groupBy("chunk").sum("n_words").collect()) <= 8 * 8000 and homes.select("chunk").distinct().count() >= 3
+    assert result(docs_of(rows)) == {k: (0, 11, 0) for k in range(12)}
+
+
+def test_columns_of_any_name_stay(spark):
+    clash = {x: f"own {x}" for x in ("id", "node", "check", "n_rows", "doc", "_kept", "_rows", "root", "raw", "class_id")}
+    text = " ".join(f"a{k}" for k in range(50))
+    df = spark.createDataFrame([(k, t, *clash.values()) for k, t in ((1, text), (2, text), (3, None), (3, None), (4, "b"), (4, "c"))], ["doc_id", "text", *clash])
+    got = ngram_join.keep_one_of_each(df)
+    assert got.columns == df.columns and sorted(r.doc_id for r in got.collect()) == [1, 3, 4, 4] and all(r[k] == v for r in got.collect() for k, v in clash.items())
+
+
 def test_banding_reaches_its_recall():
     bands, rows = ngram_join.choose_bands()
     assert bands * rows <= ngram_join.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL

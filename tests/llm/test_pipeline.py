@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,19 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, SF)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 0
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    """Every name that a stage uses within, as a column of the documents."""
+    names = (
+        "doc", "found", "lang_pred", "score", "held_out", "_lang", "_found", "rows_of_lang", "id", "node", "check", "n_rows", "raw", "root", "class_id", "row", "row_text",
+        "words", "p", "h", "item", "item_key", "item_id", "shift", "n_equal", "marked", "pieces", "size", "map", "new", "n_entities", "kind", "value", "bands", "_bad", "_kept", "_map",
+    )
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.select("*", *(F.lit(f"own {x}").alias(x) for x in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[x] == f"own {x}" for r in rows for x in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 60
