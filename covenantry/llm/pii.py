@@ -69,20 +69,21 @@ _PHONE = "|".join((
 PATTERNS = {
     "email": r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@(?:[\p{L}\p{M}\p{N}-]{1,63}\.){1,126}[\p{L}]{2,63}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "ipv6": r"(?<![\w:.])(?=[A-Fa-f:]{0,39}[0-9])(?=[0-9A-Fa-f:]{0,36}[0-9A-Fa-f]{3})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)",
+    "ipv6": r"(?=[0-9A-Fa-f]{1,4}:)(?<![\w:.])(?=[A-Fa-f:]{0,39}[0-9])(?=[0-9A-Fa-f:]{0,36}[0-9A-Fa-f]{3})(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?!-?\d)",
     "phone": rf"(?<![\w.+-])(?:{_PHONE})(?![\w-])",
-    "secret": r"(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[^\p{L}\p{N}\p{Cc}\s\"'<>,;]*+[\p{L}\p{N}])[^\p{Cc}\s\"'<>,;]{6,}+",
-    "access": r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
+    "secret": r"(?=[PpSsTtAa])(?<![A-Za-z0-9])(?i:" + "|".join(SECRET_WORDS) + r")[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[^\p{L}\p{N}\p{Cc}\s\"'<>,;]*+[\p{L}\p{N}])[^\p{Cc}\s\"'<>,;]{6,}+",
+    "access": r"(?=[Ags])(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|sk-(?=[_-]*+[A-Za-z0-9])[A-Za-z0-9_-]{20,}+)(?![A-Za-z0-9])",
     "hex": r"(?<![A-Za-z0-9])(?:(?=[0-9]*+[a-f])[0-9a-f]{32,}+|[0-9]{32,64}+)(?![A-Za-z0-9])",
-    "name": rf"(?<![\p{{L}}\p{{M}}])(?:{_TITLE}{_NAME_PART}(?: {_NAME_PART}){{0,3}}|{_GIVEN}(?: {_NAME_PART}){{1,3}})",
+    "name": rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}])(?:{_TITLE}{_NAME_PART}(?: {_NAME_PART}){{0,3}}|{_GIVEN}(?: {_NAME_PART}){{1,3}})",
 }
 _CYRILLIC = "абвгдежзиклмнопрстуфхцчшэюя"
 ANY = "|".join(f"(?:{x})" for x in PATTERNS.values())
+# A lookahead at an alternative's first character keeps it cheap where it can't begin.
 #: No text without one of these has an entity; the test is cheap.
-_HINT = "[@0-9]|" + "|".join(TITLES) + f"|{_GIVEN} |(?i:" + "|".join(SECRET_WORDS) + ")|gh[pousr]_|sk-|[a-f]{32}"
+_HINT = r"[@0-9]|(?=\p{Lu})(?:" + "|".join(TITLES) + f"|{_GIVEN} )|(?=[PpSsTtAa])(?i:" + "|".join(SECRET_WORDS) + ")|gh[pousr]_|sk-|[a-f]{32}"
 # Before these controls, of which none is a letter, digit or white space, \x01 marks what it is: itself, a match's begin or end.
 _ITSELF, _BEGIN, _END = "\x01\x02", "\x01\x03", "\x01\x04"
 
