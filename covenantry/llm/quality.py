@@ -73,7 +73,8 @@ BOILERPLATE = (
 WHITE = " \t\n\x0b\x0c\r"
 _SPACES = r"[\x20\x09-\x0D]+"
 _PUNCTUATION = r"[!-/:-@\[-`{-~]"
-_SEPARATOR = r"^(\||>|»|›|•|·)$"
+SEPARATORS = "|>»›•·"
+_SEPARATOR = r"^[|>»›•·]$"
 
 
 def _strip(text: Column) -> Column:
@@ -107,10 +108,12 @@ def line_fails(line: Column) -> Column:
     """Whether a line that has a word breaks a rule."""
     solid = F.length(_strip(line))
     punctuation = F.regexp_count(line, F.lit(_PUNCTUATION)) * 100 > solid * MAX_PUNCTUATION_PERCENT
-    words = words_of(line)
-    separators = F.size(F.filter(words, lambda w: w.rlike(_SEPARATOR)))
-    navigation = (separators >= MIN_SEPARATORS) & (separators * 100 >= F.size(words) * SEPARATOR_WORDS_PERCENT)
-    boilerplate = let(F.length(F.regexp_extract(F.lower(line), "|".join(BOILERPLATE), 0)), lambda n: (n > 0) & (n * 100 >= F.length(line) * BOILERPLATE_PERCENT))
+    separated = lambda w: let(F.size(F.filter(w, lambda x: x.rlike(_SEPARATOR))), lambda n: (n >= MIN_SEPARATORS) & (n * 100 >= F.size(w) * SEPARATOR_WORDS_PERCENT))
+    # a line without so many of their characters has no such words, and no phrase is a tenth of a line of over ten times the longest
+    some = F.length(line) - F.length(F.translate(line, SEPARATORS, "")) >= MIN_SEPARATORS
+    navigation = F.when(some, let(words_of(line), separated)).otherwise(False)
+    phrase = let(F.length(F.regexp_extract(F.lower(line), "|".join(BOILERPLATE), 0)), lambda n: (n > 0) & (n * 100 >= F.length(line) * BOILERPLATE_PERCENT))
+    boilerplate = F.when(F.length(line) * BOILERPLATE_PERCENT <= 100 * max(map(len, BOILERPLATE)), phrase).otherwise(False)
     return punctuation | navigation | boilerplate
 
 
