@@ -14,7 +14,6 @@ _COMMENT_END = re.compile(r"--!?>")
 _HINTS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _LABEL = re.compile(r'\bdata-content="([01])"')
 _WHITE = re.compile(r"\s+")
-_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
 
 # Kinds of elements in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,6 +35,7 @@ _CLOSES = {
     "option": ({"option"}, {"select"}),
     "body": ({"head"}, set()),
 }
+_ENDS = {x: re.compile(rf"</{x}(?![a-z0-9])", re.I) for x in (*RAW, *ENCLOSING)}
 MAX_DEPTH = 512  # as in browsers: what is nested deeper hangs on the element at that depth
 
 
@@ -53,11 +53,6 @@ class Tree:
         return len(self.parent) - 1
 
 
-def _lower(page: str) -> str:
-    """In lower case where that is ASCII, so that places stay."""
-    return page.translate(_ASCII_LOWER)
-
-
 def parse(page: str) -> Tree:
     """The tree of a page. Unknown or unclosed markup never fails; what is left open ends with the page.
 
@@ -83,8 +78,15 @@ def parse(page: str) -> Tree:
 
     def close(k: int) -> None:
         """End the element at ``stack[k]`` and all within."""
+        if len(stack) == k + 1:  # the innermost
+            tag = stack[k][0]
+            if tag not in INLINE:
+                end_run()
+            places[tag].pop()
+            stack.pop()
+            return
         gone = [tag for tag, _, _ in stack[k:]]
-        if any(tag not in INLINE for tag in gone):
+        if not INLINE.issuperset(gone):
             end_run()
         for tag in gone:
             places[tag].pop()
@@ -92,23 +94,38 @@ def parse(page: str) -> Tree:
 
     def find(tags, stop) -> int:
         """The innermost open element with one of the tags, if none of ``stop`` is within it; else 0."""
-        last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=0)
-        k = last(tags)
-        return k if k > last(stop) else 0
+        k = 0
+        for x in tags:
+            if (at := places.get(x)) and at[-1] > k:
+                k = at[-1]
+        if k:
+            for x in stop:
+                if (at := places.get(x)) and at[-1] > k:
+                    return 0
+        return k
+
+    def next_end(tag: str, at: int) -> int:
+        if ends.get(tag, -1) < at:
+            found = _ENDS[tag].search(page, at)
+            ends[tag] = found.start() if found else len(page)
+        return ends[tag]
 
     def push(tag: str, node: int, depth: int) -> None:
-        places.setdefault(tag, []).append(len(stack))
+        if tag in places:
+            places[tag].append(len(stack))
+        else:
+            places[tag] = [len(stack)]
         stack.append((tag, node, depth))
 
     last_end, closed = page.rfind(">"), True  # no tag ends after it; whether all quotes so far were closed
-    lower, last_ends = None, {}
+    ends: dict[str, int] = {}  # where an element's next end tag is, for those that were sought
     at = 0
     while True:
         begin = page.find("<", at)
         if begin < 0 or begin > last_end:
             text(page[at:])
             break
-        if page.startswith(("<!", "<?"), begin):
+        if page[begin + 1 : begin + 2] in ("!", "?"):
             text(page[at:begin])
             if page.startswith("<!--", begin):
                 over = _COMMENT_END.search(page, begin + 4)
@@ -136,22 +153,20 @@ def parse(page: str) -> Tree:
         if token[1]:
             if tag == "br":
                 text(" ")
-            elif k := find((tag,), () if tag not in INLINE else ("table", "td")):
+            elif stack[-1][0] == tag:
+                close(len(stack) - 1)
+            elif places.get(tag) and (k := find((tag,), () if tag not in INLINE else ("table", "td"))):
                 close(k)
             continue
         if tag in RAW:
-            if lower is None:
-                lower = _lower(page)
-            end = lower.find(f"</{tag}", at)
-            while end >= 0 and lower[end + 2 + len(tag) : end + 3 + len(tag)].isalnum():
-                end = lower.find(f"</{tag}", end + 2)
-            over = page.find(">", end) if end >= 0 else -1
+            end = next_end(tag, at)
+            over = page.find(">", end) if end < len(page) else -1
             at = over + 1 if over >= 0 else at if token[3].rstrip().endswith("/") else len(page)
             continue
         if tag == "br" or tag == "img":
             text(" ")
             continue
-        if tag in CLOSES_P and (k := find(("p",), ("button", "table", "td"))):
+        if places.get("p") and tag in CLOSES_P and (k := find(("p",), ("button", "table", "td"))):
             close(k)
         if tag in _CLOSES and (k := find(*_CLOSES[tag])):
             close(k)
@@ -164,10 +179,7 @@ def parse(page: str) -> Tree:
         if tag in VOID:
             continue
         if tag in ENCLOSING:
-            if tag not in last_ends:
-                lower = _lower(page) if lower is None else lower
-                last_ends[tag] = lower.rfind(f"</{tag}")
-            if last_ends[tag] < at or token[3].rstrip().endswith("/"):
+            if next_end(tag, at) == len(page) or token[3].rstrip().endswith("/"):
                 continue
         attributes = token[3]
         hint = " ".join("".join(x) for x in _HINTS.findall(attributes)).lower() if attributes else ""
