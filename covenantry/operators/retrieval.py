@@ -4,18 +4,27 @@ Queries are a table; everything is an equi-join on terms or ids, so a batch of q
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B, RRF_K = 1.5, 0.75, 60
+TITLE_BOOST = 0.5
+QUERY_BLOCK = 4096
+# Weights of the lexical and the other ranking by a question's intent; they add up to 1 and are doubled.
+INTENT_WEIGHTS = {"payment": (0.7, 0.3), "contract_details": (0.7, 0.3), "amendment": (0.6, 0.4)}
 
 
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, chunk_id, score, rank of the best ``k`` of chunks (chunk_id, text) for queries (query_id, text).
+def bm25(chunks: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
+    """query_id, chunk_id, score, rank of the best ``k`` of chunks (chunk_id, text) for queries (query_id, text); without ``k`` all scores and no rank.
 
     Statistics cover all chunks; a query token counts as often as it occurs."""
     counted = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
@@ -29,7 +38,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = postings.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
-    return ranked(scored.filter("score > 0"), k)
+    return scored.filter("score > 0") if k is None else ranked(scored.filter("score > 0"), k)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
@@ -37,13 +46,46 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of vectors (chunk_id, v) for a bounded set of queries (query_id, v), by cosine; all rows are compared in one pass."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda a: F.sqrt(dot(a, a))
-    q = queries.select("query_id", F.col("v").alias("q"))
-    pairs = vectors.join(q, F.lit(True)).withColumn("score", F.round(dot(F.col("v"), F.col("q")) / (norm(F.col("v")) * norm(F.col("q"))), 6))
-    return ranked(pairs.filter("score > 0").select("query_id", "chunk_id", "score"), k)
+def cosine(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, chunk_id, score, rank of the best ``k`` of vectors (chunk_id, v) for a stated set of queries (query_id, v), by cosine.
+
+    Queries go over the vectors in blocks of a set number; each batch of vectors is one matrix product and
+    keeps its own best, so that few rows are shuffled. Null vectors and those of length 0 have no rows."""
+    ids = queries.filter("v IS NOT NULL").select("query_id").orderBy("query_id")
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {vectors.schema['chunk_id'].dataType.simpleString()}, score double"
+    parts, last, rows = [], None, vectors.filter("v IS NOT NULL").select("chunk_id", F.col("v").cast("array<double>").alias("v"))
+    while True:
+        asked = queries.filter("v IS NOT NULL") if last is None else queries.filter("v IS NOT NULL").filter(F.col("query_id") > last)
+        held = asked.orderBy("query_id").limit(block).select("query_id", F.col("v").cast("array<double>").alias("v")).collect()  # a block
+        if not held:
+            break
+        last = held[-1]["query_id"]
+        names, q = [r["query_id"] for r in held], np.array([r["v"] for r in held])
+        norms = np.linalg.norm(q, axis=1)
+        names, q = [x for x, n in zip(names, norms, strict=True) if n > 0], q[norms > 0] / norms[norms > 0][:, None]
+        if names:
+            parts.append(rows.mapInPandas(_best_of(names, q, k), schema))
+    if not parts:
+        return ids.select("query_id", F.lit(None).alias("chunk_id"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+    return ranked(reduce(DataFrame.unionByName, parts), k)
+
+
+def _best_of(names: list, q: np.ndarray, k: int):
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch) == 0:
+                continue
+            v = np.stack(batch["v"].to_numpy())
+            norms = np.linalg.norm(v, axis=1)
+            score = np.round(v[norms > 0] @ q.T / norms[norms > 0][:, None], 6)
+            ids = batch["chunk_id"].to_numpy()[norms > 0]
+            order = np.argsort(ids, kind="stable")
+            score, ids = score[order], ids[order]  # of equal scores the least id
+            best = np.argsort(-score, axis=0, kind="stable")[:k]
+            out = pd.DataFrame({"query_id": np.tile(np.array(names, dtype=object), (len(best), 1)).ravel(), "chunk_id": ids[best].ravel(), "score": np.take_along_axis(score, best, axis=0).ravel()})
+            yield out[out["score"] > 0]
+
+    return work
 
 
 def fuse(rankings: list[tuple[DataFrame, float]], k: int) -> DataFrame:
@@ -55,8 +97,79 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int) -> DataFrame:
     return ranked(whole.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), k)
 
 
-def overlap(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def overlap(chunks: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     """query_id, chunk_id, score, rank by the share of a query's different tokens that a chunk has: a plain stand-in for a reranker."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), F.size(F.array_distinct(tokens(F.col("text")))).alias("of"))
     held = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return ranked(asked.join(held, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("of"), 6).alias("score")), k)
+    scored = asked.join(held, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("of"), 6).alias("score"))
+    return scored if k is None else ranked(scored, k)
+
+
+def exact_tokens(text: Column) -> Column:
+    """Tokens with hyphens, points and dollar signs within, as an index of contract language has them."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"\b[a-zA-Z0-9_\-.$]+\b"), F.lit(0))
+
+
+def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, chunk_id, score of chunks (chunk_id, text, title) for queries (query_id, text): BM25 of the text, and 0.5 for each of the
+    query's tokens, as often as it occurs, that the title has. A chunk whose title alone is hit has a row."""
+    lexical = bm25(chunks.select("chunk_id", "text"), queries, None)
+    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    titled = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.coalesce("title", F.lit(""))))).alias("term"))
+    boost = asked.join(titled, "term").groupBy("query_id", "chunk_id").agg((F.sum("times") * TITLE_BOOST).alias("score"))
+    return lexical.unionByName(boost).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def within(scored: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``scored`` with only chunks (chunk_id, document_id) of the documents that a query is bound to (query_id, document_id); a query bound to none keeps all. To be used before ranking."""
+    bound = allowed.select("query_id").distinct()
+    free = scored.join(bound, "query_id", "left_anti")
+    held = scored.join(bound, "query_id", "left_semi").join(chunks.select("chunk_id", "document_id"), "chunk_id").join(allowed.select("query_id", "document_id").distinct(), ["query_id", "document_id"])
+    return free.unionByName(held.select("query_id", "chunk_id", "score"))
+
+
+def adaptive(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int, pool: int = 50) -> DataFrame:
+    """query_id, chunk_id, score, rank of chunks (chunk_id, document_id, text, title) for questions (query_id, intent, expanded): two rankings of the expanded question, each within the documents asked for, fused by weights of its intent.
+
+    The second ranking is the share of the question's tokens (``overlap``); a table of ``lsa`` can stand in its place."""
+    asked = questions.select("query_id", F.col("expanded").alias("text"))
+    first = ranked(within(scores(chunks, asked).filter("score > 0"), chunks, allowed), pool)
+    second = ranked(within(overlap(chunks, asked, None), chunks, allowed), pool)
+    weight = lambda side: reduce(lambda out, x: F.when(F.col("intent") == x[0], 2.0 * x[1][side]).otherwise(out), INTENT_WEIGHTS.items(), F.lit(1.0))
+    weights = questions.select("query_id", weight(0).alias("w0"), weight(1).alias("w1"))
+    part = lambda df, w: df.join(weights, "query_id").select("query_id", "chunk_id", (F.col(w) / (RRF_K + F.col("rank"))).alias("part"))
+    whole = part(first, "w0").unionByName(part(second, "w1"))
+    return ranked(whole.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), k)
+
+
+def lsa(chunks: DataFrame, queries: DataFrame, k: int, dimensions: int = 30, features: int = 10_000) -> DataFrame:
+    """query_id, chunk_id, score, rank by cosine in a latent space: words and pairs of words by log counts and idf, a truncated SVD, unit length.
+
+    The decomposition is computed over the distributed rows; the driver holds features x dimensions numbers."""
+    from pyspark.ml.feature import IDF, CountVectorizer, NGram, StopWordsRemover
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.mllib.linalg import Vectors
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    both = chunks.select(F.lit(0).alias("side"), F.col("chunk_id").cast("string").alias("id"), "text").unionByName(queries.select(F.lit(1).alias("side"), F.col("query_id").cast("string").alias("id"), "text"))
+    words = StopWordsRemover(inputCol="w", outputCol="one").transform(both.withColumn("w", F.filter(tokens(F.coalesce("text", F.lit(""))), lambda x: F.length(x) > 1)))
+    words = NGram(n=2, inputCol="one", outputCol="two").transform(words).withColumn("terms", F.concat("one", "two"))
+    own = words.filter("side = 0").cache()
+    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features).fit(own)
+    damped = F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
+    weigh = lambda df: counter.transform(df).select("side", "id", array_to_vector(damped).alias("tf"))
+    idf = IDF(inputCol="tf", outputCol="x").fit(weigh(own))
+    held = idf.transform(weigh(words)).select("side", "id", "x")
+    rows = held.filter("side = 0").select("x").rdd.map(lambda r: Vectors.fromML(r["x"]))
+    n = min(dimensions, len(counter.vocabulary), own.count())
+    space = RowMatrix(rows).computeSVD(n, computeU=False).V.toArray()
+    own.unpersist()
+
+    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            v = np.stack(batch["x"].to_numpy()) @ space if len(batch) else np.zeros((0, space.shape[1]))
+            yield pd.DataFrame({"side": batch["side"], "id": batch["id"], "v": list(v)})
+
+    latent = held.select("side", "id", vector_to_array("x").alias("x")).mapInPandas(project, "side int, id string, v array<double>")
+    found = cosine(latent.filter("side = 0").select(F.col("id").alias("chunk_id"), "v"), latent.filter("side = 1").select(F.col("id").alias("query_id"), "v"), k)
+    return found.select(F.col("query_id").cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("chunk_id").cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "score", "rank")
