@@ -36,7 +36,7 @@ def extract_facts(blocks: DataFrame) -> DataFrame:
     text, at = F.col("text"), F.struct("page_number", "reading_order")
     ranked = reversed(list(enumerate(P.CONTRACT_TYPES, 1)))
     kind = reduce(lambda out, x: F.when(text.rlike("(?i)" + x[1][1]), x[0]).otherwise(out), ranked, F.lit(None).cast("int"))
-    law = F.when(text.rlike("(?i)" + P.GOVERNING_LAW), F.trim(F.regexp_extract(text, "(?i)" + P.GOVERNING_LAW, 2)))
+    law = F.when(F.lower(text).contains("governed"), F.nullif(F.trim(F.regexp_extract(text, "(?i)" + P.GOVERNING_LAW, 2)), F.lit("")))
     found = {
         "kind": F.when((F.col("page_number") == 1) & (F.col("reading_order") < 6), kind),
         "effective_date": F.when((F.col("page_number") <= 2) & text.rlike("(?i)" + P.EFFECTIVE_CUE), _date(text)),

@@ -46,36 +46,47 @@ def anchor_event(raw: Column) -> Column:
 
 
 def temporal(sentence: Column) -> Column:
-    """struct<type, offset_days, anchor_event, date>: conditional before recurring, ongoing, fixed date, offset, net; no date is made up."""
+    """struct<type, offset_days, anchor_event, date>: conditional before recurring, ongoing, fixed date, offset, net; no date is made up.
 
-    def simple(text: Column) -> dict[str, Column]:
+    Each pattern is sought once, where a word of it stands; the timing is that of what a condition bears on, if there is one."""
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    has = lambda text, *words: reduce(lambda a, b: a | b, (text.contains(w) for w in words))
+
+    def of_offset(m: Column) -> Column:
+        group = lambda k: F.regexp_extract(m, "(?i)" + P.OFFSET, k)
+        return F.struct(days_of(group(2), group(4)).alias("number"), F.lower(group(6)).alias("unit"), anchor_event(group(8)).alias("anchor"))
+
+    def timed(text: Column) -> Column:
         low = F.lower(text)
-        offset = F.regexp_extract(text, "(?i)" + P.OFFSET, 0) != ""
-        group = lambda k: F.regexp_extract(text, "(?i)" + P.OFFSET, k)
-        number, unit, anchor = days_of(group(2), group(4)), F.lower(group(6)), anchor_event(group(8))
-        days = F.when(unit == "days", number).when(unit == "months", number * 30)
-        relative = anchor.rlike("breach|default|termination|change|notice|audit|request|discover|occurrence")
+        said = F.when(has(low, "within", "later than", "at least", "prior to"), F.nullif(F.regexp_extract(text, "(?i)" + P.OFFSET, 0), F.lit("")))
+        net = F.when(low.contains("net"), F.regexp_extract(low, P.NET, 1).try_cast("int"))
         month = F.array_position(F.array(*(F.lit(m) for m in P.MONTHS)), F.regexp_extract(low, P.FIXED_DATE, 1))
         date = F.format_string("%04d-%02d-%02d", F.regexp_extract(low, P.FIXED_DATE, 3).cast("int"), month.cast("int"), F.regexp_extract(low, P.FIXED_DATE, 2).cast("int"))
-        recurring, ongoing, fixed, net = low.rlike(P.RECURRING) & low.rlike(P.RECURRING_NOUNS), low.rlike(P.ONGOING), low.rlike(P.FIXED_DATE), low.rlike(P.NET)
-        choose = lambda a, b, c, d, e: F.when(recurring, a).when(ongoing, b).when(fixed, c).when(offset, d).when(net, e)
-        none, text_none = F.lit(None).cast("int"), F.lit(None).cast("string")
-        return {
-            "type": choose(F.lit("recurring"), F.lit("ongoing"), F.lit("fixed_date"), F.when(relative, "event_relative").otherwise("relative_offset"), F.lit("relative_offset")).otherwise("unspecified"),
-            "offset_days": choose(none, none, none, days, F.regexp_extract(low, P.NET, 1).try_cast("int")),
-            "anchor_event": choose(text_none, F.lit("contract_term"), text_none, anchor, F.lit("invoice_date")),
-            "date": choose(text_none, text_none, date, text_none, text_none),
-        }
-
-    remainder = F.regexp_extract(sentence, "(?i)" + P.CONDITION, 3)
-    conditional = (remainder != "") & F.lower(sentence).rlike("shall|must|agrees to|within")
-    whole, rest = simple(sentence), simple(remainder)
-    return F.struct(
-        F.when(conditional, "conditional").otherwise(whole["type"]).alias("type"),
-        F.when(conditional, rest["offset_days"]).otherwise(whole["offset_days"]).alias("offset_days"),
-        F.when(conditional, F.concat(F.lit("condition_"), F.substring(F.regexp_extract(sentence, "(?i)" + P.CONDITION, 2), 1, 30))).otherwise(whole["anchor_event"]).alias("anchor_event"),
-        F.when(~conditional, whole["date"]).alias("date"),
-    )
+        recurring, ongoing, fixed = low.rlike(P.RECURRING) & low.rlike(P.RECURRING_NOUNS), low.rlike(P.ONGOING), low.rlike(P.FIXED_DATE)
+        none, blank = F.lit(None).cast("int"), F.lit(None).cast("string")
+        row = lambda kind, days, anchor, day: F.struct(kind.alias("type"), days.alias("offset_days"), anchor.alias("anchor_event"), day.alias("date"))
+
+        def with_offset(o: Column) -> Column:
+            relative = o["anchor"].rlike("breach|default|termination|change|notice|audit|request|discover|occurrence")
+            days = F.when(o["unit"] == "days", o["number"]).when(o["unit"] == "months", o["number"] * 30)
+            return row(F.when(relative, "event_relative").otherwise("relative_offset"), days, o["anchor"], blank)
+
+        found = F.when(recurring, row(F.lit("recurring"), none, blank, blank)).when(ongoing, row(F.lit("ongoing"), none, F.lit("contract_term"), blank)).when(fixed, row(F.lit("fixed_date"), none, blank, date))
+        found = found.when(said.isNotNull(), once(once(said, of_offset), with_offset)).when(net.isNotNull(), row(F.lit("relative_offset"), net, F.lit("invoice_date"), blank))
+        return found.otherwise(row(F.lit("unspecified"), none, blank, blank))
+
+    low = F.lower(sentence)
+    remainder = F.when(has(low, "if", "in the event", "upon the occurrence of") & low.rlike("shall|must|agrees to|within"), F.nullif(F.regexp_extract(sentence, "(?i)" + P.CONDITION, 3), F.lit("")))
+
+    def whole(rest: Column) -> Column:
+        conditional = rest.isNotNull()
+        condition = F.concat(F.lit("condition_"), F.substring(F.regexp_extract(sentence, "(?i)" + P.CONDITION, 2), 1, 30))
+        return once(timed(F.coalesce(rest, sentence)), lambda t: F.struct(
+            F.when(conditional, "conditional").otherwise(t["type"]).alias("type"), t["offset_days"].alias("offset_days"),
+            F.when(conditional, condition).otherwise(t["anchor_event"]).alias("anchor_event"), F.when(~conditional, t["date"]).alias("date"),
+        ))
+
+    return once(remainder, whole)
 
 
 def deadline(anchor: Column, offset_days: Column, offset_months: Column) -> Column:

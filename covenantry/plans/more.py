@@ -123,9 +123,9 @@ def streamed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of a backfill come in no order, so the watermark waits longer than the table lasts."""
+    """A backfill is one batch, whatever the order of its files; rows that arrive later may be a day late."""
     schema, work = contracts.table(spark, sf_dir, "events").schema, shared_folder(spark, "streamed-windows")
-    found = streams.stream_windows(spark, _arriving(sf_dir, "events"), schema, work + "/out", work + "/log", "1 hour", "36500 days")
+    found = streams.stream_windows(spark, _arriving(sf_dir, "events"), schema, work + "/out", work + "/log", "1 hour", "1 day")
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 

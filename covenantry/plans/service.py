@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import answers, clauses, facts, intake, obligations, registry, retrieval, roles
+from ..operators import answers, clauses, facts, ingest, intake, lifecycle, obligations, portfolio, registry, retrieval, roles
 from ..sources import contracts
+from ..sources.shared import stored
 from . import more
 from . import queries as base
 
@@ -95,7 +96,11 @@ def contract_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def portfolio_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.totals(contract_summaries(spark, sf_dir), more.lifecycle_events(spark, sf_dir), base.risk_scores(spark, sf_dir))
+    blocks = contracts.contract_blocks(spark, sf_dir)
+    found, held = stored(facts.extract_facts(blocks), "facts"), stored(obligations.extract_obligations(blocks), "obligations")  # each is read three times
+    events = lifecycle.lifecycle_events(found, facts.expiration_dates(ingest.with_sections(blocks)), facts.amendment_facts(blocks), held)
+    scores = portfolio.risk_scores(found, portfolio.risk_signals(found, held))
+    return registry.totals(registry.summaries(blocks, found, held), events, scores)
 
 
 def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,8 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
         df.coalesce(1).write.mode("append").parquet(folder)
         found = streams.stream_windows(spark, folder, df.schema, out, log, "1 hour", "1 day")
     assert sorted((r.event_type, r.n_events, r.max_value) for r in found.collect()) == [("a", 3, 3.0), ("b", 1, None)]
+    for rows in ([(5, D(2024, 1, 9, 0, 0), "b", 1.0)], [(6, D(2024, 1, 1, 0, 40), "a", 9.0), (7, D(2024, 1, 8, 23, 10), "a", 4.0)]):  # the sixth is over a week late
+        df = made(rows)
+        df.coalesce(1).write.mode("append").parquet(folder)
+        found = streams.stream_windows(spark, folder, df.schema, out, log, "1 hour", "1 day")
+    assert sorted((str((r.event_type, r.n_events, r.max_value)) for r in found.collect())) == ["('a', 1, 4.0)", "('a', 3, 3.0)", "('b', 1, 1.0)", "('b', 1, None)"]
