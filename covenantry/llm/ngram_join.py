@@ -370,3 +370,18 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
         found = again.dropDuplicates(["id", "node", "check", "raw"]).join(several.select("id", "node", "check"), ["id", "node", "check"], "left_semi")
         out = out.unionByName(unboxed(found))
     return out.unionByName(docs.filter("doc_id IS NULL"))
+
+
+def oracle_sql() -> str:
+    """The rows of ``similar_classes`` over ``documents`` in DuckDB SQL: all pairs of different texts that share a shingle, without banding."""
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT doc_id, w, array_to_string(w, ' ') AS key FROM d WHERE len(w) > 0), t AS (SELECT key, min(doc_id) AS rep, count(*) AS n, any_value(w) AS w FROM k GROUP BY 1),
+s AS (SELECT DISTINCT rep, unnest(CASE WHEN len(w) < {WORDS} THEN [key] ELSE list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i:i + {WORDS - 1}], ' ')) END) AS g FROM t),
+z AS (SELECT rep, count(*) AS n FROM s GROUP BY 1), j AS (SELECT a.rep AS a, b.rep AS b, count(*) AS both_n FROM s a JOIN s b ON a.g = b.g AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT a, b FROM j JOIN z x ON x.rep = a JOIN z y ON y.rep = b WHERE both_n >= {THRESHOLD} * (x.n + y.n - both_n) - 1e-6),
+c(node, root) AS (SELECT rep, rep FROM t UNION SELECT e.b, c.root FROM c JOIN e ON e.a = c.node),
+r AS (SELECT node, min(root) AS class_id FROM c GROUP BY 1), l AS (SELECT a, count(*) AS n_links FROM e GROUP BY 1)
+SELECT k.doc_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links, t.n - 1 AS n_copies FROM k JOIN t USING (key) JOIN r ON r.node = t.rep LEFT JOIN l ON l.a = t.rep
+UNION ALL SELECT doc_id, doc_id, 0, 0 FROM d WHERE len(w) = 0 UNION ALL SELECT NULL, NULL, 0, 0 FROM documents WHERE doc_id IS NULL
+"""

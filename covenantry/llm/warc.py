@@ -344,3 +344,15 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write all of ``pages`` to archives in the session's shared folder and read them back."""
     return read_warc(write_warc(pages, shared_dir(pages.sparkSession, "warc")))
+
+
+def oracle_sql() -> str:
+    """The rows of ``archive_round_trip`` over ``pages`` in DuckDB SQL; a digest's base32 letters are groups of five of its bits."""
+    nibble = lambda k: f"(instr('0123456789abcdef', (hex || '000')[5 * i // 4 + {k}]) - 1)"
+    value = f"(({nibble(1)} * 256 + {nibble(2)} * 16 + {nibble(3)}) // (1 << (7 - 5 * i % 4)::INT)) % 32"
+    return f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages), h AS (SELECT page_id, url, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS hex FROM p),
+d AS (SELECT *, array_to_string(list_transform(range(32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[({value}) + 1]), '') AS payload_digest, max(page_id) OVER (PARTITION BY hex) AS response FROM h)
+SELECT page_id, nullif(url, '') AS url, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to, '<urn:page:' || coalesce(page_id::VARCHAR, '') || '>' AS record_id FROM d
+"""
