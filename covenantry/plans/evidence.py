@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..operators import answers, citing, measuring, retrieval
+from ..operators import citing, measuring, retrieval
 from ..sources import contracts
 from ..sources.shared import stored
 from . import more
