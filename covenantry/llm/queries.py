@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.oracle_sql(), "op3_quality": quality.oracle_sql(), "op7_decontamination": decontam.oracle_sql(), "op9_ngram_join": ngram_join.oracle_sql()}
+    return {"op1_warc": warc.oracle_sql(), "op3_quality": quality.oracle_sql(), "op7_decontamination": decontam.oracle_sql(), "op9_ngram_join": ngram_join.oracle_sql(), "op10_chat": quotes.oracle_sql()}

@@ -160,3 +160,31 @@ def format_chat(messages: DataFrame) -> DataFrame:
 def conversations(messages: DataFrame) -> DataFrame:
     """The rows of ``format_chat`` in the order of conversations, each in reply order."""
     return format_chat(messages).orderBy("conv_id", "thread", "place", "turn", "role", "text")
+
+
+def oracle_sql() -> str:
+    """The rows of ``conversations`` in DuckDB SQL; threads are followed by recursion, and places are by the path of turns."""
+    attribution = _ATTRIBUTION.replace("(?iu)", "(?i)")
+    normal = lambda x: f"trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
+    units = lambda x: (
+        f"list_distinct(list_filter(list_transform(list_concat(string_split({x}, chr(10)), string_split(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '([.!?]) ', '\\1' || chr(30), 'g'), chr(30))), lambda u: {normal('u')}), lambda u: u <> ''))"
+    )
+    safe = lambda x: f"replace({x}, '{OPEN}', '< |')"
+    return f"""
+WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role::VARCHAR, 'unknown') AS role, regexp_split_to_array(coalesce(text, ''), '\\r?\\n') AS raw FROM conversations),
+l AS (SELECT conv_id, turn, role, list_transform(raw, lambda x: {{'level': length(regexp_extract(x, '{_MARKS}', 0)) - length(replace(regexp_extract(x, '{_MARKS}', 0), '>', '')),
+    'line': CASE WHEN regexp_extract(x, '{_MARKS}', 0) <> '' THEN trim(substr(x, length(regexp_extract(x, '{_MARKS}', 0)) + 1)) ELSE x END}}) AS ls FROM m),
+o AS (SELECT *, regexp_replace(trim(array_to_string(list_transform(list_filter(ls, lambda x, i: x.level = 0 AND NOT (regexp_matches(x.line, '{_COLON}') AND regexp_matches(x.line, '{attribution}') AND i < len(ls) AND coalesce(ls[i + 1].level, 0) > 0)), lambda x: x.line), chr(10))), '^\\s+|\\s+$', '', 'g') AS own FROM l),
+k AS (SELECT * FROM o WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+v AS (SELECT conv_id, turn, ls, unnest(list_distinct(list_transform(list_filter(ls, lambda x: x.level > 0), lambda x: x.level))) AS level FROM k),
+p AS (SELECT conv_id, turn, level, array_to_string(list_transform(list_filter(ls, lambda x: x.level = level), lambda x: x.line), chr(10)) AS said FROM v),
+q AS (SELECT DISTINCT conv_id, turn, level, unnest({units("said")}) AS unit FROM p), h AS (SELECT conv_id, turn, unnest({units("own")}) AS unit FROM k), f AS (SELECT conv_id, unit, min(turn) AS original FROM h GROUP BY 1, 2),
+w AS (SELECT conv_id, turn, level, original, sum(length(unit)) AS size FROM q JOIN f USING (conv_id, unit) WHERE original < turn GROUP BY 1, 2, 3, 4),
+r AS (SELECT conv_id, turn, original AS reply_to FROM w QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, size DESC, original DESC) = 1),
+t(conv_id, turn, thread, depth, path) AS (SELECT DISTINCT conv_id, reply_to, reply_to, 0, [reply_to] FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.conv_id = x.conv_id AND y.turn = x.reply_to)
+  UNION ALL SELECT r.conv_id, r.turn, t.thread, t.depth + 1, list_append(t.path, r.turn) FROM t JOIN r ON r.conv_id = t.conv_id AND r.reply_to = t.turn),
+s AS (SELECT conv_id, turn, thread, depth, row_number() OVER (PARTITION BY conv_id, thread ORDER BY path) - 1 AS place FROM t)
+SELECT o.conv_id, o.turn, role, own AS text, len(list_filter(ls, lambda x: x.level > 0))::BIGINT AS n_quoted_lines, reply_to, coalesce(thread, o.turn) AS thread, coalesce(depth, 0)::BIGINT AS depth, coalesce(place, 0)::BIGINT AS place,
+  '{OPEN}' || {safe("role")} || '{CLOSE}' || chr(10) || {safe("own")} || chr(10) || '{END}' || chr(10) AS formatted
+FROM o LEFT JOIN r ON r.conv_id = o.conv_id AND r.turn = o.turn LEFT JOIN s ON s.conv_id = o.conv_id AND s.turn = o.turn
+"""

@@ -4,6 +4,7 @@ import random
 import re
 
 from covenantry.llm import quotes
+from tests.oracle import compare
 
 SCHEMA = "conv_id long, turn long, role string, text string, thread string, hash long"
 
@@ -103,7 +104,7 @@ def brute(rows):
     return out
 
 
-def test_made_threads_against_brute_force(spark):
+def made_threads():
     draw = random.Random(9)
     rows = []
     for conv in range(25):
@@ -119,6 +120,11 @@ def test_made_threads_against_brute_force(spark):
                     quoted += "> > " + draw.choice(said) + "\n"
             said.append(own)
             rows.append((conv, turn * 3, "user", quoted + own))
+    return rows
+
+
+def test_made_threads_against_brute_force(spark):
+    rows = made_threads()
     got = run(spark, rows)
     want = brute(rows)
     assert {k: (r.text, r.reply_to, r.thread, r.depth, r.place) for k, r in got.items()} == want
@@ -129,3 +135,9 @@ def test_conversations_come_depth_first(spark):
     rows = [(1, 0, "u", "first one"), (1, 1, "u", "> first one\nanswer a"), (1, 2, "u", "> first one\nanswer b"), (1, 3, "u", "> answer a\nanswer c"), (1, 4, "u", "apart"), (1, 5, "u", "> answer b\nanswer d")]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], SCHEMA)
     assert [r.turn for r in quotes.conversations(df).collect()] == [0, 1, 3, 2, 5, 4]
+
+
+def test_made_threads_match_the_sql(spark, tmp_path):
+    df = spark.createDataFrame([(*r, "clash", 1) for r in made_threads()] + [(1, 99, None, None, "clash", 1), (None, 1, "u", "> x", "clash", 1)], SCHEMA)
+    df.toPandas().astype({"conv_id": "Int64"}).to_parquet(tmp_path / "conversations.parquet")
+    compare(spark, str(tmp_path), lambda s, d: quotes.conversations(df), quotes.oracle_sql())
