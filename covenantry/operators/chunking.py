@@ -89,6 +89,28 @@ def section_chunks(docs: DataFrame) -> DataFrame:
     return _chunks(docs, _section_udf(F.transform("blocks", lambda x: F.length(x)), marks, F.transform("blocks", lambda x: section_number(x))))
 
 
+def described_chunks(docs: DataFrame) -> DataFrame:
+    """chunk_id, document_id, chunk, chunk_type, section_number, first_block, last_block, n_chars of chunks that respect sections.
+
+    A chunk with an exhibit's mark is EXHIBIT, else one that lies in a numbered section SECTION, else PARAGRAPH_GROUP. Its section
+    is the first one that it has, be it carried over from before. Its first block is its evidence."""
+    held = docs.select(F.col("doc_id").alias("document_id"), F.col("text"), blocks_of(F.col("text")).alias("blocks"))
+    rows = held.select("document_id", F.transform("blocks", block_type).alias("types"), F.transform("blocks", section_number).alias("own"), F.transform("blocks", lambda x: F.length(x)).alias("sizes"))
+    marks = F.transform("types", lambda k: k.isin("heading", "exhibit_marker"))
+    rows = rows.select("document_id", "types", "own", "sizes", F.posexplode(_section_udf(F.col("sizes"), marks, F.col("own"))).alias("chunk", "span"))
+    first, n = F.col("span.first"), F.col("span.n")
+    there = lambda c: F.slice(c, first, n)
+    known = lambda c: F.filter(c, lambda x: x.isNotNull())
+    carried = F.get(F.reverse(known(F.slice("own", F.lit(1), first))), F.lit(0))
+    section = F.coalesce(carried, F.get(known(there("own")), F.lit(0)))
+    kind = F.when(F.array_contains(there("types"), "exhibit_marker"), "EXHIBIT").when(section.isNotNull(), "SECTION").otherwise("PARAGRAPH_GROUP")
+    size = F.aggregate(there("sizes"), F.lit(0), lambda a, x: a + x) + 2 * (n - 1)
+    return rows.select(
+        F.concat(F.lit("chk_sec_"), F.col("document_id").cast("string"), F.lit("_"), F.when(F.col("chunk") < 1000, F.lpad(F.col("chunk").cast("string"), 3, "0")).otherwise(F.col("chunk").cast("string"))).alias("chunk_id"),
+        "document_id", "chunk", kind.alias("chunk_type"), section.alias("section_number"), first.alias("first_block"), (first + n - 1).alias("last_block"), size.alias("n_chars"),
+    )
+
+
 def chunk_statistics(chunks: DataFrame) -> DataFrame:
     """n_chunks and mean, median, least, greatest and standard deviation of their characters, to one decimal."""
     n = F.col("n_chars")

@@ -62,6 +62,10 @@ def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_chunks(contracts.table(spark, sf_dir, "documents"))
 
 
+def described_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.described_chunks(contracts.table(spark, sf_dir, "documents"))
+
+
 def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_statistics(section_chunks(spark, sf_dir))
 
@@ -131,7 +135,7 @@ def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        expiration_dates, amendment_facts, lifecycle_events, milestones, window_chunks, section_chunks, chunk_statistics, reference_status, claim_status, turn_intents, fused_top,
+        expiration_dates, amendment_facts, lifecycle_events, milestones, window_chunks, section_chunks, described_chunks, chunk_statistics, reference_status, claim_status, turn_intents, fused_top,
         cosine_evaluation, party_comparison, graph_nodes, graph_check, streamed_blocks, streamed_windows,
     )
     return {f.__name__: f for f in found}

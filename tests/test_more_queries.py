@@ -65,6 +65,19 @@ def test_chunks_match_brute_force(spark):
         assert got == {d: w[k] for d, w in want.items() if w[k]}
 
 
+def test_described_chunks(spark):
+    long = "word " * 40
+    rows = [(1, f"intro {long}\nSECTION 1. Terms\n{long}\nplain\nSECTION 2. More\n{long}\nEXHIBIT A\n{long}"), (2, "short\nlines"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunking.described_chunks(docs).orderBy("document_id", "chunk").collect()
+    assert [(r.chunk_id, r.chunk_type, r.section_number, r.first_block, r.last_block) for r in got] == [
+        ("chk_sec_1_000", "PARAGRAPH_GROUP", None, 1, 1), ("chk_sec_1_001", "SECTION", "1", 2, 4), ("chk_sec_1_002", "SECTION", "2", 5, 6), ("chk_sec_1_003", "EXHIBIT", "2", 7, 8),
+        ("chk_sec_2_000", "PARAGRAPH_GROUP", None, 1, 2),
+    ]
+    plain = {(r.document_id, r.chunk): (r.first_block, r.first_block + r.n_blocks - 1, r.n_chars) for r in chunking.section_chunks(docs).collect()}
+    assert {(r.document_id, r.chunk): (r.first_block, r.last_block, r.n_chars) for r in got} == plain
+
+
 def test_claims(spark):
     claims = [(1, "It shall renew."), (2, "Pay within 60 days."), (3, "Supplier may deliver goods."), (4, "Supplier delivers goods."), (5, "None cited."), (6, "Missing."), (7, "to it"), (8, None)]
     spans = [("a", "There is no automatic renewal."), ("b", "Pay within 30 days."), ("c", "Supplier shall deliver goods."), ("d", None)]
