@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, langid, ngram_join, packing, pii, quality, quotes, secret_scan, token_files, warc
+from . import centroids, decontam, html_text, langid, ngram_join, packing, pii, quality, quotes, secret_scan, token_files, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +59,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_warc, op2_packing, op3_quality, op4_language, op5_html, op6_token_files, op7_decontamination, op8_pii, op9_ngram_join, op10_chat,
-        op12_secrets,
+        op11_centroids, op12_secrets, op13_vector_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -78,5 +86,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontamination": decontam.oracle_sql(),
         "op9_ngram_join": ngram_join.oracle_sql(),
         "op10_chat": quotes.oracle_sql(),
+        "op11_centroids": centroids.oracle_sql(),
         "op12_secrets": secret_scan.oracle_sql(),
+        "op13_vector_codes": vector_codes.oracle_sql(),
     }
