@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .numbering import running_sum
+
 
 def folded(text: Column) -> Column:
     """Lower case, white space (also no-break space) as one space."""
@@ -83,10 +85,9 @@ def containment(chunks: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def nearest_rank(values: DataFrame, column: str, share: float) -> DataFrame:
-    """p: the value at place int(n * share) of the sorted ones, from 0; null of none. Values are counted first, so that one task sorts the different ones alone."""
+    """p: the value at place int(n * share) of the sorted ones, from 0; null of none. Values are counted first, then the counts are added up by ranges."""
     counted = values.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n")).filter("v IS NOT NULL")
     total = counted.agg(F.sum("n").alias("all"))
-    place = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    rows = counted.withColumn("upto", place).join(F.broadcast(total))
+    rows = running_sum(counted, "v", of="n", name="upto").join(F.broadcast(total))  # one row
     at = F.least(F.floor(F.col("all") * share), F.col("all") - 1)
     return rows.filter(F.col("upto") > at).agg(F.min("v").alias("p"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from .facts import _date
 from .ingest import block_type
+from .numbering import numbered
 
 # Number words of days, cues and patterns of fields, how sure each is, and why one is missing.
 DAY_WORDS = {"thirty": 30, "forty-five": 45, "sixty": 60, "ninety": 90, "fifteen": 15, "ten": 10}
@@ -162,16 +163,15 @@ def corpus_listing(files: DataFrame, most: int | None = None) -> DataFrame:
     pdf = files.filter(F.col("filename").endswith(".pdf"))
     chosen = pdf.agg(F.coalesce(F.max(F.when(F.col("folder") == "uploads", "uploads")), F.lit("raw")).alias("folder"))
     rows = pdf.join(F.broadcast(chosen), "folder")  # one row
-    numbered = rows.select("filename", F.row_number().over(Window.orderBy("filename")).alias("n"))  # names of files, not their texts
-    listed = numbered if most is None else numbered.filter(F.col("n") <= most)
+    named = numbered(rows.select("filename"), "filename")
+    listed = named if most is None else named.filter(F.col("n") <= most)
     return listed.select("filename", F.format_string("doc_%02d", "n").alias("document_id"))
 
 
 def next_ids(arriving: DataFrame, known: DataFrame) -> DataFrame:
     """filename, document_id of arriving files: the numbers after the greatest one known (doc_7), in order of names."""
     greatest = known.agg(F.coalesce(F.max(F.regexp_extract("document_id", r"^doc_(\d+)$", 1).try_cast("int")), F.lit(0)).alias("top"))
-    numbered = arriving.select("filename", F.row_number().over(Window.orderBy("filename")).alias("n"))
-    return numbered.join(F.broadcast(greatest)).select("filename", F.format_string("doc_%02d", F.col("n") + F.col("top")).alias("document_id"))
+    return numbered(arriving.select("filename"), "filename").join(F.broadcast(greatest)).select("filename", F.format_string("doc_%02d", F.col("n") + F.col("top")).alias("document_id"))
 
 
 def upsert(stored: DataFrame, saved: DataFrame, key: str) -> DataFrame:
@@ -188,5 +188,6 @@ def markdown(df: DataFrame, order: str) -> DataFrame:
     """n, line: a table as lines of Markdown, head first; ``order`` is a column that tells the rows apart."""
     cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("/")), F.lit(""))
     head = df.sparkSession.createDataFrame([(-1, "| " + " | ".join(df.columns) + " |"), (0, "|" + "---|" * len(df.columns))], "n int, line string")
-    body = df.select(F.row_number().over(Window.orderBy(order)).alias("n"), F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |")).alias("line"))
+    lines = df.select(F.col(order).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |")).alias("line"))
+    body = numbered(lines, "place").select(F.col("n").cast("int").alias("n"), "line")
     return head.unionByName(body)
