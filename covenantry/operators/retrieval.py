@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+from . import latent
+
 K1, B, RRF_K = 1.5, 0.75, 60
 TITLE_BOOST = 0.5
 QUERY_BLOCK = 4096
@@ -142,34 +145,16 @@ def adaptive(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int
     return ranked(whole.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), k)
 
 
-def lsa(chunks: DataFrame, queries: DataFrame, k: int, dimensions: int = 30, features: int = 10_000) -> DataFrame:
-    """query_id, chunk_id, score, rank by cosine in a latent space: words and pairs of words by log counts and idf, a truncated SVD, unit length.
-
-    The decomposition is computed over the distributed rows; the driver holds features x dimensions numbers."""
-    from pyspark.ml.feature import IDF, CountVectorizer, NGram, StopWordsRemover
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    both = chunks.select(F.lit(0).alias("side"), F.col("chunk_id").cast("string").alias("id"), "text").unionByName(queries.select(F.lit(1).alias("side"), F.col("query_id").cast("string").alias("id"), "text"))
-    words = StopWordsRemover(inputCol="w", outputCol="one").transform(both.withColumn("w", F.filter(tokens(F.coalesce("text", F.lit(""))), lambda x: F.length(x) > 1)))
-    words = NGram(n=2, inputCol="one", outputCol="two").transform(words).withColumn("terms", F.concat("one", "two"))
-    own = words.filter("side = 0").cache()
-    counter = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features).fit(own)
-    damped = F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))
-    weigh = lambda df: counter.transform(df).select("side", "id", array_to_vector(damped).alias("tf"))
-    idf = IDF(inputCol="tf", outputCol="x").fit(weigh(own))
-    held = idf.transform(weigh(words)).select("side", "id", "x")
-    rows = held.filter("side = 0").select("x").rdd.map(lambda r: Vectors.fromML(r["x"]))
-    n = min(dimensions, len(counter.vocabulary), own.count())
-    space = RowMatrix(rows).computeSVD(n, computeU=False).V.toArray()
-    own.unpersist()
-
-    def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            v = np.stack(batch["x"].to_numpy()) @ space if len(batch) else np.zeros((0, space.shape[1]))
-            yield pd.DataFrame({"side": batch["side"], "id": batch["id"], "v": list(v)})
+def lsa(chunks: DataFrame, queries: DataFrame, k: int, dimensions: int = 128, features: int = 10_000) -> DataFrame:
+    """query_id, chunk_id, score, rank of chunks (chunk_id, text) for a stated set of queries (query_id, text), by cosine in a latent space of the chunks (see ``latent``).
 
-    latent = held.select("side", "id", vector_to_array("x").alias("x")).mapInPandas(project, "side int, id string, v array<double>")
-    found = cosine(latent.filter("side = 0").select(F.col("id").alias("chunk_id"), "v"), latent.filter("side = 1").select(F.col("id").alias("query_id"), "v"), k)
-    return found.select(F.col("query_id").cast(queries.schema["query_id"].dataType).alias("query_id"), F.col("chunk_id").cast(chunks.schema["chunk_id"].dataType).alias("chunk_id"), "score", "rank")
+    The space covers all chunks. A query none of whose words the space knows, or a chunk without any, has no rows."""
+    made = lambda df, name: df.select(F.col(name).alias("id"), latent.terms(tokens(F.coalesce("text", F.lit("")))).alias("terms"))
+    known, n = latent.vocabulary(made(chunks, "chunk_id"), features)
+    held = stored(latent.sparse_rows(made(chunks, "chunk_id"), known), "sparse-rows")
+    if known:
+        basis = latent.space(held, len(known), n, dimensions)
+        asked, there = latent.project(latent.sparse_rows(made(queries, "query_id"), known), basis), latent.project(held, basis)
+    else:  # nothing to compare
+        asked, there = (df.select(F.col(c).alias("id"), F.array(F.lit(0.0)).alias("v")) for df, c in ((queries, "query_id"), (chunks, "chunk_id")))
+    return cosine(there.withColumnRenamed("id", "chunk_id"), asked.withColumnRenamed("id", "query_id"), k)

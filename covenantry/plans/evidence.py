@@ -50,6 +50,10 @@ def titled_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.ranked(retrieval.scores(_chunks(spark, sf_dir), asked).filter("score > 0"), base.TOP)
 
 
+def latent_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.lsa(*base._ranking_inputs(spark, sf_dir), base.TOP)
+
+
 def bound_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = _asked(spark, sf_dir).select("query_id", F.col("expanded").alias("text")), _chunks(spark, sf_dir)
     return retrieval.ranked(retrieval.within(retrieval.bm25(chunks, asked, None), chunks, _bound(spark, sf_dir)), base.TOP)
@@ -167,7 +171,7 @@ def slowest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        titled_top, bound_top, adaptive_top, resolved_chunks, evidence_spans, chunk_bundles, answer_prompts, parsed_answers, answer_citations, question_results, retrieval_metrics,
+        titled_top, latent_top, bound_top, adaptive_top, resolved_chunks, evidence_spans, chunk_bundles, answer_prompts, parsed_answers, answer_citations, question_results, retrieval_metrics,
         evidence_metrics, answer_metrics, phrase_containment, slowest_events,
     )
     return {f.__name__: f for f in found}
