@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Facts kept as rows, and the score from which a contract is a high risk.
+# Facts kept as rows, the score from which a contract is a high risk, and how many actors a distribution names.
 PREDICATES = ("contract_type", "effective_date", "renewal", "payment_days", "notice_days", "governing_law")
-HIGH_SCORE = 40
+HIGH_SCORE, TOP_ACTORS = 40, 5
 
 
 def summaries(blocks: DataFrame, facts: DataFrame, obligations: DataFrame) -> DataFrame:
@@ -51,3 +51,15 @@ def obligation_distribution(obligations: DataFrame) -> DataFrame:
     # a count for each document first, so that a frequent actor is summed before the shuffle on it
     each = obligations.groupBy("actor", "temporal_type", "document_id").agg(F.count(F.lit(1)).alias("n"))
     return each.groupBy("actor", "temporal_type").agg(F.sum("n").alias("n_obligations"), F.count(F.lit(1)).alias("n_documents"))
+
+
+def top_actors(obligations: DataFrame, k: int = TOP_ACTORS) -> DataFrame:
+    """temporal_type ("all" for all together), rank, actor, n_obligations of the ``k`` actors with the most obligations; of equally many the one seen first.
+
+    Counts are summed before the shuffle, and every task keeps its own best ``k`` of a type before the last one ranks those."""
+    seen = F.min(F.struct("document_id", "reading_order", "unit"))
+    each = obligations.groupBy("temporal_type", "actor").agg(F.count(F.lit(1)).alias("n"), seen.alias("seen"))
+    whole = each.groupBy("actor").agg(F.sum("n").alias("n"), F.min("seen").alias("seen")).select(F.lit("all").alias("temporal_type"), "actor", "n", "seen")
+    order = Window.partitionBy("temporal_type").orderBy(F.desc("n"), "seen", "actor")
+    ranked = each.unionByName(whole).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("temporal_type", "rank", "actor", F.col("n").alias("n_obligations"))

@@ -44,8 +44,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     return scored.filter("score > 0") if k is None else ranked(scored.filter("score > 0"), k)
 
 
-def ranked(scored: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+def ranked(scored: DataFrame, k: int, tie: str = "chunk_id") -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), tie)
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -131,8 +131,8 @@ def within(scored: DataFrame, chunks: DataFrame, allowed: DataFrame) -> DataFram
     return free.unionByName(held.select("query_id", "chunk_id", "score"))
 
 
-def adaptive(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int, pool: int = 50) -> DataFrame:
-    """query_id, chunk_id, score, rank of chunks (chunk_id, document_id, text, title) for questions (query_id, intent, expanded): two rankings of the expanded question, each within the documents asked for, fused by weights of its intent.
+def adaptive_pools(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, pool: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two rankings of ``pool`` chunks (query_id, chunk_id, score, rank) of each question (query_id, intent, expanded), within the documents asked for, and query_id, chunk_id, score of both fused by weights of its intent.
 
     The second ranking is the share of the question's tokens (``overlap``); a table of ``lsa`` can stand in its place."""
     asked = questions.select("query_id", F.col("expanded").alias("text"))
@@ -142,7 +142,12 @@ def adaptive(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int
     weights = questions.select("query_id", weight(0).alias("w0"), weight(1).alias("w1"))
     part = lambda df, w: df.join(weights, "query_id").select("query_id", "chunk_id", (F.col(w) / (RRF_K + F.col("rank"))).alias("part"))
     whole = part(first, "w0").unionByName(part(second, "w1"))
-    return ranked(whole.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")), k)
+    return first, second, whole.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
+
+
+def adaptive(questions: DataFrame, chunks: DataFrame, allowed: DataFrame, k: int, pool: int = 50) -> DataFrame:
+    """query_id, chunk_id, score, rank of chunks (chunk_id, document_id, text, title) for questions (query_id, intent, expanded): the best of their fused pools."""
+    return ranked(adaptive_pools(questions, chunks, allowed, pool)[2], k)
 
 
 def lsa(chunks: DataFrame, queries: DataFrame, k: int, dimensions: int = 128, features: int = 10_000) -> DataFrame:

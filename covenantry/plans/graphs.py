@@ -120,8 +120,8 @@ def oracle_sql() -> dict[str, str]:
     parties = library.PARTIES_SQL.format(orders="orders", customer="customer")
     duties = DUTIES_SQL.format(orders="orders", customer="customer")
     inputs = f"""
-f AS ({known["contract_facts"]}), pa AS (SELECT *, {_key("name")} AS key FROM ({parties})), ob AS (SELECT document_id, reading_order, unit, actor, action FROM ({known["contract_obligations"]}) UNION ALL SELECT document_id, reading_order, unit, actor, action FROM ({duties})),
-ev AS ({later["lifecycle_events"]}), lk AS (SELECT * FROM ({links.links_sql()}) WHERE parent_id IS NOT NULL)"""
+f AS MATERIALIZED ({known["contract_facts"]}), pa AS MATERIALIZED (SELECT *, {_key("name")} AS key FROM ({parties})), ob AS MATERIALIZED (SELECT document_id, reading_order, unit, actor, action FROM ({known["contract_obligations"]}) UNION ALL SELECT document_id, reading_order, unit, actor, action FROM ({duties})),
+ev AS MATERIALIZED ({later["lifecycle_events"]}), lk AS MATERIALIZED (SELECT * FROM ({links.links_sql()}) WHERE parent_id IS NOT NULL)"""
     jur = "'jur_' || replace(lower(governing_law), ' ', '_')"
     duty = "'ob_' || document_id || '_' || reading_order || '_' || unit"
     nodes = f"""
@@ -141,7 +141,7 @@ UNION ALL SELECT 'party_' || key, 'OWNS_OBLIGATION', {duty}, document_id FROM (S
 UNION ALL SELECT 'contract_' || document_id, 'HAS_EVENT', 'evt_' || document_id || '_' || n, document_id FROM ev
 UNION ALL SELECT 'contract_' || amendment_id, 'AMENDS', 'contract_' || parent_id, amendment_id FROM lk
 UNION ALL SELECT 'contract_' || parent_id, 'HAS_AMENDMENT', 'contract_' || amendment_id, amendment_id FROM lk"""
-    with_graph = f"WITH {inputs}, nodes AS ({nodes}), edges AS ({edges})"
+    with_graph = f"WITH {inputs}, nodes AS MATERIALIZED ({nodes}), edges AS MATERIALIZED ({edges})"
     fact_rows = f"""
 SELECT 'contract_' || document_id AS subject_id, unnest(['governing_law', 'payment_terms', 'effective_date', 'auto_renewal', 'termination_notice_days']) AS predicate,
   unnest([governing_law, 'Net ' || payment_days, effective_date, (regexp_matches(lower(renewal), '{graph.AUTOMATIC}') AND NOT regexp_matches(lower(renewal), '{graph.NOT_AUTOMATIC}'))::VARCHAR, notice_days::VARCHAR]) AS value,

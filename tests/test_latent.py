@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from covenantry.operators import latent, retrieval
-from covenantry.plans import evidence
+from covenantry.plans import ranking
 
 
 def _made(df, name):
@@ -64,7 +64,7 @@ def test_space_and_recall_against_an_exact_decomposition(spark):
         best = {ids[i] for i in np.argsort(-own, kind="stable")[:k] if own[i] > 0}
         hits, total = hits + len(best & got.get(name, set())), total + len(best)
     assert hits / total >= 0.95, hits / total
-    assert evidence.latent_top(spark, sf).count() > 0
+    assert ranking.latent_top(spark, sf).count() > 0
 
 
 def test_nothing_to_compare(spark):
