@@ -18,6 +18,7 @@ from . import latent
 K1, B, RRF_K = 1.5, 0.75, 60
 TITLE_BOOST = 0.5
 QUERY_BLOCK = 4096
+FEW_TERMS, SMALL, HOT = 5_000, 100_000, 1_000_000  # terms looked up within a row, rows of questions that are broadcast, rows of a term that are one task's
 # Weights of the lexical and the other ranking by a question's intent; they add up to 1 and are doubled.
 INTENT_WEIGHTS = {"payment": (0.7, 0.3), "contract_details": (0.7, 0.3), "amendment": (0.6, 0.4)}
 
@@ -26,21 +27,48 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+"), F.lit(0))
 
 
+def _terms_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, term, times of rows (keys, t), each different term once."""
+    return rows.select(*keys, F.explode("t").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _hits(held: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """keys, term: a row for each token in ``t`` of ``held`` that some row of ``asked`` (term) has.
+
+    Few different terms are looked up within the row; many are joined, and then all tokens are shuffled."""
+    words = [r["term"] for r in asked.select("term").distinct().limit(FEW_TERMS + 1).collect()]
+    if len(words) <= FEW_TERMS:
+        return held.select(*keys, F.explode(F.filter("t", lambda x: x.isin(words))).alias("term"))
+    return held.select(*keys, F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+
+
+def _on_terms(held: DataFrame, asked: DataFrame) -> DataFrame:
+    """``held`` (chunk_id, term, ...) joined with stored ``asked`` (term, ...).
+
+    Questions of up to ``SMALL`` terms are broadcast. Beyond, a term with over ``HOT`` rows in ``held`` is split by chunks over as many tasks as it has such
+    shares, and the questions that have it are repeated for each; such terms are no more than one for each ``HOT`` rows."""
+    if asked.limit(SMALL + 1).count() <= SMALL:
+        return held.join(F.broadcast(asked), "term")
+    counted = held.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT)
+    shares = stored(counted.select("term", F.ceil(F.col("n") / HOT).cast("int").alias("shares")), "hot-terms")
+    salted = held.join(shares, "term", "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64("chunk_id"), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
+    spread = asked.join(shares, "term", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return salted.join(spread, ["term", "share"]).drop("share")
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     """query_id, chunk_id, score, rank of the best ``k`` of chunks (chunk_id, text) for queries (query_id, text); without ``k`` all scores and no rank.
 
-    Statistics cover all chunks; a query token counts as often as it occurs."""
+    Statistics cover all chunks; a query token counts as often as it occurs. Only tokens that some query has leave their chunk's row."""
     counted = chunks.select("chunk_id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     totals = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    # only postings of terms that some query has are shuffled
-    wanted = asked.select("term").distinct()
-    postings = counted.select("chunk_id", "dl", F.explode("t").alias("term")).join(wanted, "term", "left_semi").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked = stored(_terms_of(queries.select("query_id", tokens(F.col("text")).alias("t")), "query_id"), "asked")
+    postings = _hits(counted, asked, "chunk_id", "dl").groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighed = asked.join(df, "term").join(F.broadcast(totals))  # one row of totals
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = postings.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
+    weighed = stored(asked.join(df, "term").join(F.broadcast(totals)).select("query_id", "term", "times", idf.alias("idf"), "avgdl"), "weighed")  # one row of totals
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    scored = _on_terms(postings, weighed).groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
     return scored.filter("score > 0") if k is None else ranked(scored.filter("score > 0"), k)
 
 
@@ -102,9 +130,10 @@ def fuse(rankings: list[tuple[DataFrame, float]], k: int) -> DataFrame:
 
 def overlap(chunks: DataFrame, queries: DataFrame, k: int | None) -> DataFrame:
     """query_id, chunk_id, score, rank by the share of a query's different tokens that a chunk has: a plain stand-in for a reranker."""
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), F.size(F.array_distinct(tokens(F.col("text")))).alias("of"))
-    held = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    scored = asked.join(held, "term").groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("of"), 6).alias("score"))
+    own = F.array_distinct(tokens(F.col("text")))
+    asked = stored(queries.select("query_id", F.explode(own).alias("term"), F.size(own).alias("of")), "asked")
+    held = _hits(chunks.select("chunk_id", own.alias("t")), asked, "chunk_id")
+    scored = _on_terms(held, asked).groupBy("query_id", "chunk_id").agg(F.round(F.count(F.lit(1)) / F.first("of"), 6).alias("score"))
     return scored if k is None else ranked(scored, k)
 
 
@@ -117,9 +146,9 @@ def scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """query_id, chunk_id, score of chunks (chunk_id, text, title) for queries (query_id, text): BM25 of the text, and 0.5 for each of the
     query's tokens, as often as it occurs, that the title has. A chunk whose title alone is hit has a row."""
     lexical = bm25(chunks.select("chunk_id", "text"), queries, None)
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    titled = chunks.select("chunk_id", F.explode(F.array_distinct(tokens(F.coalesce("title", F.lit(""))))).alias("term"))
-    boost = asked.join(titled, "term").groupBy("query_id", "chunk_id").agg((F.sum("times") * TITLE_BOOST).alias("score"))
+    asked = stored(_terms_of(queries.select("query_id", tokens(F.col("text")).alias("t")), "query_id"), "asked")
+    titled = _hits(chunks.select("chunk_id", F.array_distinct(tokens(F.coalesce("title", F.lit("")))).alias("t")), asked, "chunk_id")
+    boost = _on_terms(titled, asked).groupBy("query_id", "chunk_id").agg((F.sum("times") * TITLE_BOOST).alias("score"))
     return lexical.unionByName(boost).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 6).alias("score"))
 
 

@@ -90,3 +90,19 @@ def test_top_actors_of_equal_counts_are_those_seen_first(spark):
     for r in got.orderBy("temporal_type", "rank").collect():
         held.setdefault(r.temporal_type, []).append((r.actor, r.n_obligations))
     assert held == {"ongoing": [("often", 2), ("zero", 1), ("first", 1)], "recurring": [("a0", 1), ("a1", 1), ("a2", 1)], "all": [("often", 2), ("zero", 1), ("first", 1)]}
+
+
+def test_frequent_terms_split_over_tasks_give_the_same_rankings(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from covenantry.operators import retrieval
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text", F.substring("text", 1, 30).alias("title"))
+    asked = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
+    made = lambda: [sorted(map(tuple, df.collect())) for df in (retrieval.bm25(docs, asked, 7), retrieval.overlap(docs, asked, 7), retrieval.ranked(retrieval.scores(docs, asked), 7))]
+    few = made()
+    monkeypatch.setattr(retrieval, "SMALL", 0)
+    monkeypatch.setattr(retrieval, "FEW_TERMS", 0)
+    monkeypatch.setattr(retrieval, "HOT", 9)
+    assert made() == few and all(few)
