@@ -60,13 +60,20 @@ def _row_key(text: Column) -> list[Column]:
     return [F.xxhash64("doc_id", F.length(text)).alias("row"), F.xxhash64(text).alias("row_text")]
 
 
-def _verified(words: Column, item: Column, shift: Column) -> Column:
-    """Equal words of the best window on an alignment, if they are enough; else null."""
+def _windows_at(size: Column, seed: Column) -> tuple[Column, Column]:
+    """The first and the last window (by where it begins in an item of ``size`` words) that hold the seed at position ``seed``."""
+    n = F.least(size, F.lit(WINDOW))
+    return F.greatest(F.lit(0), F.least(seed + LEAST, size) - n), F.least(seed, size - n)
+
+
+def _verified(words: Column, item: Column, begin: Column, first: Column, last: Column) -> Column:
+    """Equal words of the best of the item's windows ``first`` to ``last``, if they are enough; else null. Where ``first`` begins stands in ``words`` at ``begin``."""
     n = F.least(F.size(item), F.lit(WINDOW))
     need = F.when(n < SPACED, n).otherwise(F.ceil(n * F.lit(MIN_EQUAL)).cast("int"))
-    equal = F.transform(item, lambda x, j: F.when(F.coalesce(x == F.get(words, shift + j), F.lit(False)), 1).otherwise(0))
+    near = F.slice(item, first + 1, last - first + n)
+    equal = F.transform(near, lambda x, j: F.when(F.coalesce(x == F.get(words, begin + j), F.lit(False)), 1).otherwise(0))
     total = lambda e: F.aggregate(e, F.lit(0), lambda a, x: a + x)
-    windows = lambda e: F.transform(F.sequence(F.lit(1), F.size(item) - n + 1), lambda k: total(F.slice(e, k, n)))
+    windows = lambda e: F.transform(F.sequence(F.lit(1), last - first + 1), lambda k: total(F.slice(e, k, n)))
     best = let(equal, lambda e: F.when(total(e) >= need, F.array_max(windows(e))))
     return F.when(best >= need, best)
 
@@ -85,19 +92,29 @@ def _overlaps(docs: DataFrame, items: DataFrame, broadcast_seeds: int) -> DataFr
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_of().alias("text"))
     rows = rows.select(*_row_key(F.col("text")), "doc_id", word_hashes(F.col("text")).alias("words"))
     shift = (F.col("p") - F.col("item_at")).alias("shift")
-    if few:  # a seed of the benchmark has its item's words
-        found = _seed_rows(rows, "words").join(F.broadcast(bench), "h").select("row", "row_text", "doc_id", "item_key", shift, "words")
+    if few:
+        # a hit takes along the words of the windows that hold it, at most 35: every window with enough equal words
+        # holds a seed, so the best of all seeds' windows is the best of all windows
+        n = F.least("item_size", F.lit(WINDOW))
+        first, last = _windows_at(F.col("item_size"), F.col("item_at"))
+        there = F.col("p") - F.col("item_at") + first
+        found = _seed_rows(rows, "words").join(F.broadcast(bench), "h")
+        found = found.select(
+            "row", "row_text", "doc_id", "item_key", first.alias("first"), last.alias("last"), F.least(there, F.lit(0)).alias("begin"), F.size("words").alias("n"),
+            F.slice("words", F.greatest(there, F.lit(0)) + 1, F.greatest(last - first + n + F.least(there, F.lit(0)), F.lit(0))).alias("words"),
+        )
         found = found.join(F.broadcast(texts), "item_key")
     else:
         seeds = _seed_rows(rows.select("row", "row_text", "words"), "words").select("row", "row_text", "h", "p")
         hits = seeds.join(bench, "h").select("row", "row_text", "item_key", shift, "item_size").distinct()
         near = F.slice("words", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("item_size") + F.least(F.col("shift"), F.lit(0)))
         held = rows.join(materialise(hits, "alignments"), ["row", "row_text"])
-        held = held.select("row", "row_text", "doc_id", "item_key", F.least(F.col("shift"), F.lit(0)).alias("shift"), F.size("words").alias("n"), near.alias("words"))
-        found = held.join(texts, "item_key")
-    size = F.size("words") if few else F.col("n")
-    found = found.filter((F.size("item") >= LEAST) | (size == F.size("item")))
-    found = found.select("row", "row_text", "doc_id", "item_key", _verified(F.col("words"), F.col("item"), F.col("shift")).alias("n_equal"))
+        held = held.select("row", "row_text", "doc_id", "item_key", F.least(F.col("shift"), F.lit(0)).alias("begin"), F.size("words").alias("n"), near.alias("words"))
+        size = F.size("item")
+        found = held.join(texts, "item_key").withColumns({"first": F.lit(0), "last": size - F.least(size, F.lit(WINDOW))})
+    found = found.filter((F.size("item") >= LEAST) | (F.col("n") == F.size("item")))
+    best = _verified(F.col("words"), F.col("item"), F.col("begin"), F.col("first"), F.col("last"))
+    found = found.select("row", "row_text", "doc_id", "item_key", best.alias("n_equal"))
     return found.filter("n_equal IS NOT NULL")
 
 

@@ -89,3 +89,18 @@ def test_only_rows_whose_own_text_overlaps_go(spark, docs_of):
     rows = [(None, passage), (None, clean), (None, None), (7, f"x {passage} y"), (7, clean), (7, clean), (8, clean)]
     got = decontam.remove_contaminated(docs_of(rows), bench).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(t)) for i, t in rows if passage not in (t or ""))
+
+
+def test_long_items_are_verified_in_time_that_grows_with_their_length(spark, docs_of):
+    import random
+    import time
+
+    draw = random.Random(6)
+    words = [f"w{draw.randint(0, 10**9)}" for _ in range(20_000)]
+    near = [x if k % 7 else "other" for k, x in enumerate(words)]  # a word in seven differs: many runs of equal words on one alignment
+    docs = docs_of([(1, "before " + " ".join(words) + " after"), (2, " ".join(near[3:])), (3, " ".join(reversed(words))), (4, "plain")])
+    items = spark.createDataFrame([(7, " ".join(words)), (8, "x " * 30)], "item_id long, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id): r.n_equal for r in decontam.find_overlaps(docs, items).collect()}
+    assert time.time() - began < 60
+    assert got == {(1, 7): 20, (2, 7): 18} == {(r.doc_id, r.item_id): r.n_equal for r in decontam.find_overlaps(docs, items, broadcast_seeds=0).collect()}
