@@ -244,59 +244,90 @@ def _render(kind: Column, value: Column, surrogate: Column) -> Column:
 
 
 def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """kind, normal, surrogate of all distinct entities (kind, normal); surrogates are distinct and no entity's own."""
-    state = materialise(entities.select("kind", "normal").distinct().withColumn("draws", F.lit(0)), "entities")
+    """kind, normal, surrogate of all distinct entities (kind, normal); surrogates are distinct and no entity's own.
+
+    Of entities that draw the same one the least keeps it; only the others draw again."""
+    pending = materialise(entities.select("kind", "normal").distinct().withColumn("draws", F.lit(0)), "entities")
+    used, kept = pending.select("kind", F.col("normal").alias("surrogate")), None
     while True:
-        drawn = materialise(state.withColumn("surrogate", draw_surrogate(F.col("kind"), F.col("normal"), F.col("draws"), key)), "surrogates")
-        owners = drawn.groupBy("kind", "surrogate").agg(F.min("normal").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind", "surrogate", "owner")
-        real = drawn.select(F.col("kind"), F.col("normal").alias("surrogate"))
-        taken = drawn.join(owners, ["kind", "surrogate"]).filter("normal != owner").select("kind", "normal")
-        taken = materialise(taken.union(drawn.join(real, ["kind", "surrogate"], "left_semi").select("kind", "normal")).distinct().withColumn("again", F.lit(1)), "collisions")
-        if taken.isEmpty():
-            return drawn.select("kind", "normal", "surrogate")
-        state = drawn.join(taken, ["kind", "normal"], "left").select("kind", "normal", (F.col("draws") + F.coalesce("again", F.lit(0))).alias("draws"))
+        drawn = materialise(pending.withColumn("surrogate", draw_surrogate(F.col("kind"), F.col("normal"), F.col("draws"), key)), "surrogates")
+        # after the first round few are drawn: they are the side that is looked up
+        taken = used.join(drawn.select("kind", "surrogate"), ["kind", "surrogate"], "left_semi").distinct()
+        free = drawn.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("normal").alias("normal"))
+        free = materialise(free.select("kind", "normal", "surrogate"), "surrogates")
+        kept = free if kept is None else kept.unionByName(free)
+        pending = materialise(drawn.join(free.select("kind", "normal"), ["kind", "normal"], "left_anti").select("kind", "normal", (F.col("draws") + 1).alias("draws")), "collisions")
+        if pending.isEmpty():
+            return kept
+        used = used.unionByName(free.select("kind", "surrogate"))
+
+
+_NAMES = ("surname", "given_m", "given_f")  # what a mention is replaced as, the first that the text has
+_MENTIONED, _LAST = "mention", "last"  # kinds of tokens that are no match
+
+
+def tokens_of(pieces: Column) -> Column:
+    """array<struct<gap, kind, value, match>> of a marked text's pieces, matches at every second place: what may be replaced, and the text before it.
+
+    A match gives a token for each of its parts; in a text with a found name every other capitalised word is one (kind mention,
+    no match). The last token has the rest of the text as its gap."""
+    nth = lambda rest: F.filter(pieces, lambda x, i: i % 2 == rest)
+    between = F.transform(nth(0), lambda x: F.replace(x, F.lit(_ITSELF), F.lit("\x01")))
+
+    def token(gap: Column, kind: Column, value: Column, match: Column) -> Column:
+        return F.struct(gap.alias("gap"), kind.alias("kind"), value.alias("value"), match.cast("int").alias("match"))
+
+    def of_piece(m: Column, named: Column, x: Column, i: Column) -> Column:
+        words = F.when(named, F.regexp_extract_all(x, F.lit(_MENTION), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        gaps = F.when(named, F.split(x, _MENTION, -1)).otherwise(F.array(x))
+        none = F.lit(None)
+
+        def build(w: Column, g: Column) -> Column:
+            mentions = F.transform(w, lambda v, j: token(F.get(g, j), F.lit(_MENTIONED), v, none))
+            rest, own = F.get(g, F.size(w)), F.get(m, i)
+            parts = F.transform(own["parts"], lambda p, j: token(F.when(j == 0, F.concat(rest, own["prefix"])).otherwise(F.lit(" ")), p["kind"], p["value"], i))
+            return F.concat(mentions, F.coalesce(parts, F.array(token(rest, F.lit(_LAST), F.lit(""), none))))
+
+        return let(words, lambda w: let(gaps, lambda g: build(w, g)))
+
+    named = lambda m: F.exists(m, lambda x: F.exists(x["parts"], lambda p: p["kind"].isin(*_NAMES)))
+    return let(F.transform(nth(1), entities_of), lambda m: let(named(m), lambda n: F.flatten(F.transform(between, lambda x, i: of_piece(m, n, x, i)))))
 
 
 def replace_entities(docs: DataFrame, key: str | None = None, count: str | None = "n_entities") -> DataFrame:
-    """``docs`` with surrogates in ``text``, and the occurrences replaced in the column ``count``, if it is to have one."""
+    """``docs`` with surrogates in ``text``, and the occurrences replaced in the column ``count``, if it is to have one.
+
+    Replacements are joined with the places where they belong and put back by place, so a text's cost grows with its length, however many
+    entities it has; equal texts are looked at once."""
     key = session_key(docs.sparkSession) if key is None else key
-    rows = materialise(boxed(docs, marked(F.col("text").cast("string")).alias("marked")), "marked-texts")
+    rows = boxed(docs, marked(F.col("text").cast("string")).alias("marked"))
+    rows = materialise(rows.select("doc", F.when(F.col("marked").isNotNull(), tokens_of(F.split("marked", f"{_BEGIN}|{_END}", -1))).alias("tokens")), "marked-texts")
     text = F.col("doc.text")
-    matched = rows.filter("marked IS NOT NULL").select("doc", F.xxhash64(text).alias("row"), F.length(text).alias("size"), F.split("marked", f"{_BEGIN}|{_END}", -1).alias("pieces"))
-    nth = lambda rest: F.filter("pieces", lambda x, i: i % 2 == rest)  # noqa: E731  matches come at every second place
-    between = F.transform(nth(0), lambda x: F.replace(x, F.lit(_ITSELF), F.lit("\x01")))
-    matches = F.transform(nth(1), entities_of)
-
-    parts = matched.select("row", "size", matches.alias("m")).select("row", "size", F.inline(F.array_distinct(F.flatten(F.col("m.parts")))))
-    parts = parts.withColumn("normal", normal_form(F.col("kind"), F.col("value"))).filter("kind != 'particle'")
-    parts = materialise(parts.filter((F.col("kind") != "card") | (_luhn(F.col("normal")) % 10 == 0)).distinct(), "entity-occurrences")
-    mapping = assign_surrogates(parts, key)
-    rendered = parts.join(mapping, ["kind", "normal"]).select("row", "size", F.concat("kind", F.lit("|"), "value").alias("of"), _render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("by"))
-    maps = rendered.distinct().groupBy("row", "size").agg(F.map_from_entries(F.collect_list(F.struct("of", "by"))).alias("map"))  # of one text
-    held = matched.join(materialise(maps, "surrogates-of-rows"), ["row", "size"], "left")
-
-    known = lambda p: F.element_at("map", F.concat(p["kind"], F.lit("|"), p["value"]))
-    whole = lambda m: F.concat(m["prefix"], F.array_join(F.transform(m["parts"], lambda p: F.coalesce(known(p), p["value"])), " "))
-    named = F.exists(F.map_keys("map"), lambda k: k.startswith("surname|") | k.startswith("given_"))
-    mention = lambda w: F.coalesce(*(F.element_at("map", F.concat(F.lit(f"{k}|"), w)) for k in ("surname", "given_m", "given_f")))
-
-    def untitled(x: Column) -> Column:
-        """A piece between matches, with the row's names in it replaced, and how many these are."""
-        put = F.transform(F.regexp_extract_all(x, F.lit(_MENTION), F.lit(0)), lambda w: F.struct(w.alias("w"), mention(w).alias("by")))
-        filled = let(put, lambda w: F.struct(
-            F.array_join(F.transform(F.split(x, _MENTION, -1), lambda g, i: F.concat(g, F.when(i < F.size(w), F.coalesce(F.get(w, i)["by"], F.get(w, i)["w"])).otherwise(""))), "").alias("text"),
-            F.size(F.filter(w, lambda p: p["by"].isNotNull())).cast("long").alias("n"),
-        ))
-        return F.when(F.coalesce(named, F.lit(False)), filled).otherwise(F.struct(x.alias("text"), F.lit(0).cast("long").alias("n")))
-
-    rebuilt = let(matches, lambda m: let(F.transform(between, untitled), lambda b: F.struct(
-        F.array_join(F.transform(b, lambda x, i: F.concat(x["text"], F.when(i < F.size(m), whole(F.get(m, i))).otherwise(""))), "").alias("text"),
-        (F.aggregate(m, F.lit(0).cast("long"), lambda a, x: a + F.when(F.exists(x["parts"], lambda p: known(p).isNotNull()), 1).otherwise(0)) + F.aggregate(b, F.lit(0).cast("long"), lambda a, x: a + x["n"])).alias("n"),
-    )))
+    matched = rows.filter("tokens IS NOT NULL").select("doc", F.xxhash64(text).alias("row"), F.length(text).alias("size"), "tokens")
+
+    bare = F.transform("tokens", lambda t: F.struct(t["kind"].alias("kind"), t["value"].alias("value"), t["match"].alias("match")))
+    places = matched.select("row", "size", F.posexplode(bare).alias("k", "t")).select("row", "size", "k", "t.*")
+    places = materialise(places.distinct().withColumn("normal", F.when(~F.col("kind").isin(_MENTIONED, _LAST, "particle"), normal_form(F.col("kind"), F.col("value")))), "entity-places")
+    real = places.filter("normal IS NOT NULL").filter((F.col("kind") != "card") | (_luhn(F.col("normal")) % 10 == 0))
+    mapping = assign_surrogates(real, key)
+    columns = ["row", "size", "k", "kind", "value", "match", "by"]
+    by = F.when(F.col("surrogate").isNotNull(), _render(F.col("kind"), F.col("value"), F.col("surrogate"))).alias("by")
+    put = materialise(places.filter("normal IS NOT NULL").join(mapping, ["kind", "normal"], "left").select(*columns[:-1], by), "replacements")
+    order = F.array_position(F.array(*(F.lit(k) for k in _NAMES)), F.col("kind"))
+    names = put.filter(F.col("kind").isin(*_NAMES) & F.col("by").isNotNull()).groupBy("row", "size", "value").agg(F.min_by("by", order).alias("by"))
+    mentions = places.filter(F.col("kind") == _MENTIONED).join(names, ["row", "size", "value"], "left").select(*columns)
+    others = places.filter(F.col("kind").isin(_LAST, "particle")).withColumn("by", F.lit(None).cast("string")).select(*columns)
+    replaced = F.col("by").isNotNull()
+    of_row = put.unionByName(mentions).unionByName(others).groupBy("row", "size").agg(
+        F.array_sort(F.collect_list(F.struct("k", "by"))).alias("by"),  # of one text, as many as it has tokens
+        (F.size(F.collect_set(F.when(replaced, F.col("match")))) + F.count_if(replaced & (F.col("kind") == _MENTIONED))).cast("long").alias("n"),
+    )
+    held = matched.join(materialise(of_row, "surrogates-of-rows"), ["row", "size"], "left")
+    rebuilt = F.array_join(F.transform("tokens", lambda t, i: F.concat(t["gap"], F.coalesce(F.get("by", i)["by"], t["value"]))), "")
 
     def out(rows: DataFrame, text: Column, n: Column) -> DataFrame:
         own = [text.alias(x) if x == "text" else F.col("doc").getField(x).alias(x) for x in docs.columns if x != count]
         return rows.select(*own, *([n.alias(count)] if count else []))
 
-    clean = out(rows.filter("marked IS NULL"), text, F.lit(0).cast("long"))
-    return clean.unionByName(out(held.select("doc", rebuilt.alias("new")), F.col("new.text"), F.col("new.n")))
+    clean = out(rows.filter("tokens IS NULL"), text, F.lit(0).cast("long"))
+    return clean.unionByName(out(held, rebuilt, F.coalesce("n", F.lit(0)).cast("long")))

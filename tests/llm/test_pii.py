@@ -188,3 +188,25 @@ def test_whole_table_against_a_detector_of_its_own(spark):
         assert not [x for x in found if x in r.text]
         counted += len(found)
     assert counted > 50
+
+
+def test_many_entities_in_one_text_take_time_that_grows_with_their_number(docs_of):
+    import time
+
+    addresses = [f"{1 + k % 200}.{k // 200 % 250}.{k // 50_000 % 250}.{1 + k % 250}" for k in range(100_000)]
+    heads, tails = ["Al", "Bo", "Cy", "Di", "Ed", "Fa", "Gu", "Ha", "Iv", "Jo"], ["ber", "con", "dul", "fen", "gar", "hol", "kir", "lum", "mor", "nev"]
+    names = [f"{a}{b}{c}{d}" for a in heads for b in tails for c in tails for d in tails][:5000]
+    rows = [
+        (1, "log " + " ok ".join(addresses) + " end"),
+        (2, " and ".join(f"Mr. {n}" for n in names) + ". " + " ".join(f"{n} spoke." for n in names) + " Nobody else."),
+        (3, f"only {addresses[7]}"),
+    ]
+    began = time.time()
+    got = {r.doc_id: r for r in pii.replace_entities(docs_of([*rows, rows[0]]), "k").collect()}
+    assert time.time() - began < 120
+    put = got[1].text.removeprefix("log ").removesuffix(" end").split(" ok ")
+    assert got[1].n_entities == len(set(addresses)) == len(put) == len(set(put)) and not set(put) & set(addresses)
+    assert got[3].text == f"only {put[7]}" and got[3].n_entities == 1
+    first, second = got[2].text.split(". Al", 1)[0], re.findall(r"(\S+) spoke\.", got[2].text)
+    said = re.findall(r"Mr\. (\S+?)(?= and |\. )", got[2].text)
+    assert said == second and len(set(said)) == 5000 and not set(said) & set(names) and got[2].n_entities == 10_000 and got[2].text.endswith(" Nobody else.") and first
