@@ -35,6 +35,7 @@ TRAIN_CHARACTERS = 50_000
 LANGUAGES = 200
 SAMPLE_CHARACTERS = 50_000_000
 TABLE_BYTES = 1 << 29
+SLICE_BYTES = 1 << 26  # of code lengths at a time, however long a text and however many languages
 MIN_CONTEXT = 3  # longer contexts seen less often, over all languages, are left to the shorter ones
 UNDETERMINED = "und"
 _START = 0  # symbol of the place before a text; 1: any byte not seen in training
@@ -114,25 +115,27 @@ class Model:
         return at
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
-        sizes = np.array([len(x) for x in texts])
+        """Bits of each text in each language; code lengths add up, so texts are taken in slices, each with the context before it."""
+        sizes = np.array([len(x) for x in texts], dtype=np.int64)
         gap = bytes(ORDER)
         raw = np.frombuffer(gap + gap.join(texts), dtype=np.uint8)
-        x = self.symbol[raw]
         begins = np.cumsum(sizes + ORDER) - sizes
-        inside = np.ones(len(raw), dtype=bool)
-        for back in range(1, ORDER + 1):
-            inside[begins - back] = False
-        x[~inside] = _START
-        context = np.zeros(len(x) - ORDER, dtype=np.int64)
-        for back in range(ORDER, 0, -1):
-            context = context * self.symbols + x[ORDER - back : len(x) - back]
-        rows = self.bits[self.longest[context].astype(np.int64) * self.symbols + x[ORDER:]]
-        rows[~inside[ORDER:]] = 0
         out = np.zeros((len(texts), len(self.languages)))
-        some = sizes > 0
-        if some.any():
-            out[some] = np.add.reduceat(rows, begins[some] - ORDER, axis=0, dtype=np.float64)
+        step = min(max(1 << 12, SLICE_BYTES // (4 * len(self.languages))), 1 << 20)
+        for low in range(ORDER, len(raw), step):
+            place = np.arange(low - ORDER, min(low + step, len(raw)))
+            text = np.searchsorted(begins, place, side="right") - 1
+            inside = (text >= 0) & (place < (begins + sizes)[text])
+            x = self.symbol[raw[place]]
+            x[~inside] = _START
+            context = np.zeros(len(x) - ORDER, dtype=np.int64)
+            for back in range(ORDER, 0, -1):
+                context = context * self.symbols + x[ORDER - back : len(x) - back]
+            rows = self.bits[self.longest[context].astype(np.int64) * self.symbols + x[ORDER:]]
+            rows[~inside[ORDER:]] = 0
+            own = text[ORDER:]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            np.add.at(out, own[first], np.add.reduceat(rows, first, axis=0, dtype=np.float64))
         return out
 
 

@@ -36,7 +36,7 @@ RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest st
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WARC_DATE = "2024-01-01T00:00:00Z"  # records carry no fetch time; a fixed one keeps files reproducible
 CHUNK = 1 << 16
-MAX_HEADER = 1 << 20  # bytes; longer ones are damage
+MAX_HEADER = 1 << 24  # bytes, such as of a url of 16 MB; a reader takes longer ones for damage
 
 
 class WarcError(ValueError):

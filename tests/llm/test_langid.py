@@ -68,3 +68,19 @@ def test_edge_cases(spark, docs_of):
     assert langid.identify_table(docs_of([])).count() == 0
     blank = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert langid.identify_table(blank).first().lang_pred == "und"
+
+
+def test_slices_of_any_length_give_the_same_code_lengths(monkeypatch):
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    model = langid.Model({"a": ["abab abba"] * 300, "b": ["ccad dca"] * 300, "c": ["éa ü"] * 300})
+    texts = ["".join(draw.choice(list("abcdé ü"), n)).encode() for n in (0, 1, 3, 9000, 0, 50_000, 2)]
+    whole = model.code_lengths(texts)
+    monkeypatch.setattr(langid, "SLICE_BYTES", 1)
+    assert np.allclose(model.code_lengths(texts), whole) and (whole[[0, 4]] == 0).all()
+    monkeypatch.undo()
+    tracemalloc.start()
+    model.code_lengths([b"abc " * 5_000_000])  # 20 MB
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()

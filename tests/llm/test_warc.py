@@ -91,3 +91,9 @@ def test_a_large_record_is_framed_in_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert payload.size == 200_000_000 and peak < 5_000_000
+
+
+def test_a_very_long_url_comes_back(spark):
+    pages = spark.createDataFrame([(1, "http://x.org/" + "a" * 5_000_000, "<p>one</p>"), (2, None, "<p>one</p>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in warc.archive_round_trip(pages).collect()}
+    assert got[2].record_type == "response" and (got[1].record_type, got[1].refers_to) == ("revisit", 2)
