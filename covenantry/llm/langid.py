@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import boxed, unboxed
-from .tokens import batches_of
+from .tokens import PieceEncoder, batches_of
 
 ORDER = 3
 ROWS_PER_LANGUAGE = 400
@@ -165,6 +165,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        PieceEncoder.forget()  # a worker that has tokenized before keeps some 200 MB of pieces
         model = shared.value
         for batch in series:
             best, score = np.zeros(len(batch), int), np.zeros(len(batch))

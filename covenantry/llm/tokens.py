@@ -89,6 +89,11 @@ class PieceEncoder:
             cls._workers[path] = cls(path)
         return cls._workers[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Let go of the worker's encoders and their caches, where another operator's work begins."""
+        cls._workers.clear()
+
     def _has_added(self, text: str) -> bool:
         if any(x in text for x in self._added):
             return True
