@@ -52,7 +52,7 @@ FROM {orders}
 
 def party_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     opened = spark.sql(OPENINGS_SQL, orders=contracts.table(spark, sf_dir, "orders"))
-    return roles.party_roles(opened.withColumn("parties", F.array("one", "two")))
+    return roles.party_roles(opened.withColumns({"parties": F.array("one", "two"), "definitions": F.array("definitions")}))
 
 
 def _clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,11 +182,11 @@ FROM b LEFT JOIN f USING (document_id) LEFT JOIN o USING (document_id)"""
     overall = "CASE " + " ".join(f"WHEN n_{s.lower()} > 0 THEN '{s}'" for s in answers.PRECEDENCE) + " ELSE 'INSUFFICIENT_EVIDENCE' END"
     stop = ", ".join(q(w) for w in answers.QUESTION_WORDS)
     ranked = known["bm25_top"].replace(f"rank <= {base.TOP}", f"rank <= {POOL}")
-    role = lambda w: f"CASE lower({w}) " + " ".join(f"WHEN '{x}' THEN '{r}'" for r, words in roles.ROLE_WORDS.items() for x in words) + " END"
-    after, before = "substr(preamble, instr(preamble, {n}) + length({n}))", "substr(definitions, 1, instr(definitions, {n}) - 1)"
-    stated = lambda n: f"coalesce({role(f'regexp_extract({after.format(n=n)}, {ci(roles.STATED)}, 1)')}, CASE WHEN contains(definitions, {n}) THEN {role(f'regexp_extract({before.format(n=n)}, {ci(roles.DEFINED)}, 1)')} END)"
+    mark = lambda text, n: f"replace(lower({text}), lower({n}), chr(1))"
+    role = lambda text, p: "CASE " + " ".join(f"WHEN regexp_matches({text}, {q(p.replace('WORDS', '|'.join(words)))}) THEN '{r}'" for r, words in roles.ROLE_WORDS.items()) + " END"
+    stated = lambda n: f"coalesce({role(mark('preamble', n), roles.STATED)}, {role(mark('definitions', n), roles.DEFINED)})"
     implied = lambda k: "CASE WHEN s1 IS NULL AND s2 IS NULL THEN CASE " + " ".join(f"WHEN contains(lower(contract_type), '{a[0]}') THEN '{a[k]}'" for a in roles.ARCHETYPES) + " END END"
-    acting = lambda n: role(f"regexp_extract({after.format(n=n)}, {ci(roles.ACTING)}, 1)")
+    acting = lambda n: role(mark("preamble", n), roles.ACTING)
     return {
         "party_roles": f"""
 WITH s AS (SELECT *, {stated("one")} AS s1, {stated("two")} AS s2 FROM ({OPENINGS_SQL.format(orders="orders")}))

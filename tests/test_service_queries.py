@@ -50,18 +50,27 @@ def test_party_roles(spark):
         (1, None, "This Agreement is between Apex Global Inc. ('Customer') and Vanguard Defense LLC ('Service Provider').", None, ["Apex Global Inc.", "Vanguard Defense LLC"]),
         (2, "Supply Agreement", "Between A Corp and B Corp.", None, ["A Corp", "B Corp"]),
         (3, "Supply Agreement", "Between A Corp and B Corp, the buyer.", None, ["A Corp", "B Corp"]),
-        (4, "Other", "A Corp acts as the licensor.", "Licensee means the firm B Corp.", ["A Corp", "B Corp", ""]),
+        (4, "Other", "A Corp acts as the licensor.", [None, "B Corp", "Licensee means the firm B Corp."], ["A Corp", "B Corp", ""]),
         (5, "License", None, None, ["A Corp", None]), (6, None, None, None, None), (7, None, "x (the Buyer)", None, []),
         (8, None, "Between S Corp ('Supplier') and C Corp ('Customer').", None, ["S Corp", "C Corp"]),
+        (9, None, "S Corp. " + "x" * 10 + " (the Supplier) and C Corp" + " y" * 52 + " (Buyer)", ["Lender means L LLC; and M LLC", "Borrower shall mean " + "z" * 61 + "N LLC"], ["S Corp", "C Corp", "L LLC", "M LLC", "N LLC"]),
+        (10, None, "SubCorp (Lender). Corp and corp acts as buyer", None, ["Corp"]),
     ]
-    table = spark.createDataFrame(rows, "document_id long, contract_type string, preamble string, definitions string, parties array<string>")
+    table = spark.createDataFrame(rows, "document_id long, contract_type string, preamble string, definitions array<string>, parties array<string>")
     got = {(r.document_id, r.ord): r.role for r in roles.party_roles(table).collect()}
     assert got == {
         (1, 0): "CUSTOMER", (1, 1): "SERVICE_PROVIDER", (2, 0): None, (2, 1): None, (3, 0): "BUYER", (3, 1): "SUPPLIER", (4, 0): "LICENSOR", (4, 1): "LICENSEE", (4, 2): None,
-        (5, 0): "LICENSOR", (5, 1): "LICENSEE", (8, 0): "SUPPLIER", (8, 1): "CUSTOMER",
+        (5, 0): "LICENSOR", (5, 1): "LICENSEE", (8, 0): "CUSTOMER", (8, 1): "CUSTOMER",  # both words are within reach of the first name
+        (9, 0): None, (9, 1): None, (9, 2): "LENDER", (9, 3): None, (9, 4): None, (10, 0): "BUYER",
     }
 
 
+def test_opening_texts(spark):
+    rows = [(1, 1, i, i == 2, f"b{i}") for i in range(12)] + [(1, 3, 0, None, None), (1, 4, 0, False, "late"), (2, 2, 0, False, "x"), (3, 5, 0, False, "y")]
+    got = {r[0]: (r[1], r[2]) for r in roles.opening_texts(spark.createDataFrame(rows, "document_id long, page_number int, reading_order int, is_noise boolean, text string")).collect()}
+    assert got == {1: ("b0 b1 b3 b4 b5 b6 b7 b8", [f"b{i}" for i in range(12) if i != 2] + [""]), 2: ("", ["x"])}
+
+
 def test_quoted_lines_and_inline_claims(spark):
     asked = spark.createDataFrame([(1, "When is payment due?"), (2, "Who is the licensor?"), (3, None)], "query_id long, text string")
     text = "Payment terms\nEvery payment is due within thirty days.\nLate sums bear interest at one per cent.\nAll payments are made by transfer to the bank."
