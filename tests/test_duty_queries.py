@@ -38,6 +38,13 @@ def test_known_sentences(spark):
     assert duties.obligations_in_full(typed.limit(0), none).count() == 0
 
 
+def test_silent_types(spark):
+    kinds = [None, "header", "footer", "sec_noise", "table", "paragraph"]
+    typed = spark.createDataFrame([(k, 1, 0, "Vendor shall pay the whole fee.", None, t) for k, t in enumerate(kinds)], "document_id long, page_number int, reading_order int, text string, section_title string, block_type string")
+    none = spark.createDataFrame([], "document_id long, ord int, name string")
+    assert sorted(r.document_id for r in duties.obligations_in_full(typed, none).collect()) == [0, 4, 5]
+
+
 def test_deadlines(spark):
     rows = [("2026-10-01", 30, None), (None, 30, None), ("no day", 30, None), ("2026-01-31", None, 1), ("2026-10-01", None, None)]
     df = spark.createDataFrame(rows, "anchor string, days int, months int")
