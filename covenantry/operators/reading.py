@@ -180,7 +180,7 @@ def upsert(stored: DataFrame, saved: DataFrame, key: str) -> DataFrame:
 
 
 def write_payload(df: DataFrame, folder: str, form: str = "json") -> None:
-    """A table as JSON lines or Parquet below ``folder``; an earlier one is replaced only when all is written."""
+    """A table as JSON lines or Parquet below ``folder``. An earlier one goes before the new one is written, so a job that fails leaves none; collections grow by batches instead."""
     df.write.mode("overwrite").format(form).save(folder)
 
 

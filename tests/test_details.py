@@ -66,3 +66,18 @@ def test_intelligence_of_bare_documents(spark):
     assert got[1].governing_law.value == "Texas" and got[1].payment_terms.value == "30" and got[1].effective_date is None
     assert got[1].parties == ["A", "B"] and got[1].schedules == [] and got[1].n_blocks == 2 and got[1].n_amendments == 0
     assert got[2].parties == [] and got[2].governing_law is None and got[2].n_blocks == 0 and got[2].n_amendments == 2
+
+
+@pytest.mark.parametrize("form", ["json", "parquet"])
+def test_payloads_come_back(spark, tmp_path, form):
+    from covenantry.operators import reading
+
+    schema = "id long, name string, spans array<struct<page:int,text:string>>"
+    rows = [(1, 'a "quoted"\nline', [(1, "é"), (2, None)]), (2, None, []), (3, "", None)]
+    folder = str(tmp_path / form)
+    reading.write_payload(spark.createDataFrame([(9, "old", None)], schema), folder, form)
+    reading.write_payload(spark.createDataFrame(rows, schema).repartition(2), folder, form)
+    got = spark.read.schema(schema).format(form).load(folder).orderBy("id").collect()
+    assert [(r.id, r.name, r.spans and [tuple(x) for x in r.spans]) for r in got] == rows
+    reading.write_payload(spark.createDataFrame([], schema), folder, form)
+    assert spark.read.schema(schema).format(form).load(folder).isEmpty()
