@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .details import located
+
 # Weights of the five signals, what is accepted, words that say nothing of a title, and what a change means.
 WEIGHTS = {"parties": 0.40, "recital": 0.25, "title": 0.15, "date": 0.10, "changes": 0.10}
 LEAST_SCORE, LEAST_MARGIN = 0.75, 0.20
@@ -24,6 +26,7 @@ IMPACTS = {
     "15.4": "Additional Errors & Omissions (E&O) insurance coverage requirement added.",
     "general": "Unamended terms remain binding and in full force and effect.",
 }
+BASES = ("explicit_argument", "composite_candidate_scoring")
 PRESERVED = "Preservation: All other provisions of the base agreement remain in full force and effect."
 
 
@@ -128,9 +131,10 @@ def recital_evidence(blocks: DataFrame) -> DataFrame:
 
 
 def align_sections(changes: DataFrame, links: DataFrame, blocks: DataFrame) -> DataFrame:
-    """amendment_id, parent_id, reading_order, section_number, section_title, change_type, before_text, after_text, impact.
+    """amendment_id, parent_id, reading_order, section_number, section_title, change_type, before_text, after_text, impact,
+    page_number, parent_at (page_number and reading_order of the parent's section; null if it has none).
 
-    changes: amendment_id, reading_order, action, target_section, raw_text. The parent's section is the first
+    changes: amendment_id, page_number, reading_order, action, target_section, raw_text. The parent's section is the first
     block that begins with its number, else the first that names it; what it became is the amendment's block
     that says so on the last page that has one, else the change's own text."""
     key = F.coalesce(F.nullif(F.regexp_extract("target_section", r"([0-9.]+)", 1), F.lit("")), F.lit("general"))
@@ -140,22 +144,23 @@ def align_sections(changes: DataFrame, links: DataFrame, blocks: DataFrame) -> D
     number = F.rtrim(F.regexp_extract(text, r"(?i)^(?:Section\s+)?([0-9.]+)\b(?:\s+([A-Za-z\s]+))?", 1), F.lit("."))
     parents = blocks.join(rows.select(F.col("parent_id").alias("document_id")).distinct(), "document_id", "left_semi")
     numbered = parents.select(F.col("document_id").alias("parent_id"), number.alias("key"), at.alias("at"), "text").filter("key != ''")
-    numbered = numbered.groupBy("parent_id", "key").agg(F.min_by("text", "at").alias("numbered"))
+    numbered = numbered.groupBy("parent_id", "key").agg(F.min_by(F.struct("text", "at"), "at").alias("numbered"))
     rows = rows.join(numbered, ["parent_id", "key"], "left")
     # the fallback looks only at parents of changes that are still open
     open_ = rows.filter("numbered IS NULL AND key != 'general'").select("parent_id", "key").distinct()
     names = F.col("text").contains(F.concat("key", F.lit("."))) | F.col("text").contains(F.concat(F.lit("Section "), "key"))
-    naming = parents.select(F.col("document_id").alias("parent_id"), at.alias("at"), "text").join(open_, "parent_id").filter(names).groupBy("parent_id", "key").agg(F.min_by("text", "at").alias("naming"))
+    naming = parents.select(F.col("document_id").alias("parent_id"), at.alias("at"), "text").join(open_, "parent_id").filter(names).groupBy("parent_id", "key").agg(F.min_by(F.struct("text", "at"), "at").alias("naming"))
     own = blocks.select(F.col("document_id").alias("amendment_id"), F.struct("page_number", (-F.col("reading_order")).alias("back")).alias("late"), "text").join(rows.select("amendment_id", "key").distinct(), "amendment_id")
     own = own.filter(F.col("text").contains(F.concat(F.lit("Section "), "key")) & F.col("text").contains("shall be")).groupBy("amendment_id", "key").agg(F.max_by("text", "late").alias("became"))
     rows = rows.join(naming, ["parent_id", "key"], "left").join(own, ["amendment_id", "key"], "left")
-    titled = F.nullif(F.trim(F.regexp_extract("numbered", r"^(?:Section\s+)?[0-9.]+\s+([A-Za-z\s]+)", 1)), F.lit(""))
+    titled = F.nullif(F.trim(F.regexp_extract("numbered.text", r"^(?:Section\s+)?[0-9.]+\s+([A-Za-z\s]+)", 1)), F.lit(""))
     title = F.when(F.col("numbered").isNotNull(), titled).when(F.col("naming").isNotNull(), F.concat(F.lit("Section "), "key"))
     impact = reduce(lambda out, x: F.when(F.col("key") == x[0], x[1]).otherwise(out), IMPACTS.items(), F.concat(F.lit("Modifications made to "), "target_section", F.lit(".")))
     kind = F.when(F.col("action").isin("ADD_COVERAGE", "CONFIRM_FULL_FORCE"), F.col("action")).otherwise("DELETE_AND_REPLACE")
     return rows.select(
         "amendment_id", "parent_id", "reading_order", F.col("target_section").alias("section_number"), F.coalesce(title, F.lit("General")).alias("section_title"), kind.alias("change_type"),
-        F.coalesce("numbered", "naming").alias("before_text"), F.coalesce("became", "raw_text").alias("after_text"), impact.alias("impact"),
+        F.coalesce("numbered.text", "naming.text").alias("before_text"), F.coalesce("became", "raw_text").alias("after_text"), impact.alias("impact"),
+        "page_number", F.coalesce("numbered.at", "naming.at").alias("parent_at"),
     )
 
 
@@ -170,6 +175,53 @@ def compare_versions(aligned: DataFrame) -> DataFrame:
     return rows.select("amendment_id", "parent_id", "total_modifications", "full_force_confirmed", F.array_join(said, "; ").alias("impacts"))
 
 
+def compared_amendments(asked: DataFrame, contracts: DataFrame, links: DataFrame, changes: DataFrame, blocks: DataFrame) -> DataFrame:
+    """ask_id, status, amendment_id, parent_id, both file names, confidence, basis, total_modifications, full_force_confirmed,
+    impacts, evidence (array of document_id, page_number, reading_order) of each ask (ask_id, wanted, parent_id).
+
+    ``wanted`` is looked up by ``details.located``. A parent that is named counts (confidence 1) if it and an amendment of
+    exactly that id are there; else the linked parent does, with its score. Without either the status is NO_RESULTS and all
+    else null. Evidence begins with what ties the two together (the first block for a named parent, else the recital), then
+    each change and the section it changes in order of the changes; a block counts once, at its first place. A pair
+    without changes has 0 of them; a pair asked for twice is compared once. Evidence is null where the amendment has no block.
+    Null asks give NO_RESULTS."""
+    at = F.struct("page_number", "reading_order")
+    names = contracts.select("document_id", "filename")
+    found = located(asked, names).select("ask_id", "how", F.col("document_id").alias("amendment_id")).join(asked.select("ask_id", F.col("parent_id").alias("named")), "ask_id")
+    found = found.join(names.select(F.col("document_id").alias("amendment_id"), F.col("filename").alias("amendment_filename")), "amendment_id", "left")
+    found = found.join(names.select(F.col("document_id").alias("named"), F.lit(True).alias("is_there")), "named", "left")
+    found = found.join(links.select("amendment_id", F.col("parent_id").alias("linked"), "top_score"), "amendment_id", "left")
+    explicit = (F.col("how") == "exact") & F.coalesce("is_there", F.lit(False))
+    found = found.select("ask_id", "amendment_id", "amendment_filename", "top_score", explicit.alias("explicit"), F.when(explicit, F.col("named")).otherwise(F.col("linked")).alias("parent_id"))
+    found = found.join(names.select(F.col("document_id").alias("parent_id"), F.col("filename").alias("parent_filename")), "parent_id", "left")
+    known = found.filter("parent_id IS NOT NULL")
+    pairs = known.select("amendment_id", "parent_id").distinct()
+    aligned = align_sections(changes, pairs, blocks)
+    own = blocks.join(pairs.select(F.col("amendment_id").alias("document_id")).distinct(), "document_id", "left_semi")
+    recitals = recital_evidence(own).select(F.col("document_id").alias("amendment_id"), at.alias("recital"))
+    firsts = own.groupBy(F.col("document_id").alias("amendment_id")).agg(F.min(at).alias("opening"))
+    # places in order of their first mention, of one pair each
+    tie = known.select("amendment_id", "parent_id", "explicit").distinct().join(recitals, "amendment_id").join(firsts, "amendment_id")
+    tie = tie.select("amendment_id", "parent_id", "explicit", F.col("amendment_id").alias("document_id"), F.when(F.col("explicit"), F.col("opening")).otherwise(F.col("recital")).alias("at"), F.lit(-1).alias("ord"), F.lit(0).alias("side"))
+    sides = F.array(F.struct(F.col("amendment_id").alias("document_id"), at.alias("at"), F.lit(0).alias("side")), F.struct(F.col("parent_id").alias("document_id"), F.col("parent_at").alias("at"), F.lit(1).alias("side")))
+    ways = known.select("amendment_id", "parent_id", "explicit").distinct()
+    said = aligned.select("amendment_id", "parent_id", F.col("reading_order").alias("ord"), F.inline(sides)).filter("at IS NOT NULL").join(ways, ["amendment_id", "parent_id"])
+    key = ["amendment_id", "parent_id", "explicit"]
+    places = tie.unionByName(said).groupBy(*key, "document_id", "at").agg(F.min(F.struct("ord", "side")).alias("first"))
+    place = F.struct("first", F.struct("document_id", F.col("at.page_number").alias("page_number"), F.col("at.reading_order").alias("reading_order")).alias("place"))
+    evidence = places.groupBy(*key).agg(F.sort_array(F.collect_list(place)).alias("_places")).select(*key, F.col("_places.place").alias("evidence"))  # of one amendment's changes
+    rows = found.join(compare_versions(aligned), ["amendment_id", "parent_id"], "left").join(evidence, key, "left")
+    there = F.col("parent_id").isNotNull()
+    return rows.select(
+        "ask_id", F.when(there, "SUCCESS").otherwise("NO_RESULTS").alias("status"), F.when(there, F.col("amendment_id")).alias("amendment_id"), "parent_id",
+        F.when(there, F.col("amendment_filename")).alias("amendment_filename"), "parent_filename",
+        F.when(there, F.when(F.col("explicit"), 1.0).otherwise(F.col("top_score"))).alias("confidence"),
+        F.when(there, F.when(F.col("explicit"), BASES[0]).otherwise(BASES[1])).alias("basis"),
+        F.when(there, F.coalesce("total_modifications", F.lit(0))).alias("total_modifications"), F.when(there, F.coalesce("full_force_confirmed", F.lit(False))).alias("full_force_confirmed"),
+        F.when(there, F.coalesce("impacts", F.lit(""))).alias("impacts"), "evidence",
+    )
+
+
 def version_chains(ordered: DataFrame) -> DataFrame:
     """root_id, layer (from 1), amendment_id, base_id of amendments (root_id, ord, amendment_id): each becomes the next one's base."""
     order = Window.partitionBy("root_id").orderBy("ord", "amendment_id")

@@ -19,6 +19,15 @@ SELECT c_name AS query FROM {customer} WHERE c_custkey % 100 = 0 UNION ALL SELEC
 """
 
 
+#: Valid in both: of every fiftieth order the contract, by its id or a part of its name, and for some a parent, which may not be there.
+COMPARED_SQL = """
+SELECT o_orderkey AS ask_id, CASE WHEN o_orderkey % 400 = 150 THEN 'first amendment (' || c_mktsegment WHEN o_orderkey % 700 = 0 THEN 'no such file' ELSE CAST(o_orderkey AS VARCHAR(20)) END AS wanted,
+  CASE WHEN o_orderkey % 200 = 50 THEN o_orderkey - 1 WHEN o_orderkey % 300 = 0 THEN o_orderkey + 1 WHEN o_orderkey % 350 = 0 THEN -o_orderkey END AS parent_id
+FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0 UNION ALL
+SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)), CAST(NULL AS BIGINT) FROM {orders} WHERE o_orderkey % 8 = 2 AND o_orderkey % 50 <> 0
+"""
+
+
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amendments.link_amendments(library.library(spark, sf_dir), library.library_parties(spark, sf_dir))
 
@@ -44,11 +53,14 @@ def recital_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amendments.recital_evidence(contracts.contract_blocks(spark, sf_dir))
 
 
+def _changes(blocks: DataFrame) -> DataFrame:
+    texts = blocks.select("document_id", "page_number", F.col("reading_order").cast("int").alias("reading_order"), F.substring("text", 1, 120).alias("raw_text"))
+    return facts.amendment_facts(blocks).join(texts, ["document_id", "reading_order"]).withColumnRenamed("document_id", "amendment_id")
+
+
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = contracts.contract_blocks(spark, sf_dir)
-    texts = blocks.select("document_id", F.col("reading_order").cast("int").alias("reading_order"), F.substring("text", 1, 120).alias("raw_text"))
-    changes = facts.amendment_facts(blocks).join(texts, ["document_id", "reading_order"]).withColumnRenamed("document_id", "amendment_id")
-    return amendments.align_sections(changes, stored(_links(spark, sf_dir), "links"), blocks)
+    return amendments.align_sections(_changes(blocks), stored(_links(spark, sf_dir), "links"), blocks).drop("page_number", "parent_at")
 
 
 def aligned_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +71,14 @@ def version_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return amendments.compare_versions(_aligned(spark, sf_dir))
 
 
+def compared_amendments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = contracts.contract_blocks(spark, sf_dir)
+    asked = spark.sql(COMPARED_SQL, orders=contracts.table(spark, sf_dir, "orders"), customer=contracts.table(spark, sf_dir, "customer"))
+    found = amendments.compared_amendments(asked, library.library(spark, sf_dir), stored(_links(spark, sf_dir), "links"), stored(_changes(blocks), "changes"), blocks)
+    place = F.transform("evidence", lambda x: F.concat_ws(":", x["document_id"].cast("string"), x["page_number"].cast("string"), x["reading_order"].cast("string")))
+    return found.withColumns({"evidence": F.array_join(place, ",")})
+
+
 def version_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The linked amendments of an agreement by their day."""
     days = library.library(spark, sf_dir).select(F.col("document_id").alias("amendment_id"), F.col("effective_date").alias("ord"))
@@ -71,7 +91,7 @@ def amendment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (amendment_links, contract_catalog, all_parties, documents_by_party, recital_evidence, aligned_sections, version_comparison, version_chains, amendment_pairs)
+    found = (amendment_links, contract_catalog, all_parties, documents_by_party, recital_evidence, aligned_sections, version_comparison, compared_amendments, version_chains, amendment_pairs)
     return {f.__name__: f for f in found}
 
 
@@ -116,17 +136,23 @@ def oracle_sql() -> dict[str, str]:
     impacts = "CASE key " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in amendments.IMPACTS.items()) + " ELSE 'Modifications made to ' || target_section || '.' END"
     number = "rtrim(regexp_extract(trim(text), '(?i)^(?:Section\\s+)?([0-9.]+)\\b(?:\\s+([A-Za-z\\s]+))?', 1), '.')"
     names = "(contains(text, key || '.') OR contains(text, 'Section ' || key))"
-    aligned = f"""
-WITH k AS ({links}), b AS ({blocks}), ch AS (SELECT document_id AS amendment_id, reading_order, action, target_section, coalesce(nullif(regexp_extract(target_section, '([0-9.]+)', 1), ''), 'general') AS key FROM ({changes})),
-rw AS (SELECT ch.*, k.parent_id, t.text[1:120] AS raw_text FROM ch JOIN k USING (amendment_id) JOIN b t ON t.document_id = amendment_id AND t.reading_order = ch.reading_order WHERE parent_id IS NOT NULL),
+    aligned_of = lambda k, *more: f"""
+WITH k AS ({k}), b AS ({blocks}), ch AS (SELECT document_id AS amendment_id, reading_order, action, target_section, coalesce(nullif(regexp_extract(target_section, '([0-9.]+)', 1), ''), 'general') AS key FROM ({changes})),
+rw AS (SELECT ch.*, k.parent_id, t.text[1:120] AS raw_text, t.page_number FROM ch JOIN k USING (amendment_id) JOIN b t ON t.document_id = amendment_id AND t.reading_order = ch.reading_order WHERE parent_id IS NOT NULL),
 nb AS (SELECT document_id, {number} AS key, text, page_number, reading_order FROM b WHERE {number} <> ''),
-n1 AS (SELECT document_id, key, arg_min(text, page_number * 1000 + reading_order) AS numbered FROM nb GROUP BY ALL),
-f1 AS (SELECT rw.parent_id, rw.key, arg_min(b.text, page_number * 1000 + b.reading_order) AS naming FROM (SELECT DISTINCT parent_id, key FROM rw WHERE key <> 'general') rw JOIN b ON b.document_id = rw.parent_id WHERE {names} GROUP BY ALL),
+n1 AS (SELECT document_id, key, arg_min(text, page_number * 1000 + reading_order) AS numbered, min(page_number * 1000 + reading_order) AS npos FROM nb GROUP BY ALL),
+f1 AS (SELECT rw.parent_id, rw.key, arg_min(b.text, page_number * 1000 + b.reading_order) AS naming, min(page_number * 1000 + b.reading_order) AS fpos FROM (SELECT DISTINCT parent_id, key FROM rw WHERE key <> 'general') rw JOIN b ON b.document_id = rw.parent_id WHERE {names} GROUP BY ALL),
 o1 AS (SELECT rw.amendment_id, rw.key, arg_max(b.text, page_number * 1000 - b.reading_order) AS became FROM (SELECT DISTINCT amendment_id, key FROM rw) rw JOIN b ON b.document_id = rw.amendment_id WHERE contains(text, 'Section ' || key) AND contains(text, 'shall be') GROUP BY ALL)
 SELECT rw.amendment_id, rw.parent_id, rw.reading_order, target_section AS section_number,
   CASE WHEN numbered IS NOT NULL THEN coalesce(nullif(trim(regexp_extract(numbered, '^(?:Section\\s+)?[0-9.]+\\s+([A-Za-z\\s]+)', 1)), ''), 'General') WHEN naming IS NOT NULL THEN 'Section ' || rw.key ELSE 'General' END AS section_title,
   CASE WHEN action IN ('ADD_COVERAGE', 'CONFIRM_FULL_FORCE') THEN action ELSE 'DELETE_AND_REPLACE' END AS change_type, coalesce(numbered, naming) AS before_text, coalesce(became, raw_text) AS after_text, {impacts.replace("CASE key", "CASE rw.key")} AS impact
-FROM rw LEFT JOIN n1 ON n1.document_id = rw.parent_id AND n1.key = rw.key LEFT JOIN f1 ON f1.parent_id = rw.parent_id AND f1.key = rw.key AND numbered IS NULL LEFT JOIN o1 ON o1.amendment_id = rw.amendment_id AND o1.key = rw.key"""
+{"".join(", " + x for x in more)} FROM rw LEFT JOIN n1 ON n1.document_id = rw.parent_id AND n1.key = rw.key LEFT JOIN f1 ON f1.parent_id = rw.parent_id AND f1.key = rw.key AND numbered IS NULL LEFT JOIN o1 ON o1.amendment_id = rw.amendment_id AND o1.key = rw.key"""
+    aligned = aligned_of(links)
+    compared = lambda a: f"""
+SELECT amendment_id, parent_id, count(*) AS total_modifications, bool_or(change_type = 'CONFIRM_FULL_FORCE') AS full_force_confirmed,
+  concat_ws('; ', string_agg(section_number || ' (' || section_title || '): ' || impact, '; ' ORDER BY reading_order) FILTER (WHERE change_type <> 'CONFIRM_FULL_FORCE'), CASE WHEN bool_or(change_type = 'CONFIRM_FULL_FORCE') THEN {_q(amendments.PRESERVED)} END) AS impacts
+FROM ({a}) GROUP BY ALL"""
+    asked = COMPARED_SQL.format(orders="orders", customer="customer")
     return {
         "amendment_links": links,
         "contract_catalog": f"""
@@ -140,10 +166,26 @@ SELECT a.query, CASE WHEN n = 1 THEN document_id END AS document_id FROM a LEFT
 WITH b AS (SELECT *, page_number * 1000 + reading_order AS pos FROM ({blocks})), m AS (SELECT document_id, coalesce(min(pos) FILTER (WHERE page_number <= 2 AND regexp_matches(text, {_q("(?i)" + amendments.AGREEMENT)})), min(pos)) AS pos FROM b GROUP BY 1)
 SELECT document_id, page_number, reading_order FROM b JOIN m USING (document_id, pos)""",
         "aligned_sections": aligned,
-        "version_comparison": f"""
-SELECT amendment_id, parent_id, count(*) AS total_modifications, bool_or(change_type = 'CONFIRM_FULL_FORCE') AS full_force_confirmed,
-  concat_ws('; ', string_agg(section_number || ' (' || section_title || '): ' || impact, '; ' ORDER BY reading_order) FILTER (WHERE change_type <> 'CONFIRM_FULL_FORCE'), CASE WHEN bool_or(change_type = 'CONFIRM_FULL_FORCE') THEN {_q(amendments.PRESERVED)} END) AS impacts
-FROM ({aligned}) GROUP BY ALL""",
+        "version_comparison": compared(aligned),
+        "compared_amendments": f"""
+WITH lib AS MATERIALIZED ({lib}), lk AS MATERIALIZED ({links}), bl AS MATERIALIZED (SELECT *, page_number * 1000 + reading_order AS pos FROM ({blocks})), q AS MATERIALIZED ({asked}),
+e AS (SELECT ask_id, min(document_id) AS aid, true AS exact FROM q JOIN lib ON document_id::VARCHAR = wanted GROUP BY 1),
+pt AS (SELECT ask_id, min(document_id) AS aid, false AS exact FROM q JOIN lib ON contains(lower(filename), lower(wanted)) OR contains(document_id::VARCHAR, lower(wanted)) WHERE ask_id NOT IN (SELECT ask_id FROM e) GROUP BY 1),
+f AS (SELECT q.ask_id, aid, coalesce(exact AND n.document_id IS NOT NULL, false) AS explicit, CASE WHEN exact AND n.document_id IS NOT NULL THEN n.document_id ELSE lk.parent_id END AS pid, top_score
+  FROM q LEFT JOIN (FROM e UNION ALL FROM pt) x USING (ask_id) LEFT JOIN lib n ON n.document_id = q.parent_id LEFT JOIN lk ON lk.amendment_id = aid),
+pr AS MATERIALIZED (SELECT DISTINCT aid AS amendment_id, pid AS parent_id, explicit FROM f WHERE pid IS NOT NULL),
+al AS MATERIALIZED ({aligned_of("SELECT DISTINCT amendment_id, parent_id FROM pr", "rw.page_number", "coalesce(npos, fpos) AS ppos")}),
+cv AS ({compared("SELECT * FROM al")}),
+rc AS (SELECT document_id, coalesce(min(pos) FILTER (WHERE page_number <= 2 AND regexp_matches(text, {_q("(?i)" + amendments.AGREEMENT)})), min(pos)) AS recital, min(pos) AS opening FROM bl GROUP BY 1),
+ev AS (SELECT amendment_id, parent_id, explicit, amendment_id AS did, CASE WHEN explicit THEN opening ELSE recital END AS pos, -1 AS o FROM pr JOIN rc ON document_id = amendment_id
+  UNION ALL SELECT amendment_id, parent_id, explicit, amendment_id, page_number * 1000 + reading_order, 2 * reading_order FROM al JOIN pr USING (amendment_id, parent_id)
+  UNION ALL SELECT amendment_id, parent_id, explicit, parent_id, ppos, 2 * reading_order + 1 FROM al JOIN pr USING (amendment_id, parent_id) WHERE ppos IS NOT NULL),
+ef AS (SELECT amendment_id, parent_id, explicit, did, pos, min(o) AS o FROM ev GROUP BY ALL),
+es AS (SELECT amendment_id, parent_id, explicit, string_agg(did || ':' || (pos // 1000) || ':' || (pos % 1000), ',' ORDER BY o) AS evidence FROM ef GROUP BY ALL)
+SELECT ask_id, CASE WHEN pid IS NULL THEN 'NO_RESULTS' ELSE 'SUCCESS' END AS status, CASE WHEN pid IS NOT NULL THEN aid END AS amendment_id, pid AS parent_id, CASE WHEN pid IS NOT NULL THEN a.filename END AS amendment_filename, p.filename AS parent_filename,
+  CASE WHEN pid IS NULL THEN NULL WHEN f.explicit THEN 1.0::DOUBLE ELSE top_score END AS confidence, CASE WHEN pid IS NULL THEN NULL WHEN f.explicit THEN {_q(amendments.BASES[0])} ELSE {_q(amendments.BASES[1])} END AS basis,
+  CASE WHEN pid IS NOT NULL THEN coalesce(total_modifications, 0) END AS total_modifications, CASE WHEN pid IS NOT NULL THEN coalesce(full_force_confirmed, false) END AS full_force_confirmed, CASE WHEN pid IS NOT NULL THEN coalesce(impacts, '') END AS impacts, evidence
+FROM f LEFT JOIN lib a ON a.document_id = aid LEFT JOIN lib p ON p.document_id = pid LEFT JOIN cv ON cv.amendment_id = aid AND cv.parent_id = pid LEFT JOIN es ON es.amendment_id = aid AND es.parent_id = pid AND es.explicit = f.explicit""",
         "version_chains": f"""
 SELECT parent_id AS root_id, row_number() OVER w::INT AS layer, amendment_id, coalesce(lag(amendment_id) OVER w, parent_id) AS base_id
 FROM ({links}) JOIN (SELECT document_id AS amendment_id, coalesce(effective_date, '') AS day FROM ({lib})) USING (amendment_id) WHERE parent_id IS NOT NULL WINDOW w AS (PARTITION BY parent_id ORDER BY day, amendment_id)""",
