@@ -19,6 +19,7 @@ table gives no rows; other columns stay, except lang_pred and score, which are r
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import boxed, unboxed
+from .storage import SharedFile, open_filesystem, shared_dir
 from .tokens import PieceEncoder, batches_of
 
 ORDER = 3
@@ -139,8 +141,11 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, characters: int = TRAIN_CHARACTERS) -> Model | None:
-    """A model from a bounded sample of ``docs`` (doc_id, text, lang); None if there is nothing to learn from."""
+def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, characters: int = TRAIN_CHARACTERS) -> str | None:
+    """The file of a model from a bounded sample of ``docs`` (doc_id, text, lang); None if there is nothing to learn from.
+
+    One task fits it and writes it to the shared folder, so that neither the sample nor the table passes through the
+    driver. A repeated attempt writes a file of its own."""
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     usable = rows.filter(F.col("lang").isNotNull() & (F.length("text") <= characters) & F.col("text").rlike(r"\p{L}"))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("characters")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
@@ -150,23 +155,47 @@ def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, character
     share = {r["lang"]: min(1.0, rows_per_language / r["n"], SAMPLE_CHARACTERS / len(sizes) / r["characters"]) for r in sizes}
     draw = F.pmod(F.xxhash64(F.lit("ppm"), "doc_id"), F.lit(1_000_000)) / 1e6
     chosen = F.element_at(F.create_map(*(F.lit(x) for pair in share.items() for x in pair)), F.col("lang"))  # null beyond the languages learned
-    texts: dict[str, list[str]] = {}
-    for row in usable.filter(draw < chosen).select("lang", "text").orderBy("lang", F.xxhash64("text")).collect():
-        texts.setdefault(row["lang"], []).append(row["text"])
-    return Model(texts) if texts else None
+    folder = shared_dir(docs.sparkSession, "language-model")
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: dict[str, list[str]] = {}
+        for batch in batches:
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                texts.setdefault(lang, []).append(text)
+        if texts:
+            out = SharedFile(folder, "model.pickle")
+            out.write(pickle.dumps(Model(texts), protocol=5))
+            out.close()
+            yield pd.DataFrame({"uri": [out.uri]})
+
+    found = usable.filter(draw < chosen).select("lang", "text").repartition(1).mapInPandas(fit, "uri string").collect()  # a bounded sample
+    return found[0]["uri"] if found else None
+
+
+_loaded: dict[str, Model] = {}  # a worker keeps the model that it used last
+
+
+def load(uri: str) -> Model:
+    """The model that ``train`` wrote; for use in tasks."""
+    if uri not in _loaded:
+        _loaded.clear()
+        system, path = open_filesystem(uri)
+        with system.open_input_stream(path) as source:
+            _loaded[uri] = pickle.loads(source.read())
+    return _loaded[uri]
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """Add lang_pred and score (the posterior of the best language under equal priors) to doc_id, text and what else ``docs`` has."""
+def identify(docs: DataFrame, model: str | None) -> DataFrame:
+    """Add lang_pred and score (the posterior of the best language under equal priors) to doc_id, text and what else ``docs`` has. model: of ``train``."""
     own = docs.drop("lang_pred", "score")
-    if model is None:
+    uri = model
+    if uri is None:
         return own.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(series: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         PieceEncoder.forget()  # a worker that has tokenized before keeps some 200 MB of pieces
-        model = shared.value
+        model = load(uri)
         for batch in series:
             best, score = np.zeros(len(batch), int), np.zeros(len(batch))
             texts = batch.tolist()
