@@ -20,7 +20,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +32,19 @@ SHARD_BYTES = 1 << 28
 MASK_DELTA = 0xA282EAD8
 MANIFEST = "shard int, path string, index_path string, records long, tokens long, bytes long"
 ROWS = "shard int, nth long, doc_id long, before long, n_tokens long, ids_crc32 long"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
 
 class RecordError(ValueError):
     """A file that breaks the format or fails a checksum."""
 
 
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, _ARROW[k]) for x, k in zip(columns, kinds, strict=True)], list(names))
+
+
 def masked_crc(data: bytes) -> int:
     crc = zlib.crc32(data)
     return ((crc >> 15 | crc << 17) + MASK_DELTA) & 0xFFFFFFFF
@@ -93,14 +100,13 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, shards: int
         size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
         shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         shard, encoder, end = TaskContext.get().partitionId(), PieceEncoder.of(vocabulary), np.array([END_ID], dtype="<u4").tobytes()
         file, index, records, tokens = None, None, 0, 0
         for batch in batches:
-            ids, texts = batch["doc_id"].astype("Int64"), batch["text"].fillna("").tolist()
-            ids = [None if x is pd.NA else int(x) for x in ids]
+            ids, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
             if ids and file is None:
                 file, index = SharedFile(f"{folder}/files", f"part-{shard:06d}.rec"), SharedFile(f"{folder}/files", f"part-{shard:06d}.idx")
             for part in batches_of(texts):
@@ -111,19 +117,21 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, shards: int
         if file is not None:
             file.close()
             index.close()
-            yield pd.DataFrame([(shard, file.uri, index.uri, records, tokens, file.size)], columns=[x.split()[0] for x in MANIFEST.split(", ")])
+            yield batch_of([(shard, file.uri, index.uri, records, tokens, file.size)], MANIFEST)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # the hash lets a doc_id that many rows share spread over several ranges
     dealt = rows.repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
-    return materialise(dealt.mapInPandas(write, MANIFEST), "token-manifest")
+    return materialise(dealt.mapInArrow(write, MANIFEST), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """The records of the files named in ``manifest``, each read in sequence by one task."""
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for shard, path in ((s, p) for b in batches for s, p in zip(b["shard"], b["path"], strict=True)):
+    schema = ROWS + ", ids binary" * with_ids
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, path in ((x["shard"], x["path"]) for b in batches for x in b.to_pylist()):
             system, name = open_filesystem(path)
             with system.open_input_stream(name, compression=None, buffer_size=1 << 20) as stream:
                 rows, held, before = [], 0, 0
@@ -134,23 +142,21 @@ def read_token_files(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     before += len(ids)
                     held += len(data) if with_ids else 100
                     if held > 1 << 22:
-                        yield frame(rows)
+                        yield batch_of(rows, schema)
                         rows, held = [], 0
-                yield frame(rows)
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in ROWS.split(", ")] + ["ids"] * with_ids).astype({"doc_id": "Int64"})
+                yield batch_of(rows, schema)
 
     spread = manifest.select("shard", "path").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard")
-    return spread.mapInPandas(scan, ROWS + ", ids binary" * with_ids)
+    return spread.mapInArrow(scan, schema)
 
 
 def positions(manifest: DataFrame, records: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32: a document starts after all ids of the files and records before its own.
 
-    ``before`` counts the ids before a record within its file; the sum over files has a row per file."""
+    ``before`` counts the ids before a record within its file; the sum over files has a row per file, and is the
+    side of the join that goes to all tasks (Spark's estimate of ``records`` is that of the manifest)."""
     files = manifest.select("shard", (F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens")).alias("base"))
-    return records.join(files, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return records.join(F.broadcast(files), "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:

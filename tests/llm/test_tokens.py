@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import defaultdict
@@ -40,6 +41,36 @@ def test_added_tokens_as_text(path):
     assert PieceEncoder(path, added_as_text=True).encode(ODD) == want != reference(path, ODD)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_forms_of_words_give_the_ids_of_whole_texts(path):
+    draw = random.Random(7)
+    signs = "aAbBhHsStTlLdIK''.,;:!?.., \u0331\u0301\u0307\u0338İẖ\u212aΣσÀßºªµÿŸ1²½\u00ad\u200d\u0915\u093c\u0958ﬁǅ"
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(5000)]
+    texts += [f"x{chr(c)}. H{chr(c)}, {chr(c)}A; A!{chr(c)}" for c in range(0x3000)]
+    assert PieceEncoder(path).encode(texts) == reference(path, texts)
+
+
+def test_the_library_gets_each_word_once_in_all_its_forms():
+    words = ["".join(x) for x in itertools.product("bdfgk", "aeiou", "lmnr", "tz")]
+    texts = [" ".join(f(w) for w in words) for f in (str, str.title, str.upper, "{}.".format, "{},".format, "\n{}?!".format)]
+    encoder, given = PieceEncoder(WORDS), []
+    encode = encoder._encode
+    encoder._encode = lambda pieces: given.extend(pieces) or encode(pieces)
+    assert encoder.encode(texts) == reference(WORDS, texts)
+    assert len(given) <= len(words) + 4
+
+
+def test_token_files_send_files_not_records_to_all_tasks(spark, docs_of):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # whatever Spark's estimates are
+    try:
+        plan = token_files.round_trip(docs_of([(k, "a b") for k in range(50)]), WORDS)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    _, _, sent = plan.partition("BroadcastExchange")
+    assert "Window" in sent and "MapInArrow" not in sent
+
+
 def test_token_files_round_trip(spark, documents):
     rows = sorted((r.doc_id, r.text) for r in documents.collect())
     start, want = 0, []
