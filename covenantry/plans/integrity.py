@@ -52,7 +52,7 @@ def top_actors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contracts_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts asked for by their ids, with or without the prefix; one of them is not there."""
-    nodes, _, _ = graphs._graph(spark, sf_dir)
+    nodes = graphs._nodes(graphs._Inputs(spark, sf_dir, ("facts",)))
     first, *more = (graph.get_contract(nodes, x) for x in ASKED)
     for found in more:
         first = first.unionByName(found)

@@ -5,6 +5,7 @@ import pytest
 from covenantry.operators import composing, details
 from covenantry.plans import details as plans
 from tests.oracle import compare
+from tests.plans import most_rows
 
 SQL = plans.oracle_sql()
 ASK, SPAN, TERM = "query_id long, text string", "query_id long, span_id long, position int, text string", "ord long, term string, definition string"
@@ -81,3 +82,13 @@ def test_payloads_come_back(spark, tmp_path, form):
     assert [(r.id, r.name, r.spans and [tuple(x) for x in r.spans]) for r in got] == rows
     reading.write_payload(spark.createDataFrame([], schema), folder, form)
     assert spark.read.schema(schema).format(form).load(folder).isEmpty()
+
+
+def test_many_asks_of_frequent_pieces_make_no_pairs(spark):
+    n = 3000
+    names = spark.range(n).selectExpr("id + 1000 AS document_id", "concat('First Amendment ', id % 5, '.pdf') AS filename")
+    asked = spark.range(n).selectExpr("id AS ask_id", "CASE id % 3 WHEN 0 THEN '1' WHEN 1 THEN '39' ELSE 'AMENDMENT 3' END AS wanted")
+    df = details.located(asked, names)
+    got = {r.ask_id: (r.how, r.document_id) for r in df.collect()}
+    assert got == {i: ("part", (1000, 1039, 1003)[i % 3]) for i in range(n)}
+    assert most_rows(df) < 60 * n  # an ask meets up to 3,000 names
