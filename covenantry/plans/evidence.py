@@ -52,19 +52,20 @@ def titled_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bound_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, chunks = _asked(spark, sf_dir).select("query_id", F.col("expanded").alias("text")), _chunks(spark, sf_dir)
-    return retrieval.ranked(retrieval.within(retrieval.bm25(chunks, asked, None), chunks, _bound(spark, sf_dir)), base.TOP)
+    return retrieval.bound_bm25(chunks, asked, _bound(spark, sf_dir), base.TOP)
 
 
 def adaptive_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.adaptive(_asked(spark, sf_dir), _chunks(spark, sf_dir), _bound(spark, sf_dir), base.TOP)
 
 
-def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents, with pages of 20 lines and boxes; every thirteenth box is broken."""
+def _blocks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Lines of documents (those ``of`` a table of document_id, if it is given), with pages of 20 lines and boxes; every thirteenth box is broken."""
     at = F.col("reading_order") % PAGE_LINES
     x1 = F.when((F.col("document_id") + F.col("reading_order")) % 13 == 0, 10.0).otherwise(500.0)
     box = F.struct(F.lit(50.0).alias("x0"), (at * 30.0).alias("y0"), x1.alias("x1"), (at * 30.0 + 20).alias("y1"))
-    lines = contracts.document_blocks(contracts.table(spark, sf_dir, "documents"))
+    docs = contracts.table(spark, sf_dir, "documents")
+    lines = contracts.document_blocks(docs if of is None else docs.join(of.withColumnRenamed("document_id", "doc_id"), "doc_id", "left_semi"))
     return lines.select("document_id", "block_id", "reading_order", (F.floor(F.col("reading_order") / PAGE_LINES) + 1).cast("int").alias("page_number"), "text", box.alias("box"))
 
 
@@ -127,7 +128,7 @@ def _required(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = retrieval.ranked(retrieval.bm25(*base._ranking_inputs(spark, sf_dir), None), 10)
+    ranked = retrieval.bm25(*base._ranking_inputs(spark, sf_dir), 10)
     chunks = _chunks(spark, sf_dir).withColumns({"page_start": (F.col("document_id") % 3).cast("int"), "page_end": (F.col("document_id") % 3 + 1).cast("int")})
     questions = contracts.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), (F.col("item_id") % 5 != 0).alias("answerable"))
     ranked = stored(ranked.select("query_id", "chunk_id", "rank"), "ranked")
@@ -143,8 +144,11 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resolved = stored(_resolved(spark, sf_dir), "resolved")
-    spans = citing.evidence_spans(_retrieved(spark, sf_dir), resolved).join(_blocks(spark, sf_dir).select("document_id", "block_id", "text"), ["document_id", "block_id"])
+    resolved = stored(_resolved(spark, sf_dir).select("chunk_id", "document_id", "block_id", "page_number", "status"), "resolved")
+    spans = stored(citing.evidence_spans(_retrieved(spark, sf_dir), resolved), "spans")
+    cited = F.broadcast(spans.select("document_id").distinct())  # some of each question; the texts of other documents are not split, nor shuffled
+    blocks = _blocks(spark, sf_dir, cited).select("document_id", "block_id", "text")
+    spans = spans.join(blocks, ["document_id", "block_id"])
     return measuring.evidence_metrics(spans, _required(spark, sf_dir), resolved)
 
 

@@ -152,8 +152,8 @@ def evidence_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def retrieval_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, asked = base._ranking_inputs(spark, sf_dir)
-    return answers.difficulty(retrieval.bm25(chunks, asked, answers.DEPTH), retrieval.overlap(chunks, asked, answers.DEPTH), more.fused_top(spark, sf_dir))
+    lexical, other = more._pools(spark, sf_dir)  # deeper than what is compared
+    return answers.difficulty(lexical, other, more._fused(lexical, other))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
