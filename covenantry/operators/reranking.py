@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .retrieval import ranked, tokens
+from .retrieval import SMALL, ranked, tokens
 
 # Limits of the signals, how deep rankings are compared, and how many times the answer's size a reranked pool has.
 NARROW_MARGIN, LOW_AGREEMENT, MANY_DOCUMENTS, DEPTH, POOLS = 0.003, 0.20, 3, 5, 2
@@ -49,7 +49,10 @@ def reranked(questions: DataFrame, chunks: DataFrame, fused: DataFrame, hard: Da
     The first 2k fused chunks of a question in ``hard`` (query_id) are compared with its original words over their whole texts: the share of its tokens and of its pairs of
     neighbouring tokens that a chunk has, which stands where a trained cross-encoder could. All other questions keep their fused ranking, and no text is read for them."""
     pool = fused.filter(F.col("rank") <= POOLS * k).join(hard.select("query_id"), "query_id", "left_semi").select("query_id", "chunk_id", F.col("rank").alias("before"))
-    words = pool.join(questions.select("query_id", _said(F.col("text")).alias("asked")), "query_id").join(chunks.select("chunk_id", "text"), "chunk_id")
+    pool = pool.join(questions.select("query_id", _said(F.col("text")).alias("asked")), "query_id")
+    # texts stay where they are: up to SMALL places of pools come to them
+    few = pool.limit(SMALL + 1).count() <= SMALL
+    words = chunks.select("chunk_id", "text").join(F.broadcast(pool) if few else pool, "chunk_id")
     share = F.round(F.size(F.array_intersect("asked", _said(F.col("text")))) / F.nullif(F.size("asked"), F.lit(0)), 6)
     again = ranked(words.select("query_id", "chunk_id", F.coalesce(share, F.lit(0.0)).alias("score"), "before"), k, "before").withColumn("is_reranked", F.lit(True))
     easy = fused.filter(F.col("rank") <= k).join(hard.select("query_id"), "query_id", "left_anti").withColumn("is_reranked", F.lit(False))
